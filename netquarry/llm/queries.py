@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.coalesce(fold("key", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    model = toxicity.train(*toxicity.sample_labelled(docs, learn, "doc_id", "text", "toxic", zeros=1800, ones=900))
+    found = toxicity.score(docs, model, "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), F.coalesce(fold("key", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id,)}
+    return {f.__name__: f for f in (op1_language_id, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
