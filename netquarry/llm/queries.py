@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.coalesce(fold("key", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def site(docs: DataFrame) -> tuple[Column, Column]:
+    """Host and path of a document: its source, and its source's part in one language."""
+    return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+    found = quality.judge(docs.select("doc_id", "text", "source", "lang"), model, "text", *site(docs))
+    return found.select("doc_id", "score", "kept", "log_ratio", "host_mean", "path_mean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op9_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op9_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
