@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import langid, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.coalesce(fold("key", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=1024, end=0)
+    return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def site(docs: DataFrame) -> tuple[Column, Column]:
     """Host and path of a document: its source, and its source's part in one language."""
     return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
@@ -47,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op3_packing, op9_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
