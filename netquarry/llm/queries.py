@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, toxicity
+from . import langid, packing, quality, secretscan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(F.col("key").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(secretscan.digest(base).cast("binary"), 256).alias("base_sha256"), secretscan.digest(F.col("spans")).alias("spans"), count("novel"))
+
+
 def site(docs: DataFrame) -> tuple[Column, Column]:
     """Host and path of a document: its source, and its source's part in one language."""
     return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
@@ -53,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_packing, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op3_packing, op6_secrets, op9_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
