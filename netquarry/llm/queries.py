@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secretscan, toxicity
+from . import jaccard, langid, packing, quality, secretscan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(secretscan.digest(base).cast("binary"), 256).alias("base_sha256"), secretscan.digest(F.col("spans")).alias("spans"), count("novel"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text", n=4, percent=85)
+    return found.select(F.col("key").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def site(docs: DataFrame) -> tuple[Column, Column]:
     """Host and path of a document: its source, and its source's part in one language."""
     return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
@@ -60,8 +65,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_packing, op6_secrets, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op3_packing, op6_secrets, op7_jaccard, op9_toxicity, op10_quality)}
+
+
+OP7_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as a from documents),
+s as (
+  select doc_id, case when len(a) = 0 then [] when len(a) < 4 then [array_to_string(a, ' ')]
+    else list_distinct([array_to_string(a[i:i + 3], ' ') for i in range(1, len(a) - 2)]) end as g from w),
+e as (select doc_id, unnest(g) as x from s),
+n as (select doc_id, cast(len(g) as bigint) as n from s),
+i as (select p.doc_id as a, q.doc_id as b, count(*) as c from e p join e q on p.x = q.x and p.doc_id < q.doc_id group by 1, 2),
+l as (select a, b from i join n u on u.doc_id = a join n v on v.doc_id = b where 100 * c >= 85 * (u.n + v.n - c)),
+d as (select a, b from l union all select b, a from l),
+r as (select doc_id as v, doc_id as c from n union select d.b as v, r.c from r join d on d.a = r.v)
+select n.doc_id, n.n as n_shingles, m.c as component_id from n join (select v, min(c) as c from r group by v) m on m.v = n.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_jaccard": OP7_SQL}

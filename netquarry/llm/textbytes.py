@@ -115,3 +115,13 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + hashes[k : len(hashes) - width + 1 + k])
     return out
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """For each row its distinct n-word shingles' hashes, sorted."""
+    _, _, hashes, first = words(data, offsets)
+    full = np.full(max(0, len(hashes) - n + 1), np.uint64(n), np.uint64)
+    for k in range(n):
+        full = mix(full * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + len(full)])
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        yield np.unique(full[lo : hi - n + 1]) if hi - lo >= n else shingles(hashes[lo:hi], n)
