@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, quality, secretscan, toxicity
+from . import jaccard, langid, neardup, packing, quality, secretscan, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.pmod("vec_id", F.lit(50)) == 0, k=5, scale=256.0)
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", threshold=0.93)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -65,8 +74,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_packing, op6_secrets, op7_jaccard, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_packing, op4_near_duplicates, op6_secrets, op7_jaccard, op9_toxicity, op10_quality)}
+
+
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(cast(x as double) * 256)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
 
+OP4_SQL = """
+with recursive v as (select row_number() over () as n, vec_id, label, cast(embedding as double[]) as e from embeddings),
+u as (
+  select * from v where vec_id is not null and label is not null and e is not null and len(e) > 0
+  and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+l as (
+  select a.vec_id as a, b.vec_id as b, a.n as m from u a join u b on a.label = b.label and a.n <> b.n and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+r as (select distinct vec_id as v, vec_id as c from v union select l.b as v, r.c from r join l on l.a = r.v),
+c as (select v, min(c) as component_id from r group by v),
+k as (select m, count(*) as n_links from l group by m)
+select v.vec_id, coalesce(k.n_links, 0) as n_links, c.component_id, coalesce(v.vec_id = c.component_id, true) as kept
+from v left join k on k.m = v.n left join c on c.v = v.vec_id
+"""
 
 OP7_SQL = """
 with recursive w as (
@@ -85,4 +120,4 @@ select n.doc_id, n.n as n_shingles, m.c as component_id from n join (select v, m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL}
+    return {"op2_top_k": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op7_jaccard": OP7_SQL}
