@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, neardup, packing, quality, secretscan, topk, toxicity
+from . import hpylm, jaccard, langid, neardup, packing, quality, secretscan, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    found = hpylm.score(table(spark, sf_dir, "documents"), "doc_id", "text", ~held_out)
+    return found.select(F.col("key").alias("doc_id"), F.coalesce(fold("key", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def site(docs: DataFrame) -> tuple[Column, Column]:
     """Host and path of a document: its source, and its source's part in one language."""
     return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
@@ -74,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_packing, op4_near_duplicates, op6_secrets, op7_jaccard, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_packing, op4_near_duplicates, op6_secrets, op7_jaccard, op8_lm_score, op9_toxicity, op10_quality)}
 
 
 OP2_SQL = """
