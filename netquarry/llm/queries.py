@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpylm, jaccard, langid, neardup, packing, quality, secretscan, topk, toxicity
+from . import hpylm, jaccard, langid, neardup, packing, quality, secretscan, spm, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = spm.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = spm.encode(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", model)
+    return found.select("conv_id", "turn", F.size("ids").cast("long").alias("n_pieces"), "ids", spm.decode(found, "ids", model).alias("decoded"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -80,7 +86,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_packing, op4_near_duplicates, op6_secrets, op7_jaccard, op8_lm_score, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_packing, op4_near_duplicates, op5_sentencepiece, op6_secrets, op7_jaccard, op8_lm_score, op9_toxicity, op10_quality)}
 
 
 OP2_SQL = """
