@@ -55,7 +55,7 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = np.repeat(np.arange(len(count)), parts)
     base = np.cumsum(parts) - parts
     nth = np.arange(len(start)) - np.repeat(first[:-1], count)
-    passage_of_word = np.repeat(base, count) + nth * np.repeat(parts, count) // np.maximum(1, np.repeat(count, count))  # of even sizes
+    passage_of_word = np.repeat(base, count) + nth * np.repeat(parts, count) // np.repeat(count, count)  # of even sizes
     # one buffer in which every word stands as <word>
     size = end - start + 2
     at = np.cumsum(size) - size
@@ -135,27 +135,43 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 120,
     return SubwordSoftmax(np.where(seen, table @ weight, 0).astype(np.float32), bias)
 
 
+def _scores(texts: pa.Array, model: SubwordSoftmax | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and numbers of passages of whole texts."""
+    data, offsets = utf8(texts)
+    out, parts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for lo, hi in slices(offsets, SLICE_BYTES) if model else ():
+        bucket, passage, row = bags(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        odds = np.full(hi - lo, -np.inf)
+        np.maximum.at(odds, row, _passages(model, bucket, passage, len(row)))
+        odds[np.isinf(odds)] = model.bias
+        out[lo:hi] = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        parts[lo:hi] = np.bincount(row, minlength=hi - lo)
+    return out, parts
+
+
 def score(docs: DataFrame, model: SubwordSoftmax | None, key: str, text: str) -> DataFrame:
-    """(key, score, predicted, n_words_passages) for each row over its whole text."""
+    """(key, score, predicted, n_passages) for each row over its whole text."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            out = np.zeros(batch.num_rows)
-            parts = np.zeros(batch.num_rows, np.int64)
-            for lo, hi in slices(offsets, SLICE_BYTES) if model else ():
-                bucket, passage, row = bags(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                odds = np.full(hi - lo, -np.inf)
-                np.maximum.at(odds, row, _passages(model, bucket, passage, len(row)))
-                odds[np.isinf(odds)] = model.bias
-                out[lo:hi] = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-                parts[lo:hi] = np.bincount(row, minlength=hi - lo)
+            out, parts = _scores(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(parts)], ["key", "score", "predicted", "n_passages"])
 
     return rows.mapInArrow(rate, "key long, score double, predicted int, n_passages long")
 
 
+def keep_clean(docs: DataFrame, model: SubwordSoftmax | None, text: str) -> DataFrame:
+    """The rows of docs, all columns, whose predicted class is not toxic."""
+    at = docs.columns.index(text)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), model)[0] < 0.5))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, zeros: int, ones: int, most_bytes: int = 12 << 20) -> tuple[list[str], list[int]]:
     """About so many whole texts of each class, drawn by a hash of the key; class sizes are counted over all labels.
 
@@ -168,8 +184,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     for y, n in sizes.items():
         limit = F.when(F.col("y") == y, F.lit(min(1.0, (zeros, ones)[y] / max(1, n)))).otherwise(limit)
     draw = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30))
-    drawn = marks.where(draw < limit * (1 << 30)).withColumn("draw", draw)
-    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")).join(drawn, "key")
+    drawn = marks.where(draw < limit * (1 << 30)).withColumn("draw", draw).orderBy("draw", "key").limit(2 * (zeros + ones))  # bounded, so broadcast
+    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
     upto = F.sum(F.octet_length("text")).over(Window.orderBy("draw", "key", "text"))
     kept = rows.orderBy("draw", "key", "text").limit(2 * (zeros + ones)).withColumn("upto", upto).where(F.col("upto") <= most_bytes).collect()
     return [r["text"] for r in kept], [r["y"] for r in kept]
