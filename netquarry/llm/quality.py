@@ -16,7 +16,7 @@ with a posterior below the threshold are rejected.
 Cases: null and empty texts have no evidence and get their path's mean. A null
 host or path is a group of its own. Without labels of both classes all evidence
 is 0 and the global mean is 0.5, so everything is kept. Extra columns are
-carried by filter_documents() and never read; repeated rows count as often as
+carried by keep_good() and never read; repeated rows count as often as
 they occur.
 """
 
@@ -103,11 +103,12 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 60, penalty: float = 1e-3) ->
     return Logistic(mean, scale, w[:-1], float(w[-1]), float(np.log(y.mean() / (1 - y.mean()))))
 
 
-def _measured(docs: DataFrame, text: str, model: Logistic | None) -> DataFrame:
-    """docs without its text, with log_ratio and (for training) features."""
+def _measured(docs: DataFrame, text: str, model: Logistic | None, keep_text: bool = False) -> DataFrame:
+    """docs, without its text unless kept, with log_ratio and (for training) features."""
     kept = [c for c in docs.columns if c != text]
     rows = docs.select(*kept, F.col(text).alias("__text"))
-    schema = docs.select(*kept).schema.add("log_ratio", T.DoubleType()).add("features", T.ArrayType(T.DoubleType()))
+    kept += ["__text"] * keep_text
+    schema = rows.select(*kept).schema.add("log_ratio", T.DoubleType()).add("features", T.ArrayType(T.DoubleType()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +117,7 @@ def _measured(docs: DataFrame, text: str, model: Logistic | None) -> DataFrame:
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
             ratio = np.where(np.diff(offsets) > 0, model.ratio(x), 0.0) if model else np.zeros(len(x))
             given = pa.array([None] * len(x), pa.list_(pa.float64())) if model else pa.array(list(x), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ratio), given], [*kept, "log_ratio", "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(ratio), given], [*kept, "log_ratio", "features"])
 
     return rows.mapInArrow(measure, schema)
 
@@ -125,8 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     """Fit the document classifier on the features of about `most` labelled texts, drawn by a hash of the key."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("double").alias("y"))
     n = marks.count()
-    drawn = marks.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) < min(1.0, most / max(1, n)) * (1 << 30))
-    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")).join(drawn, "key")
+    draw = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30))
+    drawn = marks.where(draw < min(1.0, most / max(1, n)) * (1 << 30)).orderBy(draw, "key").limit(2 * most)  # bounded, so broadcast
+    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
     got = _measured(rows, "text", None).orderBy("key", "log_ratio").limit(2 * most).select("features", "y").toPandas()
     if not len(got):
         return None
@@ -141,11 +143,13 @@ def _logit(p: Column) -> Column:
 def site_means(evidence: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
     """(host, path, path_mean, host_mean, n_path, n_host) for every path, and the global mean.
 
-    evidence has p_doc, the classifier's probability. The strength of a level is
+    evidence has p_doc, the classifier's probability. It is read three times over,
+    so its group sums are written once. The strength of a level is
     k = m(1 - m) / (variance between its groups' means) - 1 with the variance
     that sampling alone explains taken off, kept within 1 and 10,000.
     """
     paths = evidence.groupBy(host, path).agg(F.sum("p_doc").alias("sum_path"), F.count(F.lit(1)).alias("n_path"))
+    paths = cut(paths)
     hosts = paths.groupBy(F.col(host).alias("__host")).agg(F.sum("sum_path").alias("sum_host"), F.sum("n_path").alias("n_host"))
     total = hosts.agg(F.sum("sum_host").alias("s"), F.sum("n_host").alias("n")).first()
     mean = (total["s"] or 0.0) / total["n"] if total["n"] else 0.5
@@ -162,17 +166,30 @@ def site_means(evidence: DataFrame, host: str, path: str) -> tuple[DataFrame, fl
     return joined.select(F.col(host).alias("__host"), F.col(path).alias("__path"), "path_mean", "host_mean", "n_path", "n_host"), mean
 
 
-def judge(docs: DataFrame, model: Logistic | None, text: str, host: Column, path: Column, threshold: float = 0.5) -> DataFrame:
-    """docs without its text, plus log_ratio, host_mean, path_mean, score (posterior probability of good) and kept."""
+def judge(docs: DataFrame, model: Logistic | None, text: str, host: Column, path: Column, threshold: float = 0.5, keep_text: bool = False) -> DataFrame:
+    """docs, without its text unless kept, plus log_ratio, host_mean, path_mean, score (posterior probability of good) and kept.
+
+    The table of path means is broadcast only while it has BROADCAST_GROUPS rows or
+    fewer; beyond that it is joined by shuffle.
+    """
     base = model.base if model else 0.0
-    evidence = _measured(docs.withColumns({"__h": host, "__p": path}), text, model).drop("features")
+    named = docs.withColumns({"__h": host, "__p": path})
     p_doc = 1 / (1 + F.exp(-(F.col("log_ratio") + base)))
-    means, overall = site_means(evidence.withColumn("p_doc", p_doc).select("__h", "__p", "p_doc"), "__h", "__p")
+    evidence = _measured(named.select("__h", "__p", text), text, model).select("__h", "__p", p_doc.alias("p_doc"))
+    means, overall = site_means(evidence, "__h", "__p")
     means = cut(means)
     small = means.count() <= BROADCAST_GROUPS
     on = F.col("__h").eqNullSafe(F.col("__host")) & F.col("__p").eqNullSafe(F.col("__path"))
-    joined = evidence.join(F.broadcast(means) if small else means, on, "left")
+    joined = _measured(named, text, model, keep_text).drop("features").join(F.broadcast(means) if small else means, on, "left")
     centre = _logit(F.lit(overall))
     prior = centre + F.greatest(F.lit(-PRIOR_REACH), F.least(F.lit(PRIOR_REACH), _logit(F.col("path_mean")) - centre))
     scored = joined.withColumn("score", 1 / (1 + F.exp(-(F.col("log_ratio") + prior))))
     return scored.withColumn("kept", F.col("score") >= threshold).drop("__h", "__p", "__host", "__path")
+
+
+def keep_good(docs: DataFrame, model: Logistic | None, text: str, host: Column, path: Column) -> DataFrame:
+    """The rows of docs, all columns, that judge() keeps."""
+    names = [f"__c{k}" for k in range(len(docs.columns))]  # judge() adds columns, whose names docs may have too
+    renamed = docs.withColumns({"__hc": host, "__pc": path}).toDF(*names, "__hc", "__pc")
+    judged = judge(renamed, model, names[docs.columns.index(text)], F.col("__hc"), F.col("__pc"), keep_text=True).where("kept")
+    return judged.select(*(F.col("__text" if c == text else n).alias(c) for n, c in zip(names, docs.columns)))

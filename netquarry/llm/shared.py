@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder and read back from there.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set, as
-    in tests on one machine, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where none is set, as in tests on one machine, a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder and read back from there."""
+    folder(df.sparkSession)
     return df.checkpoint()
