@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netquarry.functions.net import valid_hostname
 
@@ -180,7 +181,12 @@ def bittorrent(data: Column) -> Column:
     return F.when(head & (F.length(data) >= 68), F.struct(F.lower(F.hex(F.substring(data, 29, 20))).alias("info_hash"), F.nullif(F.regexp_extract(F.decode(F.substring(data, 49, 20), "iso-8859-1"), r"^-([A-Za-z]{2}\d{4})-", 1), F.lit("")).alias("client")))
 
 
-_DNS = "txid long, is_response boolean, rcode int, name string, qtype int, ips array<string>, nodata boolean"
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+_TEXTS = T.ArrayType(T.StringType())
+_DNS = _struct(("txid", T.LongType()), ("is_response", T.BooleanType()), ("rcode", T.IntegerType()), ("name", T.StringType()), ("qtype", T.IntegerType()), ("ips", _TEXTS), ("nodata", T.BooleanType()))
 
 
 def _dns_name(raw: bytes, at: int) -> tuple[str, int]:
@@ -223,10 +229,10 @@ def dns(payload: pd.Series) -> pd.DataFrame:
             out.append(_dns_one(bytes(raw)) if raw is not None and len(raw) >= 12 else (None,) * 7)
         except (ValueError, IndexError):
             out.append((None,) * 7)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _DNS.split(", ")])
+    return pd.DataFrame(out, columns=_DNS.names)
 
 
-_TLS = "record string, version int, sni string, alpn array<string>, cipher int"
+_TLS = _struct(("record", T.StringType()), ("version", T.IntegerType()), ("sni", T.StringType()), ("alpn", _TEXTS), ("cipher", T.IntegerType()))
 
 
 def _tls_one(raw: bytes) -> tuple:
@@ -268,10 +274,10 @@ def tls(payload: pd.Series) -> pd.DataFrame:
             out.append(_tls_one(raw) if raw[0] == 22 and raw[5] in (1, 2) else (None,) * 5)
         except (IndexError, TypeError):
             out.append((None,) * 5)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _TLS.split(", ")]).astype({"version": "Int32", "cipher": "Int32"})
+    return pd.DataFrame(out, columns=_TLS.names).astype({"version": "Int32", "cipher": "Int32"})
 
 
-_DHCP = "message int, hostname string, client_mac string"
+_DHCP = _struct(("message", T.IntegerType()), ("hostname", T.StringType()), ("client_mac", T.StringType()))
 
 
 @F.pandas_udf(_DHCP)
