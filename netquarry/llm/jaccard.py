@@ -12,8 +12,9 @@ sets are one class. Two classes link when 100 |A & B| >= percent |A | B|.
     and the suffix filter (overlap bounded by a SUFFIX_PARTS-way partition of the
     sets, compared part by part).
 3.  First each class is compared with one pivot of each of its prefix n-grams, a
-    linear number of pairs, and verified links are contracted to components.
-    Then every remaining pair that shares a prefix n-gram and lies in different
+    linear number of pairs, and verified links are contracted to components;
+    then, across components, the classes of n-grams with many classes with PIVOTS
+    drawn ones, PIVOT_ROUNDS times. Last, every remaining pair that shares a prefix n-gram and lies in different
     components is compared. So groups of copies never give all their pairs, and
     no pair whose link could join two components is left out.
 4.  A pair is verified on the whole sets, made again from the two texts, in
@@ -43,6 +44,8 @@ SKETCH_BITS = 20
 SIEVE_BITS = 22
 SUFFIX_PARTS = 64
 CHUNK = 64
+PIVOTS = 24
+PIVOT_ROUNDS = 2
 SLICE_BYTES = 1 << 20
 
 
@@ -50,15 +53,33 @@ def _ceil(n: np.ndarray | int, up: int, down: int) -> np.ndarray | int:
     return -(-n * up // down)
 
 
-def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[np.ndarray]:
+def _slices(batch: pa.RecordBatch, column: int, n: int) -> Iterator[list[np.ndarray]]:
+    """The sets of a batch's texts, a slice of texts at a time."""
     data, offsets = utf8(batch.column(column))
     for lo, hi in slices(offsets, SLICE_BYTES):
-        yield from shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+        yield list(shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n))
+
+
+def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[np.ndarray]:
+    for sets in _slices(batch, column, n):
+        yield from sets
 
 
-def _class(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
-    return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).astype(np.int64))
+def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All elements, each one's row, and the rows' sizes."""
+    size = np.array([len(x) for x in sets], np.int64)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), size), size
+
+
+def _classes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set: two sums of mixed elements."""
+    every, _, size = _joined(sets)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for salt in (0, 0xA5A5A5A5DEADBEEF):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(every ^ np.uint64(salt)), dtype=np.uint64)])
+        out.append((sums[edges[1:]] - sums[edges[:-1]]).view(np.int64))
+    return out[0], out[1]
 
 
 def survey(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -69,18 +90,17 @@ def survey(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
         names = ["key", "size", "class", "check", "parts", "segment", "counts"]
         for batch in batches:
             size, one, two, parts = [], [], [], []
-            for s in _sets(batch, 1, n):
-                size.append(len(s))
-                a, b = _class(s)
-                one.append(a)
-                two.append(b)
-                parts.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SUFFIX_PARTS).astype("<i4").tobytes())
-                if len(s):
-                    table += np.bincount(bucketcounts.bucket(s, SKETCH_BITS), minlength=len(table)) if len(s) > len(table) // 8 else 0
-                    if len(s) <= len(table) // 8:
-                        np.add.at(table, bucketcounts.bucket(s, SKETCH_BITS), 1)
+            for sets in _slices(batch, 1, n):
+                every, row, k = _joined(sets)
+                size.append(k)
+                for names_, x in zip((one, two), _classes(sets)):
+                    names_.append(x)
+                pieces = np.bincount(row * SUFFIX_PARTS + (every >> np.uint64(58)).astype(np.int64), minlength=len(sets) * SUFFIX_PARTS).astype("<i4")
+                parts += [r.tobytes() for r in pieces.reshape(-1, SUFFIX_PARTS)]
+                np.add.at(table, bucketcounts.bucket(every, SKETCH_BITS), 1)
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(flat(size).astype(np.int32)), pa.array(flat(one)), pa.array(flat(two)), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         found = list(bucketcounts.blobs(table))
         m = len(found)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k for k, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names)
@@ -96,26 +116,16 @@ def prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarra
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
 
-        def made() -> pa.RecordBatch:
-            sizes = [len(g) for g in grams]
-            place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]) if sizes else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(classes, np.int64), sizes)), pa.array(np.repeat(np.array(whole, np.int32), sizes)), pa.array(place)],
-                ["gram", "class", "size", "place"],
-            )
-
         for batch in batches:
-            grams, classes, whole = [], [], []
-            for s in _sets(batch, 0, n):
-                if len(s):
-                    order = np.argsort(table[bucketcounts.bucket(s, SKETCH_BITS)], kind="stable")
-                    grams.append(s[order[: len(s) - _ceil(len(s), percent, 100) + 1]])
-                    classes.append(_class(s)[0])
-                    whole.append(len(s))
-                if sum(map(len, grams[-1:])) and len(grams) >= 2000:
-                    yield made()
-                    grams, classes, whole = [], [], []
-            yield made()
+            for sets in _slices(batch, 0, n):
+                every, _, size = _joined(sets)
+                count = table[bucketcounts.bucket(every, SKETCH_BITS)] if len(every) else every
+                edges = np.concatenate([[0], np.cumsum(size)])
+                kept = np.where(size > 0, size - _ceil(size, percent, 100) + 1, 0)
+                grams = [x[np.argsort(count[e : e + k], kind="stable")[:m]] for x, e, k, m in zip(sets, edges.tolist(), size.tolist(), kept.tolist()) if k]
+                place = np.arange(int(kept.sum())) - np.repeat(np.cumsum(kept) - kept, kept)
+                gram = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.repeat(_classes(sets)[0], kept)), pa.array(np.repeat(size, kept).astype(np.int32)), pa.array(place.astype(np.int32))], ["gram", "class", "size", "place"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(read, "gram long, class long, size int, place int")
 
@@ -184,6 +194,28 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, n: int, pe
     return held.mapInArrow(compare, "a long, b long")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _still_open(entries: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """The entries (gram, class, size, place) of n-grams whose classes lie in several components, with their component as group and the n-gram's number of entries."""
+    by_gram = Window.partitionBy("gram")
+    names = classes.join(joined, classes["rep"] == joined["vertex"], "left").select("class", F.coalesce("component", "rep").alias("group"))
+    rows = entries.select("gram", "class", "size", "place").join(names, "class")
+    return cut(rows.withColumns({"lo": F.min("group").over(by_gram), "hi": F.max("group").over(by_gram), "held": F.count(F.lit(1)).over(by_gram)}).where("lo <> hi").drop("lo", "hi"))
+
+
+def _pivoted(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of the classes of long lists with PIVOTS classes of each list, drawn by hashes, across components."""
+    long = entries.where(F.col("held") > PIVOTS)
+    draws = [F.min_by(F.struct(*(F.col(c).alias(f"p_{c}") for c in ("class", "size", "place", "group"))), F.xxhash64("class", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
+    pivots = long.groupBy("gram").agg(F.array_distinct(F.array(*draws)).alias("pivots"))
+    met = long.join(pivots, "gram").select("class", "size", "place", "group", F.explode("pivots").alias("p")).select("class", "size", "place", "group", "p.*")
+    kept = met.where((F.col("class") != F.col("p_class")) & (F.col("group") != F.col("p_group")) & _may_link("", "p_", percent))
+    return _ordered(kept.select(F.col("class").alias("a"), F.col("p_class").alias("b"))).distinct()
+
+
 def join(docs: DataFrame, key: str, text: str, n: int = 4, percent: int = 85) -> DataFrame:
     """(key, size, component) for each row: the set's size and the smallest key reachable by links."""
     found = cut(survey(docs, key, text, n))
@@ -203,14 +235,19 @@ def join(docs: DataFrame, key: str, text: str, n: int = 4, percent: int = 85) ->
     joined = connected_components(first, "a", "b")
 
     # what is left: prefix n-grams whose classes still lie in several components
-    names = classes.join(joined, classes["rep"] == joined["vertex"], "left").select("class", F.coalesce("component", "rep").alias("group"))
-    open_ = entries.select("gram", "class", "size", "place").distinct().join(names, "class")
-    open_ = cut(open_.withColumns({"lo": F.min("group").over(by_gram), "hi": F.max("group").over(by_gram)}).where("lo <> hi").drop("lo", "hi"))
-    left, right = (open_.select("gram", *(F.col(c).alias(f"{x}_{c}") for c in ("class", "size", "place", "group"))) for x in ("l", "r"))
-    rest = left.join(right, "gram").where((F.col("l_class") < F.col("r_class")) & (F.col("l_group") != F.col("r_group")) & _may_link("l_", "r_", percent))
+    left = _still_open(entries.select("gram", "class", "size", "place").distinct(), classes, joined)
+    tried, found_links = _ordered(stars), first
+    for turn in range(PIVOT_ROUNDS):
+        some = cut(_pivoted(left, percent, turn).join(tried, ["a", "b"], "left_anti"))
+        found_links = cut(found_links.unionByName(_verified(docs, key, text, _suffix_filter(some, classes, percent), n, percent)))
+        tried = tried.unionByName(some)
+        joined = connected_components(found_links, "a", "b")
+        left = _still_open(left, classes, joined)
+    one, two = (left.select("gram", *(F.col(c).alias(f"{x}_{c}") for c in ("class", "size", "place", "group"))) for x in ("l", "r"))
+    rest = one.join(two, "gram").where((F.col("l_class") < F.col("r_class")) & (F.col("l_group") != F.col("r_group")) & _may_link("l_", "r_", percent))
     rest = rest.select(F.col("l_class").alias("a"), F.col("r_class").alias("b")).distinct()
-    rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = _verified(docs, key, text, cut(_suffix_filter(rest, classes, percent)), n, percent)
-    linked = connected_components(first.unionByName(second), "a", "b")
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    last = _verified(docs, key, text, cut(_suffix_filter(rest, classes, percent)), n, percent)
+    linked = connected_components(found_links.unionByName(last), "a", "b")
     reps = classes.join(linked, classes["rep"] == linked["vertex"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     return rows.join(reps, "class", "left").select("key", "size", F.coalesce("component", "key").alias("component"))
