@@ -31,13 +31,16 @@ def ip6(data: Column, at: Column | int) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
     groups = [F.lower(F.hex(number(data, at + 2 * k, 2))) for k in range(8)]
     text = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
-    out = None
-    for n in range(8, 1, -1):
-        zeros = ":" + "0:" * n
-        short = F.regexp_replace(text, f"^(.*?){zeros}", "$1::")
-        out = F.when(text.contains(zeros), short) if out is None else out.when(text.contains(zeros), short)
-    whole = out.otherwise(text)
-    return F.regexp_replace(F.regexp_replace(whole, "^:(?!:)", ""), "(?<!:):$", "")
+
+    def shorter(text: Column) -> Column:
+        out = None
+        for n in range(8, 1, -1):
+            zeros = ":" + "0:" * n
+            short = F.regexp_replace(text, f"^(.*?){zeros}", "$1::")
+            out = F.when(text.contains(zeros), short) if out is None else out.when(text.contains(zeros), short)
+        return F.regexp_replace(F.regexp_replace(out.otherwise(text), "^:(?!:)", ""), "(?<!:):$", "")
+
+    return F.transform(F.array(text), shorter)[0]  # so that the text is made once
 
 
 # Bytes before the network header by link type; -1: by EtherType.
@@ -88,7 +91,7 @@ def packets(frames: DataFrame, local: DataFrame) -> DataFrame:
     bit = lambda b: F.when(p == 6, flags.bitwiseAND(b) != 0)
     rows = rows.withColumns(
         {
-            "protocol": F.when((p == 6) & (head >= 20), "TCP").when((p == 17) & (number(d, at + 6, 2) >= 8), "UDP").when((p.isin(1, 58)) & number(d, at, 1).isNotNull(), "ICMP").when(p == 2, "IGMP").when(F.col("arp_op").isin(1, 2), "ARP"),
+            "protocol": F.when((p == 6) & (head >= 20), "TCP").when((p == 17) & (number(d, at + 4, 2) >= 8), "UDP").when((p.isin(1, 58)) & number(d, at, 1).isNotNull(), "ICMP").when(p == 2, "IGMP").when(F.col("arp_op").isin(1, 2), "ARP"),
             "src_port": F.when(p.isin(6, 17), number(d, at, 2)).otherwise(0).cast("int"),
             "dst_port": F.when(p.isin(6, 17), number(d, at + 2, 2)).otherwise(0).cast("int"),
             "fin": bit(1), "syn": bit(2), "rst": bit(4), "ack_flag": bit(16),
