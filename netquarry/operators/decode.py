@@ -26,21 +26,21 @@ def ip4(data: Column, at: Column | int) -> Column:
     return F.concat_ws(".", *(number(data, at + k, 1).cast("string") for k in range(4)))
 
 
-def ip6(data: Column, at: Column | int) -> Column:
-    """Canonical text: groups without leading zeros, the first longest run of two or more zero groups as ::."""
+def ip6_groups(data: Column, at: Column | int) -> Column:
+    """The eight groups without leading zeros, as :g:g:g:g:g:g:g:g:."""
     at = F.lit(at) if isinstance(at, int) else at
     groups = [F.lower(F.hex(number(data, at + 2 * k, 2))) for k in range(8)]
-    text = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
+    return F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
 
-    def shorter(text: Column) -> Column:
-        out = None
-        for n in range(8, 1, -1):
-            zeros = ":" + "0:" * n
-            short = F.regexp_replace(text, f"^(.*?){zeros}", "$1::")
-            out = F.when(text.contains(zeros), short) if out is None else out.when(text.contains(zeros), short)
-        return F.regexp_replace(F.regexp_replace(out.otherwise(text), "^:(?!:)", ""), "(?<!:):$", "")
 
-    return F.transform(F.array(text), shorter)[0]  # so that the text is made once
+def ip6(groups: Column) -> Column:
+    """Canonical text of ip6_groups(): the first longest run of two or more zero groups as ::. Pass a plain column, as it is read many times."""
+    out = None
+    for n in range(8, 1, -1):
+        zeros = ":" + "0:" * n
+        short = F.regexp_replace(groups, f"^(.*?){zeros}", "$1::")
+        out = F.when(groups.contains(zeros), short) if out is None else out.when(groups.contains(zeros), short)
+    return F.regexp_replace(F.regexp_replace(out.otherwise(groups), "^:(?!:)", ""), "(?<!:):$", "")
 
 
 # Bytes before the network header by link type; -1: by EtherType.
@@ -70,6 +70,7 @@ def packets(frames: DataFrame, local: DataFrame) -> DataFrame:
     """
     d, n = F.col("data"), F.col("net_at")
     rows = network(frames)
+    rows = rows.withColumns({c: F.when(F.col("ethertype") == 0x86DD, ip6_groups(d, n + at)) for c, at in (("src6", 8), ("dst6", 24))})
     v4, v6, arp = (F.col("ethertype") == x for x in (0x0800, 0x86DD, 0x0806))
     ihl = number(d, n, 1).bitwiseAND(15) * 4
     total = number(d, n + 2, 2)
@@ -79,8 +80,8 @@ def packets(frames: DataFrame, local: DataFrame) -> DataFrame:
             "proto": F.when(v4 & first & (ihl >= 20), number(d, n + 9, 1)).when(v6, number(d, n + 6, 1)),
             "l4": F.when(v4, n + ihl).when(v6, n + 40).cast("int"),
             "end": F.when(v4, n + total).when(v6, n + 40 + number(d, n + 4, 2)).cast("int"),
-            "src": F.when(v4, ip4(d, n + 12)).when(v6, ip6(d, n + 8)).when(arp, ip4(d, n + 14)),
-            "dst": F.when(v4, ip4(d, n + 16)).when(v6, ip6(d, n + 24)).when(arp, ip4(d, n + 24)),
+            "src": F.when(v4, ip4(d, n + 12)).when(v6, ip6(F.col("src6"))).when(arp, ip4(d, n + 14)),
+            "dst": F.when(v4, ip4(d, n + 16)).when(v6, ip6(F.col("dst6"))).when(arp, ip4(d, n + 24)),
             "arp_op": F.when(arp & (number(d, n, 2) == 1) & (number(d, n + 2, 2) == 0x0800), number(d, n + 6, 2)),
         }
     )
@@ -89,29 +90,31 @@ def packets(frames: DataFrame, local: DataFrame) -> DataFrame:
     head = F.when(p == 6, F.shiftright(number(d, at + 12, 1), 4) * 4).when(p == 17, 8)
     mac = lambda k: F.lower(F.concat_ws(":", *(F.hex(F.substring(d, k + 1 + j, F.lit(1))) for j in range(6))))
     bit = lambda b: F.when(p == 6, flags.bitwiseAND(b) != 0)
-    rows = rows.withColumns(
-        {
-            "protocol": F.when((p == 6) & (head >= 20), "TCP").when((p == 17) & (number(d, at + 4, 2) >= 8), "UDP").when((p.isin(1, 58)) & number(d, at, 1).isNotNull(), "ICMP").when(p == 2, "IGMP").when(F.col("arp_op").isin(1, 2), "ARP"),
-            "src_port": F.when(p.isin(6, 17), number(d, at, 2)).otherwise(0).cast("int"),
-            "dst_port": F.when(p.isin(6, 17), number(d, at + 2, 2)).otherwise(0).cast("int"),
-            "fin": bit(1), "syn": bit(2), "rst": bit(4), "ack_flag": bit(16),
-            "seq": F.when(p == 6, number(d, at + 4, 4)), "ack": F.when(p == 6, number(d, at + 8, 4)), "window": F.when(p == 6, number(d, at + 14, 2)),
-            "payload_len": F.greatest(F.col("end") - at - head, F.lit(0)),
-            "payload": F.substring(d, at + head.cast("int") + 1, F.greatest(F.col("end") - at - head, F.lit(0)).cast("int")),
-            "icmp_type": F.when(F.col("proto").isin(1, 58), number(d, at, 1)),
-            "icmp_id": F.when(number(d, at, 1).isin(0, 8, 128, 129), number(d, at + 4, 2)),
-            "icmp_seq": F.when(number(d, at, 1).isin(0, 8, 128, 129), number(d, at + 6, 2)),
-            "igmp_group": F.when((p == 2) & (number(d, at, 1) != 0x22), ip4(d, at + 4)),
-            "op": F.when(F.col("arp_op") == 1, "request").when(F.col("arp_op") == 2, "reply"),
-            "sender_mac": F.when(arp, mac(n + 8)), "target_mac": F.when(arp, mac(n + 18)),
-            "packet_len": F.when(arp, F.length(d)).otherwise(F.col("end")).cast("long"),
-        }
-    ).where("protocol is not null")
+    fields = {
+        "protocol": F.when((p == 6) & (head >= 20), "TCP").when((p == 17) & (number(d, at + 4, 2) >= 8), "UDP").when((p.isin(1, 58)) & number(d, at, 1).isNotNull(), "ICMP").when(p == 2, "IGMP").when(F.col("arp_op").isin(1, 2), "ARP"),
+        "src_port": F.when(p.isin(6, 17), number(d, at, 2)).otherwise(0).cast("int"),
+        "dst_port": F.when(p.isin(6, 17), number(d, at + 2, 2)).otherwise(0).cast("int"),
+        "fin": bit(1), "syn": bit(2), "rst": bit(4), "ack_flag": bit(16),
+        "seq": F.when(p == 6, number(d, at + 4, 4)), "ack": F.when(p == 6, number(d, at + 8, 4)), "window": F.when(p == 6, number(d, at + 14, 2)),
+        "payload_len": F.greatest(F.col("end") - at - head, F.lit(0)),
+        "payload": F.substring(d, at + head.cast("int") + 1, F.greatest(F.col("end") - at - head, F.lit(0)).cast("int")),
+        "icmp_type": F.when(F.col("proto").isin(1, 58), number(d, at, 1)),
+        "icmp_id": F.when(number(d, at, 1).isin(0, 8, 128, 129), number(d, at + 4, 2)),
+        "icmp_seq": F.when(number(d, at, 1).isin(0, 8, 128, 129), number(d, at + 6, 2)),
+        "igmp_group": F.when((p == 2) & (number(d, at, 1) != 0x22), ip4(d, at + 4)),
+        "op": F.when(F.col("arp_op") == 1, "request").when(F.col("arp_op") == 2, "reply"),
+        "sender_mac": F.when(arp, mac(n + 8)), "target_mac": F.when(arp, mac(n + 18)),
+        "packet_len": F.when(arp, F.length(d)).otherwise(F.col("end")).cast("long"),
+    }
+    # A generator, so that later filters are not pushed down into copies of these expressions.
+    whole = F.struct(*(c.alias(name) for name, c in fields.items()), "src", "dst")
+    kept = [c for c in frames.columns if c not in ("data", *fields, "src", "dst")]
+    rows = rows.select(*kept, F.inline(F.when(fields["protocol"].isNotNull(), F.array(whole))))
     own = local.select(F.col("ip").alias("__own")).distinct().withColumn("__is", F.lit(True))
     out = F.coalesce("__is", F.lit(False))
     sides = rows.join(own, rows["src"] == own["__own"], "left")
     side = lambda a, b: F.when(out, F.col(a)).otherwise(F.col(b))
-    return sides.withColumns({"is_outgoing": out, "local_ip": side("src", "dst"), "remote_ip": side("dst", "src"), "local_port": side("src_port", "dst_port"), "remote_port": side("dst_port", "src_port"), "sender_ip": F.when(F.col("op").isNotNull(), F.col("src")), "target_ip": F.when(F.col("op").isNotNull(), F.col("dst"))}).drop("__own", "__is", "net_at", "ethertype", "proto", "l4", "end", "src", "dst", "src_port", "dst_port", "arp_op", "data")
+    return sides.withColumns({"is_outgoing": out, "local_ip": side("src", "dst"), "remote_ip": side("dst", "src"), "local_port": side("src_port", "dst_port"), "remote_port": side("dst_port", "src_port"), "sender_ip": F.when(F.col("op").isNotNull(), F.col("src")), "target_ip": F.when(F.col("op").isNotNull(), F.col("dst"))}).drop("__own", "__is", "src", "dst", "src_port", "dst_port")
 
 
 # -- text dissectors -----------------------------------------------------------
