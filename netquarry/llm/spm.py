@@ -68,25 +68,38 @@ def _words(text: Column) -> Column:
     return F.split(F.concat(F.lit(BLANK), F.translate(text, " ", BLANK)), f"(?<=[^{BLANK}])(?={BLANK})")
 
 
-def _merged(edges: Column, n: Column) -> Column:
+def _place(n: Column, longest: int, s: Column, e: Column) -> Column:
+    """The place, from 1, of the span (s, e) among all spans up to `longest` of a word of n characters, ordered by s and e."""
+    full = F.greatest(n - longest, F.lit(0))  # starts that have all lengths
+    more = F.greatest(s - full, F.lit(0))
+    return F.least(s, full) * longest + more * F.least(n, F.lit(longest)) - (more * (more - 1) / 2).cast("int") + (e - s)
+
+
+def _merged(edges: Column, n: Column, longest: int) -> Column:
     """Cut positions left by merging from single characters."""
-    joins = F.filter(edges, lambda e: e["e"] - e["s"] >= 2)
 
     def step(cuts: Column, _: Column) -> Column:
-        ready = F.filter(joins, lambda e: F.array_contains(cuts, e["s"]) & F.array_contains(cuts, e["e"]) & (F.size(F.filter(cuts, lambda c: (c > e["s"]) & (c < e["e"]))) == 1))
-        best = F.array_max(F.transform(ready, lambda e: F.struct(e["score"].alias("score"), (-e["s"]).alias("left"), e["e"].alias("e"))))
-        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= -best["left"]) | (c >= best["e"])))
+        def pair(k: Column) -> Column:
+            s, e = F.element_at(cuts, k), F.element_at(cuts, k + 2)
+            score = F.when(e - s <= longest, F.element_at(edges, _place(n, longest, s, e))["score"])
+            return F.struct(score.alias("score"), (-s).alias("left"), e.alias("e"))
+
+        pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size(cuts)), lambda k: k <= F.size(cuts) - 2), pair)
+        best = F.array_max(F.filter(pairs, lambda x: x["score"].isNotNull()))
+        # in an array of one, so that it is found once and not for every cut
+        return F.transform(F.array(best), lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= -b["left"]) | (c >= b["e"]))))[0]
 
     return F.when(n >= 2, F.aggregate(F.sequence(F.lit(1), n - 1), F.sequence(F.lit(0), n), step)).otherwise(F.sequence(F.lit(0), n))
 
 
-def _viterbi(edges: Column, n: Column, floor: float) -> Column:
+def _viterbi(edges: Column, n: Column, longest: int, floor: float) -> Column:
     """Cut positions of the path with the best sum of scores; a character without a piece costs `floor`."""
 
     def step(best: Column, at: Column) -> Column:
-        known = F.transform(F.filter(edges, lambda e: e["e"] == at), lambda e: F.struct((F.element_at(best, e["s"] + 1)["score"] + e["score"]).alias("score"), e["s"].alias("back")))
+        starts = F.sequence(F.greatest(at - longest, F.lit(0)), at - 1)
+        known = F.transform(starts, lambda s: F.struct((F.element_at(best, s + 1)["score"] + F.element_at(edges, _place(n, longest, s, at))["score"]).alias("score"), s.alias("back")))
         other = F.struct((F.element_at(best, at)["score"] + floor).alias("score"), (at - 1).alias("back"))
-        return F.concat(best, F.array(F.array_max(F.concat(known, F.array(other)))))
+        return F.concat(best, F.array(F.array_max(F.concat(F.filter(known, lambda x: x["score"].isNotNull()), F.array(other)))))
 
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
     path = F.aggregate(F.sequence(F.lit(1), n), start, step)
@@ -94,13 +107,13 @@ def _viterbi(edges: Column, n: Column, floor: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk)
 
 
-def _ids(word: Column, edges: Column, cuts: Column, byte_base: int) -> Column:
+def _ids(word: Column, edges: Column, n: Column, cuts: Column, longest: int, byte_base: int) -> Column:
     def one(k: Column) -> Column:
         s, e = F.element_at(cuts, k), F.element_at(cuts, k + 1)
-        held = F.transform(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e)), lambda x: x["id"])
+        held = F.element_at(edges, _place(n, longest, s, e))["id"]
         digits = F.hex(F.encode(F.substring(word, s + 1, e - s), "utf-8"))
         raw = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda at: F.conv(F.substring(digits, at, F.lit(2)), 16, 10).cast("int") + byte_base)
-        return F.when(F.size(held) > 0, held).otherwise(raw)
+        return F.when(held.isNotNull(), F.array(held)).otherwise(raw)
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), one))
 
@@ -165,10 +178,10 @@ def encode(texts: DataFrame, keys: list[str], text: str, model: Pieces) -> DataF
     starts = short.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     spans = starts.select("word", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("n"), F.col("s") + longest))).alias("e"))
     edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(pieces, "piece", "left")
-    edge = F.when(F.col("id").isNotNull(), F.struct("s", "e", "score", "id"))
-    lattice = edges.groupBy("word", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    cuts = _merged(F.col("edges"), F.col("n")) if model.kind == "bpe" else _viterbi(F.col("edges"), F.col("n"), floor)
-    folded = lattice.withColumn("cuts", cuts).select("word", _ids(F.col("word"), F.col("edges"), F.col("cuts"), model.byte_base).alias("ids"))
+    # every span, in order, so that the fold finds an edge by its place; a span that is no piece has a null id
+    lattice = edges.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("s", "e", "score", "id"))).alias("edges"))
+    cuts = _merged(F.col("edges"), F.col("n"), longest) if model.kind == "bpe" else _viterbi(F.col("edges"), F.col("n"), longest, floor)
+    folded = lattice.withColumn("cuts", cuts).select("word", _ids(F.col("word"), F.col("edges"), F.col("n"), F.col("cuts"), longest, model.byte_base).alias("ids"))
     table = {p: (k, s) for p, k, s in plain}
     long = distinct.where(F.col("n") > LONG).select("word").mapInPandas(_long_words(table, model.kind, model.byte_base, longest, floor), "word string, ids array<int>")
     words = cut(folded.unionByName(long))
