@@ -1,7 +1,9 @@
 """Secret spans against a plain reading of the rules."""
 
 import hashlib
+import random
 import re
+import string
 
 from netquarry.llm import secretscan
 
@@ -55,3 +57,23 @@ def test_redaction_keeps_columns_and_masks_overlaps_once(spark):
     got = {r["doc_id"]: r["text"] for r in secretscan.redact(docs, "text").collect()}
     assert got == {1: "[REDACTED] end", 2: None, 3: "clean"}
     assert secretscan.redact(docs.limit(0), "text").collect() == []
+
+
+def novel(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["key"]: r["spans"] for r in secretscan.scan(docs, "doc_id", "text").collect()}
+    return [[s["value"] for s in found[i] if s["kind"] == "novel"] for i in range(len(texts))]
+
+
+def test_keys_in_lists_copies_and_long_values_do_not_hide_each_other(spark):
+    rng = random.Random(8)
+    draw = lambda chars, n: "A1" + "".join(rng.choice(chars) for _ in range(n - 2))
+    base62, upper = string.ascii_letters + string.digits, "0123456789ABCDEF"
+    lists = [[draw(chars, n) for _ in range(40)] for chars in (base62, upper) for n in (20, 40, 64)]
+    key = draw(base62, 40)
+    long = [draw(chars, n) for chars in (base62, upper) for n in (128, 1024, 5000)]
+    texts = ["".join(f"bearer {k}\n" for k in keys) for keys in lists]
+    texts += [f"the bearer {key} is sent as bearer {key} again", *(f"the bearer {v} was sent" for v in long)]
+    texts.append("bearer getUserSessionClient1\nbearer get_public_key_index2 and secret session_token_index_3 " * 5)
+    got = novel(spark, texts)
+    assert got == [*lists, [key, key], *([v] for v in long), []]
