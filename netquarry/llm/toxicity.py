@@ -20,12 +20,13 @@ rows included; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import mix, slices, utf8, words
@@ -35,6 +36,8 @@ GRAMS = (3, 4, 5)
 PASSAGE = 8
 SLICE_BYTES = 1 << 20
 
+_PASSAGES = re.compile(r"(?:[^\x20\t-\r]{1,64}[\x20\t-\r]*){1,%d}" % PASSAGE)
+_SPACES = re.compile(r"[\x20\t-\r]+")
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 
@@ -172,11 +175,37 @@ def keep_clean(docs: DataFrame, model: SubwordSoftmax | None, text: str) -> Data
     return docs.mapInArrow(sift, docs.schema)
 
 
+def some_passages(text: str, most_bytes: int, seed: int) -> str:
+    """text, or if it is over most_bytes, hash-chosen passages from all over it, in their order; one at least."""
+    if len(text.encode("utf-8", "replace")) <= most_bytes:
+        return text
+    spans = np.array([m.span() for m in _PASSAGES.finditer(text)], np.int64).reshape(-1, 2)
+    chosen, left = [], most_bytes
+    for k in np.argsort(mix(np.arange(len(spans), dtype=np.uint64) + mix(np.array([seed % (1 << 64)], np.uint64)))).tolist():
+        passage = _SPACES.sub(" ", text[spans[k, 0] : spans[k, 1]])
+        left -= len(passage.encode("utf-8", "replace")) + 1
+        if chosen and left < 0:
+            break
+        chosen.append((k, passage))
+    return "".join(f"{passage.rstrip(' ')} " for _, passage in sorted(chosen))
+
+
+def bound_of(sizes: list[int], most: int) -> int:
+    """The largest bound on each size under which all sizes add up to most at the most."""
+    for n, size in zip(range(len(sizes), 0, -1), sorted(sizes)):
+        if size * n > most:
+            return most // n
+        most -= size
+    return max(sizes, default=0)
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, zeros: int, ones: int, most_bytes: int = 12 << 20) -> tuple[list[str], list[int]]:
-    """About so many whole texts of each class, drawn by a hash of the key; class sizes are counted over all labels.
+    """About so many texts of each class, drawn by a hash of the key; class sizes are counted over all labels.
 
-    Rows after the first most_bytes of text, in the hash's order, are left out, so
-    both numbers and most_bytes bound what the driver trains on.
+    Texts are whole if they are within most_bytes together. If not, the longest are
+    read in passages drawn from all over them, within one bound that makes the sum
+    fit; no row is left out for its size. Both numbers and most_bytes bound what the
+    driver trains on. Labels of two classes with a sample of only one are an error.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -186,6 +215,22 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     draw = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30))
     drawn = marks.where(draw < limit * (1 << 30)).withColumn("draw", draw).orderBy("draw", "key").limit(2 * (zeros + ones))  # bounded, so broadcast
     rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy("draw", "key", "text"))
-    kept = rows.orderBy("draw", "key", "text").limit(2 * (zeros + ones)).withColumn("upto", upto).where(F.col("upto") <= most_bytes).collect()
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    first = lambda found: found.orderBy("draw", "key", "own").limit(2 * (zeros + ones)).collect()
+    lengths = [r["n"] for r in first(rows.select("draw", "key", "own", F.octet_length("text").alias("n")))]
+    bound = bound_of(lengths, most_bytes)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):  # a row at a time: a batch may hold long texts
+                r = batch.slice(k, 1)
+                short = some_passages(r.column(3)[0].as_py(), bound, r.column(2)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*r.columns[:3], pa.array([short]), r.column(4)], ["draw", "key", "own", "text", "y"])
+
+    taken = rows.select("draw", F.col("key").cast("long").alias("key"), "own", "text", "y")
+    if sum(lengths) > most_bytes:
+        taken = taken.mapInArrow(shorten, "draw long, key long, own long, text string, y int")
+    kept = first(taken)
+    if len(sizes) == 2 and len({r["y"] for r in kept}) == 1:
+        raise ValueError(f"labels have {sizes} rows of each class, but the {len(kept)} texts drawn are all of class {kept[0]['y']}")
     return [r["text"] for r in kept], [r["y"] for r in kept]

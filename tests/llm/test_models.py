@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from netquarry.llm import hpylm, langid, quality, toxicity
@@ -74,6 +75,31 @@ def test_toxic_misspellings_are_found(spark):
     assert {r["score"] for r in toxicity.score(docs, None, "doc_id", "text").collect()} == {0.0}
 
 
+def test_long_labelled_texts_leave_no_row_out(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        text = prose("en", 4000 if k % 10 < 2 else 30, rng).split()
+        if k % 2:
+            text[:: len(text) // 4] = ["idiot"] * len(text[:: len(text) // 4])
+        rows.append((k, " ".join(text), k % 2))
+    rows.append((60, "x" * 300_000, 0))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    whole, _ = toxicity.sample_labelled(docs, labels, "doc_id", "text", "toxic", 100, 100)
+    assert sorted(whole) == sorted(t for _, t, _ in rows)
+    texts, ys = toxicity.sample_labelled(docs, labels, "doc_id", "text", "toxic", 100, 100, most_bytes=100_000)
+    assert (ys.count(0), ys.count(1)) == (31, 30) and 80_000 < sum(len(t.encode()) for t in texts) <= 100_000
+    assert {t for _, t, _ in rows if len(t) < 1000} <= set(texts)
+    inner = {w for t in texts if len(t) > 1000 for w in t.split() if len(w) <= 64}
+    assert inner <= {w for _, t, _ in rows for w in t.split()}
+    model = toxicity.train(texts, ys)
+    found = {r["key"]: r["predicted"] for r in toxicity.score(docs, model, "doc_id", "text").collect()}
+    assert np.mean([found[k] == y for k, _, y in rows]) > 0.93
+    with pytest.raises(ValueError, match="class"):
+        toxicity.sample_labelled(docs.where("doc_id % 2 = 1"), labels, "doc_id", "text", "toxic", 100, 100)
+
+
 def test_quality_keeps_good_and_shrinks_sparse_sites(spark):
     rng = np.random.default_rng(6)
     rows = []
