@@ -5,15 +5,18 @@ Three patterns are always reported, leftmost and non-overlapping for each kind:
 `access` (an access key id of 18 or more) and `hex` (16 or more hex digits).
 
 Novelty: a candidate is a long string without spaces that stands within
-REACH characters after a sensitive word on the same line and outside the spans
-above. A zstandard compressor is primed with a dictionary of identifiers and
+REACH characters of a sensitive word, before or after it and across line breaks,
+or in a private key's PEM block, or with no letter or digit between behind a
+reported candidate; those inside the spans above are left to them. A zstandard compressor is primed with a dictionary of identifiers and
 common words. A candidate is measured in pieces of PIECE characters; a piece's
 marginal bytes are what PROSE and the surrounding text (CONTEXT characters either
 side, without any candidate-like string, so that keys, neighbours and copies do
 not hide each other) cost more with the piece behind them. Names and words repeat
-parts of the dictionary or of their surroundings and are cheap; a candidate with
-digits and letters is reported as `novel` if a piece costs NOVEL or more of the
-bits of as many random characters of the candidate's own alphabet.
+parts of the dictionary or of their surroundings and are cheap; a candidate is
+reported as `novel` if a piece costs NOVEL or more of the bits of as many random
+characters of the candidate's own alphabet. Without digits, its long runs of
+letters are measured, save camel-case names of HUMP or more letters a word. A
+long word unknown to the dictionary can cost as much as a random one.
 
 Cases: null and empty texts have no spans. Texts of any length are searched
 whole; memory is bounded by a batch. Each row is searched alone, so repeated rows
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +46,7 @@ CONTEXT = 512
 NOVEL = 1.0
 SHORTEST = 16
 PIECE = 32
+HUMP = 5.5
 SLICE_BYTES = 4 << 20
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -50,6 +54,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api.?key|credential|bearer|private|auth|signature|access.?key", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{%d,}" % SHORTEST)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(.*?)(?:-----END \1-----|\Z)", re.DOTALL)
+PEM_LINE = re.compile(r"^[A-Za-z0-9+/]+=*(?=[\x20\t\r]*$)", re.MULTILINE)
+ALNUM, DIGIT = re.compile(r"[A-Za-z0-9]"), re.compile(r"[0-9]")
+LETTERS = re.compile(r"[A-Za-z]{%d,}" % SHORTEST)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 LETTER = re.compile(r"[A-Za-z]")
 CLASSES = ((re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[0-9]"), 10), (re.compile(r"[+/_=~-]"), 2))
@@ -148,24 +157,63 @@ class Novelty:
         return False
 
     def spans(self, text: str, taken: list[tuple]) -> list[tuple]:
-        found, last = [], 0
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        if not words:
+            return []
+        blocks = [m.span(2) for m in PEM.finditer(text)]
+        near = merged([(max(0, s - REACH), e + REACH) for s, e in words] + blocks)
+        covered = merged([(s, e) for s, e, _ in taken])
         rest = at = None
-        for word in SENSITIVE.finditer(text):
-            stop = text.find("\n", word.end())
-            limit = min(len(text) if stop < 0 else stop, word.end() + REACH)
-            while m := CANDIDATE.search(text, max(word.end(), last), limit + SHORTEST):
-                s, e = CANDIDATE.match(text, m.start()).span()
-                last, value = e, text[s:e]
-                if any(a < e and s < b for a, b, _ in taken) or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        found: list[tuple] = []
+        for m in CANDIDATE.finditer(text):
+            chained = bool(found) and m.start() - found[-1][1] <= REACH and not ALNUM.search(text, found[-1][1], m.start())
+            if not chained and not touching(near, m.start(), m.end()):
+                continue
+            for s, e in values(text, m.start(), m.end()):
+                if any(a <= s and e <= b for a, b in touching(covered, s, e)):
                     continue
                 if rest is None:
                     rest, at = without_candidates(text)
-                k = at(s)
-                if self.novel(rest[max(0, k - CONTEXT) : k + CONTEXT], value):
+                k = at(m.start())
+                if self.novel(rest[max(0, k - CONTEXT) : k + CONTEXT], text[s:e]):
                     found.append((s, e, 3))
+        for s, e in blocks:  # a key's short last line belongs to it
+            if any(s <= x[0] < e for x in found):
+                seen = {x[0] for x in found}
+                found += [(*m.span(), 3) for m in PEM_LINE.finditer(text, s, e) if m.start() not in seen]
         return found
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def touching(spans: list[tuple[int, int]], s: int, e: int) -> list[tuple[int, int]]:
+    """Those of disjoint sorted spans that touch s:e."""
+    k = bisect_left(spans, s, key=lambda x: x[1])
+    upto = bisect_right(spans, e, key=lambda x: x[0])
+    return spans[k:upto]
+
+
+def values(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """What to measure of a candidate: behind a sensitive name and its separator; without digits, its parts that are no names in camel case."""
+    value = text[s:e]
+    digits = DIGIT.search(value)
+    for word in SENSITIVE.finditer(value):
+        if not DIGIT.search(value, 0, word.end()) and (not digits or value[word.end() : word.end() + 1] in tuple("+/_=~-")):
+            s = e - len(value) + word.end()
+    if digits:
+        return [(s, e)] if e - s >= SHORTEST else []
+    parts = [m.span() for m in LETTERS.finditer(text, s, e)]
+    return [(x, y) for x, y in parts if len(humps := CAMEL.split(text[x:y])) == 1 or (y - x) / len(humps) < HUMP]
+
+
 def without_candidates(text: str) -> tuple[str, Callable[[int], int]]:
     """text with each candidate-like string, sensitive or not, taken out; and the place there of an offset of text."""
     kept, begins, places, upto, n = [], [], [], 0, 0

@@ -77,3 +77,25 @@ def test_keys_in_lists_copies_and_long_values_do_not_hide_each_other(spark):
     texts.append("bearer getUserSessionClient1\nbearer get_public_key_index2 and secret session_token_index_3 " * 5)
     got = novel(spark, texts)
     assert got == [*lists, [key, key], *([v] for v in long), []]
+
+
+def test_context_spans_lines_and_both_sides_and_needs_no_digit(spark):
+    rng = random.Random(9)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    base62 = string.ascii_letters + string.digits
+    a, b, c, d, e, f = (draw(base62, 30) for _ in range(6))
+    letters, digits = draw(string.ascii_lowercase, 16), draw(string.digits, 20)
+    body = [draw(base62 + "+/", 64) for _ in range(6)] + ["Qz7="]
+    mixed = "B" + draw("ABCDEF", 20) + "0123456789012345" + draw("ABCDEF0123456789", 20)
+    texts = [
+        f"Token:\n{a}",
+        f"bearer: >\n  {a}\n  {b}\n  {c}\nend",
+        f'{{\n "{d}":\n   "credential"\n}}',
+        f"X-Auth-Header={e}",
+        "-----BEGIN PRIVATE KEY-----\n" + "\n".join(body) + f"\n-----END PRIVATE KEY-----\n{'and so on ' * 9}{f}",
+        f"the bearer sent {letters} to us",
+        f"the credential is {digits} there",  # a fixed pattern reports it
+        f"the bearer sent {mixed} to us",
+        "the private validate_token_request_handler calls getUserSessionClientName and authoritatively",
+    ]
+    assert novel(spark, texts) == [[a], [a, b, c], [d], [f"-Header={e}"], body, [letters], [], [mixed], []]
