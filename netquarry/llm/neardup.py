@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest
 from .shared import cut
 from .vectors import matrix, usable
 
@@ -62,22 +62,6 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tu
     return i[keep], j[keep]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n nodes reaches by links."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, key: str, vector: str, label: str, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id) for each row."""
     some = F.exists(F.col("x"), lambda v: v != 0)

@@ -1,21 +1,50 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and joins that a hot key cannot slow."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT = 1024
+HOT_ROWS = 1000
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where none is set, as in tests on one machine, a temporary folder."""
+    """The session's checkpoint folder, from spark.checkpoint.dir or set on the context; only a local session may go without and gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = shared or tempfile.mkdtemp()
+        context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder and read back from there."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    """df written once as Parquet to the shared checkpoint folder and read back from there: a lost executor recomputes nothing before it."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hot_values(values: DataFrame, n: int) -> list:
+    """Values of the one column of `values` that have at least HOT_ROWS of its n rows and 1 / HOT of them, so at most HOT."""
+    if n < HOT_ROWS:
+        return []
+    name = values.columns[0]
+    counts = values.groupBy(name).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= max(HOT_ROWS, n / HOT))
+    return [r[0] for r in counts.where(F.col(name).isNotNull()).select(name).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, hot: list, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a value of `on`; right's rows of the hot values, HOT at most, are broadcast."""
+    if not hot:
+        return left.join(right, on, how)
+    marked = F.col(on).isin(hot)
+    cold = left.where(~F.coalesce(marked, F.lit(False))).join(right.where(~marked), on, how)
+    return cold.unionByName(left.where(marked).join(F.broadcast(right.where(marked)), on, how))
