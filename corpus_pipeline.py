@@ -47,7 +47,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 1024-token sequences with the CRC-32 of their ids."""
-    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=1024, end=0)
+    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=0)
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

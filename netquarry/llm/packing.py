@@ -9,27 +9,32 @@ one more round, MERGE_PARTITIONS partitions to a group, by the same rule without
 cutting. So padding is below TOP_UP tokens for emitted windows, plus at most
 OPEN_WINDOWS part-filled windows a group of partitions.
 
-Tokens: byte-pair ids of the vocabulary at `ranks` (base64 token and rank on each
-line), with `end` after each document.
+Tokens: the ids that the `tokenizers` library gives by the file at `tokenizer`,
+without special tokens added (strings of the file's added tokens inside a text are
+those tokens), with `end` after each document. Texts over PART characters are
+encoded in parts cut between a character that is not white space and a blank:
+no piece of a byte-level vocabulary reaches over such a place.
 
 Cases: a null or empty text is the end token alone. Any length of text is
-handled; memory holds one batch's texts and OPEN_WINDOWS windows. Repeated rows
+handled; memory holds one batch's texts, the ids of one text, and OPEN_WINDOWS windows;
+a run without such a place is one part. Repeated rows
 and ids are packed each for itself: a piece names its document by key only. An
 empty table gives no piece. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .shared import cut
 from .textbytes import slices
@@ -38,14 +43,39 @@ OPEN_WINDOWS = 32
 TOP_UP = 16
 MERGE_PARTITIONS = 64
 SLICE_BYTES = 1 << 20
+PART = 1 << 18
 PIECES = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, done boolean"
 _SCHEMA = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("done", pa.bool_())])
 
 
-def encoder(ranks: str, pattern: str) -> tiktoken.Encoding:
-    with open(ranks, "rb") as lines:
-        pairs = [line.split() for line in lines if line.strip()]
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
+_CUT = re.compile(r"(?<=\S)(?= )")
+
+
+def parts(text: str) -> list[str]:
+    """text cut into parts of PART characters or more, each up to the next place where no token is cut."""
+    out, at = [], 0
+    while len(text) - at > PART and (cut_at := _CUT.search(text, at + PART)):
+        out.append(text[at : cut_at.start()])
+        at = cut_at.start()
+    return [*out, text[at:]]
+
+
+class Encoder:
+    """Ids of whole texts, a slice of texts at a time; one thread, as Spark runs a task a core."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        short = [k for k, t in enumerate(texts) if len(t) <= PART]
+        out: list = [None] * len(texts)
+        for k, found in zip(short, self.tokenizer.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
+            out[k] = np.array(found.ids, "<u4")
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                out[k] = np.concatenate([np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4") for p in parts(text)])
+        return out
 
 
 class Windows:
@@ -112,12 +142,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
-def pack(docs: DataFrame, key: str, text: str, ranks: str, pattern: str, size: int = 1024, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, tokenizer: str, size: int = 1024, end: int = 0) -> DataFrame:
     """One row a piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(key).alias("key"), F.col(text).alias("text"))
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern).encode_ordinary
+        encode, last = Encoder(tokenizer), np.array([end], "<u4")
         windows, sequence, out, held = Windows(size, OPEN_WINDOWS), 0, [], 0
         for batch in batches:
             if not batch.num_rows:
@@ -126,8 +156,8 @@ def pack(docs: DataFrame, key: str, text: str, ranks: str, pattern: str, size: i
             texts = batch.column(2)
             lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
             for lo, hi in slices(np.concatenate([[0], np.cumsum(lengths)]), SLICE_BYTES):
-                for name, doc in zip(batch.column(1)[lo:hi].to_pylist(), texts[lo:hi].to_pylist()):
-                    ids = np.array([*encode(doc), end] if doc else [end], "<u4")
+                for name, found in zip(batch.column(1)[lo:hi].to_pylist(), encode([t or "" for t in texts[lo:hi].to_pylist()])):
+                    ids = np.concatenate([found, last])
                     total = len(ids)
                     whole = total // size * size
                     full = [[(name, at, size, ids[at : at + size], total)] for at in range(0, whole, size)]

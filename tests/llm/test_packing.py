@@ -8,12 +8,12 @@ from tokenizers import Tokenizer
 
 from netquarry.llm import packing
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def packed(spark, rows, size=64, parts=3):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, part int").repartition(parts)
-    return packing.pack(docs, "doc_id", "text", RANKS, public_tokenizers.PATTERN, size=size).collect()
+    return packing.pack(docs, "doc_id", "text", PATH, size=size).collect()
 
 
 def test_every_id_lies_in_one_piece_and_windows_have_no_gap(spark):
@@ -21,8 +21,7 @@ def test_every_id_lies_in_one_piece_and_windows_have_no_gap(spark):
     words = ["the", " river", " Straße", "\n\n", " 42", " été", "   ", "x" * 30, "'s", " don't", "<|endoftext|>", " 漢字"]
     rows = [(i, "".join(rng.choice(words, int(rng.integers(0, 200)))), "clash", 1) for i in range(200)] + [(200, None, "", 0), (201, "", "", 0), (202, " river" * 3000, "", 0)]
     found = packed(spark, rows)
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(PATH)
     by_doc, by_window = defaultdict(list), defaultdict(list)
     for p in found:
         by_doc[p["key"]].append(p)
@@ -46,3 +45,27 @@ def test_repeated_rows_and_an_empty_table(spark):
     found = packed(spark, [(1, "same text", "", 0)] * 5)
     assert sum(p["length"] for p in found) == 5 * 3
     assert packed(spark, []) == []
+
+
+def test_end_markers_ties_and_long_texts_keep_the_ids_of_the_library(spark, monkeypatch):
+    tokenizer = Tokenizer.from_file(PATH)
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = np.random.default_rng(3)
+    bits = ["a", " b", "  ", "\n", "\t", "é", "\u3000", "\xa0", "'s", "42", "<|endoftext|>", " <|endoftext|>", "!", "漢", " \n\n "]
+    monkeypatch.setattr(packing, "PART", 7)
+    encode = packing.Encoder(PATH)
+    for _ in range(300):
+        text = "".join(rng.choice(bits, int(rng.integers(0, 60))))
+        assert "".join(packing.parts(text)) == text
+        assert encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.undo()
+    found = packed(spark, [(k, "x" * 16, "", 0) for k in range(40)], parts=1)  # ties: equal lengths
+    assert sorted(p["key"] for p in found if p["start"] == 0) == list(range(40))
+    assert sum(p["length"] for p in found) == sum({p["key"]: p["doc_tokens"] for p in found}.values())
+
+
+def test_a_run_of_blanks_is_encoded(spark):
+    found = packed(spark, [(1, " " * 1_000_000, "", 0), (2, "\n" * 1_000_000 + "x", "", 0)], size=1024, parts=1)
+    for key in (1, 2):
+        pieces = [p for p in found if p["key"] == key]
+        assert sum(p["length"] for p in pieces) == pieces[0]["doc_tokens"]
