@@ -11,12 +11,12 @@ OPEN_WINDOWS part-filled windows a group of partitions.
 
 Tokens: the ids that the `tokenizers` library gives by the file at `tokenizer`,
 without special tokens added (strings of the file's added tokens inside a text are
-those tokens), with `end` after each document. Texts over PART characters are
-encoded in parts cut between a character that is not white space and a blank:
-no piece of a byte-level vocabulary reaches over such a place.
+those tokens), with `end` after each document. Texts are encoded in parts, cut
+between a character that is not white space and a blank: no token of a byte-level
+vocabulary reaches over such a place, so each part is encoded only once.
 
 Cases: a null or empty text is the end token alone. Any length of text is
-handled; memory holds one batch's texts, the ids of one text, and OPEN_WINDOWS windows;
+handled; memory holds one batch's texts, the ids of a slice of them, and OPEN_WINDOWS windows;
 a run without such a place is one part. Repeated rows
 and ids are packed each for itself: a piece names its document by key only. An
 empty table gives no piece. Extra columns are ignored.
@@ -28,6 +28,8 @@ import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ OPEN_WINDOWS = 32
 TOP_UP = 16
 MERGE_PARTITIONS = 64
 SLICE_BYTES = 1 << 20
-PART = 1 << 18
+MEMORY, SHORT = 1 << 19, 64
 PIECES = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, done boolean"
 _SCHEMA = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("done", pa.bool_())])
 
@@ -52,30 +54,32 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def parts(text: str) -> list[str]:
-    """text cut into parts of PART characters or more, each up to the next place where no token is cut."""
-    out, at = [], 0
-    while len(text) - at > PART and (cut_at := _CUT.search(text, at + PART)):
-        out.append(text[at : cut_at.start()])
-        at = cut_at.start()
-    return [*out, text[at:]]
+    """text cut wherever a blank follows a character that is not white space: no token reaches over such a place."""
+    return _CUT.split(text)
 
 
 class Encoder:
-    """Ids of whole texts, a slice of texts at a time; one thread, as Spark runs a task a core."""
+    """Ids of whole texts. Each distinct part of a slice of texts is encoded once; of short parts the first MEMORY ones, so the frequent ones, are remembered."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread, as Spark runs a task a core
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        short = [k for k, t in enumerate(texts) if len(t) <= PART]
-        out: list = [None] * len(texts)
-        for k, found in zip(short, self.tokenizer.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
-            out[k] = np.array(found.ids, "<u4")
-        for k, text in enumerate(texts):
-            if out[k] is None:
-                out[k] = np.concatenate([np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4") for p in parts(text)])
-        return out
+        cut = [parts(t) for t in texts]
+        new = list(set().union(*cut) - self.known.keys())
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        ids = [np.array(e.ids, "<u4").tobytes() for e in found]
+        room = max(0, MEMORY - len(self.known))
+        self.known.update(islice(((p, b) for p, b in zip(new, ids) if len(p) <= SHORT), room))
+        here = dict(zip(new, ids))
+        get = lambda p: self.known.get(p) or here.get(p, b"")
+        whole = self.known.__getitem__ if here.keys() <= self.known.keys() else get
+        return [np.frombuffer(b"".join(map(whole, one)), "<u4") for one in cut]
+
+
+encoder = cache(Encoder)  # one a worker process, whose tasks share what it remembers
 
 
 class Windows:
@@ -147,7 +151,7 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, size: int = 1024,
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(key).alias("key"), F.col(text).alias("text"))
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = Encoder(tokenizer), np.array([end], "<u4")
+        encode, last = encoder(tokenizer), np.array([end], "<u4")
         windows, sequence, out, held = Windows(size, OPEN_WINDOWS), 0, [], 0
         for batch in batches:
             if not batch.num_rows:

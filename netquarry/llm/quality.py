@@ -35,7 +35,7 @@ from .shared import cut
 from .textbytes import slices, utf8, words
 
 FEATURES = ("symbols", "capitals", "digits", "repeats_1", "repeats_2", "repeats_3", "repeats_4", "long_words", "short_words", "mean_word", "lines")
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 PRIOR_REACH = 2.0
 BROADCAST_GROUPS = 200_000
 

@@ -34,7 +34,7 @@ from .textbytes import mix, slices, utf8, words
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 PASSAGE = 8
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _PASSAGES = re.compile(r"(?:[^\x20\t-\r]{1,64}[\x20\t-\r]*){1,%d}" % PASSAGE)
 _SPACES = re.compile(r"[\x20\t-\r]+")
