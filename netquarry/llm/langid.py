@@ -148,21 +148,29 @@ def train(samples: list[tuple[str, bytes]], hidden: int = 8, steps: int = 500, b
     return net
 
 
-def sample_windows(texts: DataFrame, lang: str, text: str, per_lang: int, windows: int, seed: int = 7) -> list[tuple[str, bytes]]:
+def sample_windows(texts: DataFrame, lang: str, text: str, per_lang: int, windows: int, seed: int = 7, most: int = 25_000) -> list[tuple[str, bytes]]:
     """At most `windows` windows of bytes, at random places of the whole text, from about per_lang texts of each language.
 
-    Counts by language are over all rows; rows are then drawn by a hash, so
-    per_lang x languages x windows bounds what reaches the driver.
+    Counts by language are over all rows; rows are then drawn by a hash, and of equal
+    texts one is taken. With many languages each gives fewer texts, so that all
+    have about `most` together; no language is left out. `most` x windows bounds
+    what reaches the driver. More than 1,000 labels are an error: such a column holds no
+    languages.
     """
     rows = texts.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if languages > 1000:
+        raise ValueError(f"{languages} labels are too many for languages")
+    each = max(1, min(per_lang, most // max(1, languages)))
     drawn = (
-        rows.join(F.broadcast(counts.limit(1000)), "lang")
-        .where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < F.least(F.lit(1.0), per_lang / F.col("count")) * (1 << 30))
+        rows.join(F.broadcast(counts), "lang")
+        .where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.greatest(F.lit(each), F.lit(8)) / F.col("count")) * (1 << 30))
         .select("lang", F.encode("text", "utf-8").alias("data"), F.xxhash64("text").alias("draw"))
     )
+    drawn = drawn.groupBy("lang", "draw").agg(F.min("data").alias("data"))
     spots = F.transform(F.sequence(F.lit(1), F.lit(windows)), lambda k: F.substring(F.col("data"), F.pmod(F.xxhash64("draw", k), F.greatest(F.lit(1), F.length("data") - WINDOW + 1)).cast("int") + 1, F.lit(WINDOW)))
-    taken = drawn.select("lang", F.explode(spots).alias("w"), "draw").orderBy("draw", "lang", "w").limit(per_lang * windows * 50)
+    taken = drawn.select("lang", F.explode(spots).alias("w"), "draw").orderBy("draw", "lang", "w")
     return [(r["lang"], bytes(r["w"])) for r in taken.collect()]
 
 

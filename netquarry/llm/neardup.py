@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .shared import cut
+from .shared import HOT, HOT_ROWS, cut
 from .vectors import matrix, usable
 
 BLOCK = 2048
@@ -100,7 +100,13 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, label: str, thres
     found = cut(meets.groupBy("label", "dim", "lo", "hi").applyInArrow(compare, "rep long, links long, root long"))
     components = connected_components(found, "rep", "root").withColumnRenamed("vertex", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    marked = distinct.join(links, "rep", "left").join(components, "rep", "left").select("label", "x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    yes = rows.where(part).join(marked, ["label", "x"], "left").select("id", "n_links", "component_id")
+    marked = distinct.join(links, "rep", "left").join(components, "rep", "left").select("label", "x", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    marked = cut(marked)
+    # vectors with a large share of all rows, HOT at most, are joined by broadcast, so that their copies need not meet in one task
+    n = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    often = marked.where(F.col("copies") >= max(HOT_ROWS, n / HOT))
+    hot = F.broadcast(often.drop("copies"))
+    mine = rows.where(part)
+    yes = mine.join(F.broadcast(often.select("label", "x")), ["label", "x"], "left_anti").join(marked.drop("copies"), ["label", "x"], "left").unionByName(mine.join(hot, ["label", "x"])).select("id", "n_links", "component_id")
     no = rows.where(~part).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return yes.unionByName(no).withColumnRenamed("id", "vec_id")

@@ -79,7 +79,10 @@ class Encoder:
         return [np.frombuffer(b"".join(map(whole, one)), "<u4") for one in cut]
 
 
-encoder = cache(Encoder)  # one a worker process, whose tasks share what it remembers
+@cache
+def encoder(path: str) -> Encoder:
+    """One a worker process, whose tasks share what it remembers."""
+    return Encoder(path)
 
 
 class Windows:

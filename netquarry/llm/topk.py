@@ -10,7 +10,7 @@ shard to shard. Leaves are visited from the highest bound down, and a query stop
 where no bound reaches its current k-th score. A bound equal to it is still
 visited, so ties are decided by id.
 
-Scores are exact: products are summed as doubles while all partial sums stay
+Components times the scale must stay under 2 ** 63. Scores are exact: products are summed as doubles while all partial sums stay
 under 2 ** 53, else as Python integers. A score must fit a long.
 
 Cases: unusable vectors (null, empty, or with null or non-finite components) and
