@@ -246,16 +246,13 @@ for _n, _name, _keys in ((14, "llmnr_response", ["local_ip", "local_port", "txid
     query(f"jn{_n}_{_name}", _pair_sql("protocol = 'UDP'", ", ".join(_keys), "is_outgoing", "not is_outgoing", 10))(lambda s, d, keys=_keys: latency.transactions(packets(s, d), F.expr("protocol = 'UDP'"), "llmnr", keys))
 
 
-@query("jn19_interval_match", P + """, s as (select l_linenumber as line, l_suppkey % 50 as k, (l_orderkey % 200) * 1000000 as first_us, (l_orderkey % 200) * 1000000 + l_linenumber * 500000 as last_us from lineitem where l_orderkey % 97 = 0),
-t as (select row_number() over (order by k, first_us, last_us, line) as line, k, first_us, last_us from (select distinct * from s)),
+@query("jn19_interval_match", P + """, t as (select l_orderkey * 8 + l_linenumber as line, l_suppkey % 50 as k, (l_orderkey % 200) * 1000000 as first_us, (l_orderkey % 200) * 1000000 + l_linenumber * 500000 as last_us from lineitem),
 m as (select frame_no, line, greatest(first_us - us, us - last_us, 0) as dist from packets p join t on t.k = p.user_id % 50 and us between first_us - 2000000 and last_us + 2000000)
-select frame_no, min(dist) as distance_us, min_by(line, dist * 100000 + line) as line from m group by 1""")
+select frame_no, min(dist) as distance_us, arg_min(line, dist * 1000000000 + line) as line from m group by 1""")
 def jn19(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 97 = 0")
     first = (F.col("l_orderkey") % 200) * SECOND
-    spans = li.select(F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 50).alias("k"), first.alias("first_us"), (first + F.col("l_linenumber") * 500_000).alias("last_us")).distinct()
-    numbered = sorts.ranked(spans.withColumnRenamed("line", "old"), F.col("k"), F.col("first_us"), F.col("last_us"), F.col("old"), name="line").drop("old").withColumn("line", F.col("line").cast("long"))
-    return joins.interval_match(packets(spark, d).select("frame_no", "us", (F.col("user_id") % 50).alias("k")), numbered, ["k"], 2 * SECOND)
+    spans = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("line"), (F.col("l_suppkey") % 50).alias("k"), first.alias("first_us"), (first + F.col("l_linenumber") * 500_000).alias("last_us"))
+    return joins.interval_match(packets(spark, d).select("frame_no", "us", (F.col("user_id") % 50).alias("k")), spans, ["k"], 2 * SECOND)
 
 
 def _processes(spark: SparkSession, d: str) -> DataFrame:
@@ -491,19 +488,19 @@ def wn18(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sortable(spark: SparkSession, d: str) -> DataFrame:
-    return flows(spark, d).withColumns({"rate_in": F.col("bytes_received").cast("double"), "rate_out": F.col("bytes_sent").cast("double"), "country_code": F.lit(None).cast("string"), "rtt_us": F.col("last_txid")})
+    return flows(spark, d).withColumns({"rate_in": F.col("bytes_received").cast("double"), "rate_out": F.col("bytes_sent").cast("double"), "country_code": F.when(F.col("last_txid") % 5 != 0, F.concat(F.lit("C"), (F.col("last_txid") % 5).cast("string"))), "rtt_us": F.col("last_txid")})
 
 
 _ORDERS = {
     "created": "created_us", "bandwidth": "case when is_historic then 0 else bytes_sent + bytes_received end desc", "process": "coalesce(process_name, '')",
     "remote": "cast(split_part(remote_ip, '.', 4) as integer), remote_port", "local": "cast(split_part(local_ip, '.', 4) as integer), local_port",
-    "application": "application nulls first, list_position(['TCP','UDP','ICMP','IGMP','ARP'], protocol)", "service": "coalesce(service_name, '')", "state": "state", "rtt": "last_txid desc", "location": "1 + 1",
+    "application": "application nulls first, list_position(['TCP','UDP','ICMP','IGMP','ARP'], protocol)", "service": "coalesce(service_name, '')", "state": "state", "rtt": "last_txid desc", "location": "case when last_txid % 5 <> 0 then 'C' || (last_txid % 5) else '' end",
 }
 for _order, _by in _ORDERS.items():
-    query(f"so1_by_{_order}", FLOWS_SQL + f" select {KEYS} from flows order by {_by}, created_us, {KEYS} limit 20")(lambda s, d, o=_order: sorts.order_connections(_sortable(s, d), o).limit(20).select(*FLOW))
+    query(f"so1_by_{_order}", FLOWS_SQL + f" select {KEYS}, row_number() over (order by {_by}, created_us, {KEYS}) as position from flows")(lambda s, d, o=_order: sorts.connection_positions(_sortable(s, d), o).select(*FLOW, "position"))
 
 
-@query("so3_activity_order", FLOWS_SQL + ", g as (select process_name, null::bigint as pid, sum(bytes_sent) as tx from flows group by 1) select process_name, cast(tx as bigint) as tx, cast(row_number() over (order by tx desc, process_name nulls first) as integer) as position from g")
+@query("so3_activity_order", FLOWS_SQL + ", g as (select process_name, null::bigint as pid, sum(bytes_sent) as tx from flows group by 1) select process_name, cast(tx as bigint) as tx, row_number() over (order by tx desc, process_name nulls first) as position from g")
 def so3(spark: SparkSession, d: str) -> DataFrame:
     g = flows(spark, d).groupBy("process_name").agg(F.sum("bytes_sent").alias("tx")).withColumn("pid", F.lit(None).cast("long"))
     return sorts.ranked(g, *sorts.activity_keys("tx")).select("process_name", "tx", "position")

@@ -296,3 +296,24 @@ def valid_hostname(host: Column) -> Column:
 
 def authoritative_hostname(host: Column) -> Column:
     return F.when(~host.endswith("[PARTIAL]"), host)
+
+
+# Link types by number.
+LINK_CLASSES = {1: "Ethernet", 0: "RawIP", 12: "RawIP", 101: "RawIP", 228: "RawIP", 229: "RawIP", 113: "LinuxSLL", 276: "LinuxSLL2", 149: "Pktap", 258: "Pktap"}
+
+
+def link_class(linktype: Column, interface: Column) -> Column:
+    """What a link's frames begin with; tunnels are told by the interface's name."""
+    name = F.coalesce(interface, F.lit(""))
+    return F.when(name.startswith("tun") | name.startswith("utun"), "Tun").when(name.startswith("tap"), "Tap").otherwise(coded(linktype, LINK_CLASSES, F.lit("Unknown")))
+
+
+def process_tree(ancestors: Column, name: Column, pid: Column) -> Column:
+    """Ancestors, oldest first, and the process itself, joined by arrows."""
+    one = lambda n, p: F.concat(n, F.lit(" ("), p.cast("string"), F.lit(")"))
+    return F.array_join(F.concat(F.transform(ancestors, lambda a: one(a["name"], a["pid"])), F.array(one(name, pid))), " → ")
+
+
+def owner_label(name: Column, number: Column) -> Column:
+    """A user's or group's name with its number, or the number alone."""
+    return F.coalesce(F.concat(name, F.lit(" ("), number.cast("string"), F.lit(")")), number.cast("string"))

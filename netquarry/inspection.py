@@ -129,7 +129,7 @@ def fl1(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("protocol", "local_port", "remote_ip", "remote_port", "packets", F.col("dpi.app").alias("app"), dpi.hostname(F.col("dpi")).alias("name"))
 
 
-@query("fl1_ingest", P + f" select {KEYS}, cast(sum(case when is_outgoing then case when protocol = 'TCP' then 40 else 32 end else 0 end) as bigint) as bytes_sent, cast(sum(case when is_outgoing then 0 when protocol = 'TCP' then 40 else 32 end) as bigint) as bytes_received, count(*) as packets, min(us) as created_us, max(us) as last_us from packets where protocol <> 'ICMP' group by all")
+@query("fl1_ingest", P + f" select {KEYS}, cast(sum(case when is_outgoing then case when protocol = 'TCP' then 54 else 46 end else 0 end) as bigint) as bytes_sent, cast(sum(case when is_outgoing then 0 when protocol = 'TCP' then 54 else 46 end) as bigint) as bytes_received, count(*) as packets, min(us) as created_us, max(us) as last_us from packets where protocol <> 'ICMP' group by all")
 def fl1_ingest(spark: SparkSession, d: str) -> DataFrame:
     local = packets(spark, d).select(F.col("local_ip").alias("ip")).distinct()
     rows = dpi.ingest(_frames(spark, d), local)

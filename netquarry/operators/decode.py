@@ -1,17 +1,17 @@
-"""Frames to packets and payloads to application fields, by native byte expressions.
+"""Payloads to application fields, by native byte expressions where a format allows it.
 
-A frame is cut by substring() and read by conv(hex()), so decoding stays inside
-generated code and unused fields are pruned. Malformed frames give NULL fields.
+Malformed payloads give NULL fields. Frames are decoded in netquarry.operators.frames.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netquarry.functions.net import valid_hostname
+from netquarry.operators.frames import packets as packets  # the frame decoder, beside the payload decoders
 
 
 def number(data: Column, at: Column | int, n: int) -> Column:
@@ -21,109 +21,13 @@ def number(data: Column, at: Column | int, n: int) -> Column:
     return F.when((F.length(part) == n) & (at >= 0), F.conv(F.hex(part), 16, 10).cast("long"))
 
 
-def ip4(data: Column, at: Column | int) -> Column:
-    at = F.lit(at) if isinstance(at, int) else at
-    return F.concat_ws(".", *(number(data, at + k, 1).cast("string") for k in range(4)))
-
-
-def ip6_groups(data: Column, at: Column | int) -> Column:
-    """The eight groups without leading zeros, as :g:g:g:g:g:g:g:g:."""
-    at = F.lit(at) if isinstance(at, int) else at
-    groups = [F.lower(F.hex(number(data, at + 2 * k, 2))) for k in range(8)]
-    return F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
-
-
-def ip6(groups: Column) -> Column:
-    """Canonical text of ip6_groups(): the first longest run of two or more zero groups as ::. Pass a plain column, as it is read many times."""
-    out = None
-    for n in range(8, 1, -1):
-        zeros = ":" + "0:" * n
-        short = F.regexp_replace(groups, f"^(.*?){zeros}", "$1::")
-        out = F.when(groups.contains(zeros), short) if out is None else out.when(groups.contains(zeros), short)
-    return F.regexp_replace(F.regexp_replace(out.otherwise(groups), "^:(?!:)", ""), "(?<!:):$", "")
-
-
-# Bytes before the network header by link type; -1: by EtherType.
-LINK_HEADER = {0: 4, 12: 0, 101: 0, 228: 0, 229: 0, 113: 16, 276: 20, 1: -1}
-
-
-def network(frames: DataFrame) -> DataFrame:
-    """Offset of the network header and its EtherType, one 802.1Q tag skipped."""
-    data, link = F.col("data"), F.col("linktype")
-    tagged = number(data, 12, 2) == 0x8100
-    ether_at = F.when(tagged, 18).otherwise(14)
-    ether = number(data, ether_at - 2, 2)
-    raw_at = F.when(link == 0, 4).otherwise(0)
-    nibble = F.shiftright(number(data, raw_at, 1), 4)
-    raw = F.when(nibble == 4, 0x0800).when(nibble == 6, 0x86DD)
-    is_raw = link.isin(0, 12, 101, 228, 229)
-    kind = F.when(is_raw, raw).when(link == 113, number(data, 14, 2)).when(link == 276, number(data, 0, 2)).otherwise(ether)
-    at = F.when(is_raw, raw_at).when(link == 113, 16).when(link == 276, 20).otherwise(ether_at)
-    return frames.withColumns({"net_at": at.cast("int"), "ethertype": kind})
-
-
-def packets(frames: DataFrame, local: DataFrame) -> DataFrame:
-    """Decoded packets: TCP, UDP, ICMP, IGMP and ARP over IPv4, and TCP, UDP and ICMPv6 over plain IPv6.
-
-    `local` (ip) lists the host's own addresses; a packet from one of them is
-    outgoing. Fragments but the first, and frames that do not decode, are left out.
-    """
-    d, n = F.col("data"), F.col("net_at")
-    rows = network(frames)
-    rows = rows.withColumns({c: F.when(F.col("ethertype") == 0x86DD, ip6_groups(d, n + at)) for c, at in (("src6", 8), ("dst6", 24))})
-    v4, v6, arp = (F.col("ethertype") == x for x in (0x0800, 0x86DD, 0x0806))
-    ihl = number(d, n, 1).bitwiseAND(15) * 4
-    total = number(d, n + 2, 2)
-    first = number(d, n + 6, 2).bitwiseAND(0x1FFF) == 0
-    rows = rows.withColumns(
-        {
-            "proto": F.when(v4 & first & (ihl >= 20), number(d, n + 9, 1)).when(v6, number(d, n + 6, 1)),
-            "l4": F.when(v4, n + ihl).when(v6, n + 40).cast("int"),
-            "end": F.when(v4, n + total).when(v6, n + 40 + number(d, n + 4, 2)).cast("int"),
-            "src": F.when(v4, ip4(d, n + 12)).when(v6, ip6(F.col("src6"))).when(arp, ip4(d, n + 14)),
-            "dst": F.when(v4, ip4(d, n + 16)).when(v6, ip6(F.col("dst6"))).when(arp, ip4(d, n + 24)),
-            "arp_op": F.when(arp & (number(d, n, 2) == 1) & (number(d, n + 2, 2) == 0x0800), number(d, n + 6, 2)),
-        }
-    )
-    p, at = F.col("proto"), F.col("l4")
-    flags = number(d, at + 13, 1)
-    head = F.when(p == 6, F.shiftright(number(d, at + 12, 1), 4) * 4).when(p == 17, 8)
-    mac = lambda k: F.lower(F.concat_ws(":", *(F.hex(F.substring(d, k + 1 + j, F.lit(1))) for j in range(6))))
-    bit = lambda b: F.when(p == 6, flags.bitwiseAND(b) != 0)
-    fields = {
-        "protocol": F.when((p == 6) & (head >= 20), "TCP").when((p == 17) & (number(d, at + 4, 2) >= 8), "UDP").when((p.isin(1, 58)) & number(d, at, 1).isNotNull(), "ICMP").when(p == 2, "IGMP").when(F.col("arp_op").isin(1, 2), "ARP"),
-        "src_port": F.when(p.isin(6, 17), number(d, at, 2)).otherwise(0).cast("int"),
-        "dst_port": F.when(p.isin(6, 17), number(d, at + 2, 2)).otherwise(0).cast("int"),
-        "fin": bit(1), "syn": bit(2), "rst": bit(4), "ack_flag": bit(16),
-        "seq": F.when(p == 6, number(d, at + 4, 4)), "ack": F.when(p == 6, number(d, at + 8, 4)), "window": F.when(p == 6, number(d, at + 14, 2)),
-        "payload_len": F.greatest(F.col("end") - at - head, F.lit(0)),
-        "payload": F.substring(d, at + head.cast("int") + 1, F.greatest(F.col("end") - at - head, F.lit(0)).cast("int")),
-        "icmp_type": F.when(F.col("proto").isin(1, 58), number(d, at, 1)),
-        "icmp_id": F.when(number(d, at, 1).isin(0, 8, 128, 129), number(d, at + 4, 2)),
-        "icmp_seq": F.when(number(d, at, 1).isin(0, 8, 128, 129), number(d, at + 6, 2)),
-        "igmp_group": F.when((p == 2) & (number(d, at, 1) != 0x22), ip4(d, at + 4)),
-        "op": F.when(F.col("arp_op") == 1, "request").when(F.col("arp_op") == 2, "reply"),
-        "sender_mac": F.when(arp, mac(n + 8)), "target_mac": F.when(arp, mac(n + 18)),
-        "packet_len": F.when(arp, F.length(d)).otherwise(F.col("end")).cast("long"),
-    }
-    # A generator, so that later filters are not pushed down into copies of these expressions.
-    whole = F.struct(*(c.alias(name) for name, c in fields.items()), "src", "dst")
-    kept = [c for c in frames.columns if c not in ("data", *fields, "src", "dst")]
-    rows = rows.select(*kept, F.inline(F.when(fields["protocol"].isNotNull(), F.array(whole))))
-    own = local.select(F.col("ip").alias("__own")).distinct().withColumn("__is", F.lit(True))
-    out = F.coalesce("__is", F.lit(False))
-    sides = rows.join(own, rows["src"] == own["__own"], "left")
-    side = lambda a, b: F.when(out, F.col(a)).otherwise(F.col(b))
-    return sides.withColumns({"is_outgoing": out, "local_ip": side("src", "dst"), "remote_ip": side("dst", "src"), "local_port": side("src_port", "dst_port"), "remote_port": side("dst_port", "src_port"), "sender_ip": F.when(F.col("op").isNotNull(), F.col("src")), "target_ip": F.when(F.col("op").isNotNull(), F.col("dst"))}).drop("__own", "__is", "src", "dst", "src_port", "dst_port")
-
-
 # -- text dissectors -----------------------------------------------------------
 
 
 def http(text: Column) -> Column:
     """Method, path, version, status, host and user agent of an HTTP/1 message; NULL if it is none. The last of repeated headers wins."""
     methods = "GET|POST|PUT|DELETE|HEAD|OPTIONS|CONNECT|TRACE|PATCH"
-    request, status = rf"^({methods}) (\S+) (HTTP/\d\.\d)", r"^(HTTP/\d\.\d) ([1-5]\d\d)"
+    request, status = rf"^({methods}) (\S+) (HTTP/(?:1\.[01]|2))(?=[\r\n]|$)", r"^(HTTP/(?:1\.[01]|2)) ([1-5]\d\d)"
     get = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
     head = F.split_part(F.regexp_replace(text, "\r\n", "\n"), F.lit("\n\n"), F.lit(1))
     header = lambda name: F.nullif(F.trim(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(head, F.lit(rf"(?im)^{name}:[ \t]*(.*)$"), F.lit(1))), -1)), F.lit(""))
@@ -140,7 +44,8 @@ def ftp(text: Column) -> Column:
     verbs = "USER|PASS|ACCT|CWD|CDUP|QUIT|PORT|PASV|TYPE|RETR|STOR|LIST|NLST|SYST|STAT|HELP|NOOP|FEAT|EPSV|EPRT|MLSD|MDTM|SIZE|DELE|RNFR|RNTO|MKD|RMD|PWD|AUTH|PBSZ|PROT|REST|ABOR|APPE|OPTS"
     get = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
     command, reply = rf"(?i)^({verbs})(?: ([^\r\n]*))?\r?\n", r"^([1-5][0-5]\d)[ -]([^\r\n]*)"
-    info = F.struct(F.upper(get(command, 1)).alias("command"), get(command, 2).alias("args"), get(reply, 1).cast("int").alias("code"), get(reply, 2).alias("message"), F.when(F.upper(get(command, 1)) == "USER", get(command, 2)).alias("username"), F.when(get(reply, 1) == "220", get(reply, 2)).alias("software"), F.when(get(reply, 1) == "215", get(reply, 2)).alias("system"))
+    last, token = F.coalesce(get(r"^(\d{3}) ", 1), F.lit("")), get(r"^\d{3} \s*([^\s]+)", 1)  # a line with a continuation mark names nothing
+    info = F.struct(F.upper(get(command, 1)).alias("command"), get(command, 2).alias("args"), get(reply, 1).cast("int").alias("code"), get(reply, 2).alias("message"), F.when(F.upper(get(command, 1)) == "USER", get(command, 2)).alias("username"), F.when(last.startswith("220"), token).alias("software"), F.when(last.startswith("215"), token).alias("system"))
     return F.when(text.rlike(command) | text.rlike(reply), info)
 
 

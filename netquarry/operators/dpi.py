@@ -34,22 +34,20 @@ def dissect(packets: DataFrame) -> DataFrame:
     text = F.decode(data, "iso-8859-1")
     asked = lambda yes: F.when(some & yes, data)
     hello = port(443) | F.coalesce((F.substring(data, 1, 1) == F.lit(b"\x16")) & (F.substring(data, 2, 1) == F.lit(b"\x03")), F.lit(False))
-    told = packets.withColumns(
-        {
-            "__http": F.when(tcp & some, decode.http(text)),
-            "__tls": decode.tls(asked(tcp & hello)),
-            "__bt": F.when(tcp & some, decode.bittorrent(data)),
-            "__mqtt": F.when(tcp & some & port(1883), decode.mqtt(data)),
-            "__ssh": F.when(tcp & some, decode.ssh_banner(text)),
-            "__ftp": F.when(tcp & some & (port(21) | text.rlike(r"^(?:USER |PASS |220[ -])")), decode.ftp(text)),
-            "__dns": decode.dns(asked(udp & port(53, 5353, 5355))),
-            "__dhcp": decode.dhcp(asked(udp & port(67, 68))),
-            "__ntp": F.when(udp & some & port(123), decode.ntp(data)),
-            "__ssdp": F.when(udp & some & port(1900), decode.ssdp(text)),
-            "__stun": F.when(udp & some, decode.stun(data)),
-        }
-    )
-    c = F.col
+    seen = packets.withColumns({"__tls": decode.tls(asked(tcp & hello)), "__dns": decode.dns(asked(udp & port(53, 5353, 5355))), "__dhcp": decode.dhcp(asked(udp & port(67, 68)))})
+    found = {
+        "http": F.when(tcp & some, decode.http(text)),
+        "bt": F.when(tcp & some, decode.bittorrent(data)),
+        "mqtt": F.when(tcp & some & port(1883), decode.mqtt(data)),
+        "ssh": F.when(tcp & some, decode.ssh_banner(text)),
+        "ftp": F.when(tcp & some & (port(21) | text.rlike(r"^(?:USER |PASS |220[ -])")), decode.ftp(text)),
+        "ntp": F.when(udp & some & port(123), decode.ntp(data)),
+        "ssdp": F.when(udp & some & port(1900), decode.ssdp(text)),
+        "stun": F.when(udp & some, decode.stun(data)),
+    }
+    # Generators of one row, here and below: what reads single fields later is not put in place of the dissectors, once a field.
+    told = seen.select("*", F.explode(F.array(F.struct(*(v.alias(n) for n, v in found.items())))).alias("__d"))
+    c = lambda n: F.col(n if n.split(".")[0] in ("__tls", "__dns", "__dhcp") else n.replace("__", "__d."))
     named = F.when(port(53), "DNS").when(port(5353), "mDNS").otherwise("LLMNR")
     # in the order of inspection; each accepts by its own fields
     cases = [
@@ -70,15 +68,12 @@ def dissect(packets: DataFrame) -> DataFrame:
     dns = {"query": c("__dns.name"), "is_response": c("__dns.is_response"), "ips": c("__dns.ips"), "code": c("__dns.rcode"), "kind": c("__dns.qtype").cast("string"), "txid": c("__dns.txid").cast("string")}
     types = {"code": "int", "is_response": "boolean", "ips": "array<string>", "alpn": "array<string>", "cipher": "int"}
 
-    def field(name: str) -> Column:
-        out = None
-        for test, app, values in cases:
-            value = F.lit(app) if name == "app" else (dns if values is None else values).get(name, F.lit(None))
-            out = F.when(test, value.cast(types.get(name, "string"))) if out is None else out.when(test, value.cast(types.get(name, "string")))
-        return out
-
-    whole = F.struct(*(field(n).alias(n) for n in FIELDS))
-    return told.withColumn("dpi", F.when(whole["app"].isNotNull(), whole)).drop(*(x for x in told.columns if x.startswith("__")))
+    whole = None
+    for test, app, values in cases:
+        given = {"app": F.lit(app)} | (dns if values is None else values)
+        one = F.struct(*(given.get(n, F.lit(None)).cast(types.get(n, "string")).alias(n) for n in FIELDS))
+        whole = F.when(test, one) if whole is None else whole.when(test, one)
+    return told.select(*packets.columns, F.explode(F.array(whole)).alias("dpi"))
 
 
 def _with(head: Column, *details: Column) -> Column:

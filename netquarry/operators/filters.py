@@ -30,7 +30,7 @@ TEXTS = (
     | dict.fromkeys(["container", "cont"], ["container_name", "container_id"])
 )
 #: What a token without a key searches, besides both endpoints.
-GENERAL = ["protocol", "process_name", "service_name", "sni", "host", "application", "attributed_hostname", "dns_query", "user_agent", "path", "sender_vendor", "target_vendor"]
+GENERAL = ["protocol", "process_name", "service_name", "sni", "host", "application", "attributed_hostname", "dns_query", "user_agent", "path", "sender_vendor", "target_vendor", "alpn", "dpi_method", "dpi_query", "dpi_software", "dpi_command", "dpi_args", "dpi_username", "dpi_system", "dpi_hostname", "dpi_target", "dpi_client_id", "dpi_topic", "dpi_client", "dpi_code", "dpi_community", "dpi_netbios_name"]
 
 
 def _pattern(value: str) -> str | None:

@@ -30,9 +30,9 @@ def with_vendor(rows: DataFrame, mac: str, oui: DataFrame, name: str = "vendor")
 
 
 def exact_owner(rows: DataFrame, sockets: DataFrame) -> DataFrame:
-    """Owners by the whole address pair."""
+    """Owners by the whole address pair; of several the one with the least pid."""
     keys = ["protocol", "local_ip", "local_port", "remote_ip", "remote_port"]
-    return rows.join(sockets.select(*keys, "pid", "name").dropDuplicates(keys), keys, "left")
+    return rows.join(sockets.groupBy(*keys).agg(F.min(F.struct("pid", "name")).alias("o")).select(*keys, "o.pid", "o.name"), keys, "left")
 
 
 def relaxed_owner(rows: DataFrame, sockets: DataFrame, key: list[str]) -> DataFrame:
@@ -51,19 +51,21 @@ def relaxed_owner(rows: DataFrame, sockets: DataFrame, key: list[str]) -> DataFr
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, tolerance_us: int, forward: bool = False, value: str = "name") -> DataFrame:
-    """For each row of left (at, id) the nearest value of right by key, at most tolerance_us before (or after).
+    """For each row of left (at, id) the nearest value of right by key, at most tolerance_us before (or after); of equal times the least value.
 
-    Times are cut into buckets as wide as the tolerance; left asks in its own and
-    the neighbouring bucket. So one popular key is spread over its buckets and the
-    join is a plain equi-join.
+    Both sides go through one window: by key and a time bucket as wide as the tolerance,
+    in order of time, each left row takes the last value passed. Right rows stand in
+    their own bucket and the one behind it, so one popular key is spread over its
+    buckets, and the work grows with the rows, not with the pairs of a bucket.
     """
-    bucket = lambda c: F.expr(f"{c} div {tolerance_us}")
-    asked = left.select(F.col(key).alias("__k"), "at", "id", F.explode(F.array(bucket("at"), bucket("at") + (1 if forward else -1))).alias("__b"))
-    held = right.select(F.col(key).alias("__k"), F.col("at").alias("__at"), F.col(value).alias("__v"), bucket("at").alias("__b"))
-    gap = (F.col("__at") - F.col("at")) if forward else (F.col("at") - F.col("__at"))
-    near = asked.join(held, ["__k", "__b"]).where(gap.between(0, tolerance_us))
-    pick = F.min_by(F.struct("__v", "__at"), F.struct(gap, "__v"))
-    return near.groupBy("id").agg(pick.alias("m")).select("id", F.col("m.__v").alias(value), F.col("m.__at").alias("observed_at"))
+    bucket, near = F.expr(f"at div {tolerance_us}"), -1 if forward else 1
+    asked = left.select(F.col(key).alias("__k"), bucket.alias("__b"), "at", F.lit(True).alias("__asks"), "id", F.lit(None).cast(right.schema[value].dataType).alias("__v"))
+    held = right.select(F.col(key).alias("__k"), F.explode(F.array(bucket, bucket + near)).alias("__b"), "at", F.lit(False).alias("__asks"), F.lit(None).cast(left.schema["id"].dataType).alias("id"), F.col(value).alias("__v"))
+    time = F.desc("at") if forward else F.asc("at")
+    passed = Window.partitionBy("__k", "__b").orderBy(time, F.asc("__asks"), F.desc("__v")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(~F.col("__asks") & F.col("__v").isNotNull(), F.struct("__v", "at")), ignorenulls=True).over(passed)
+    found = asked.unionByName(held).withColumn("m", seen).where("__asks and m is not null").where(F.abs(F.col("m.at") - F.col("at")) <= tolerance_us)
+    return found.select("id", F.col("m.__v").alias(value), F.col("m.at").alias("observed_at"))
 
 
 def attribute(flows: DataFrame, answers: DataFrame, key: str, tolerance_us: int = 10 * SECOND) -> DataFrame:
@@ -93,7 +95,7 @@ def flagged(rows: DataFrame, column: str, members: DataFrame, member: str, name:
     return rows.join(marks, rows[column] == marks["__m"], "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__m", "__hit")
 
 
-def interval_match(packets: DataFrame, spans: DataFrame, keys: list[str], slack_us: int, bucket_us: int = 60 * SECOND) -> DataFrame:
+def interval_match(packets: DataFrame, spans: DataFrame, keys: list[str], slack_us: int, bucket_us: int = 4 * SECOND) -> DataFrame:
     """For each packet the span (first_us, last_us, line) of its key that holds its time within slack; nearest first, ties by line.
 
     Spans are exploded to the time buckets they touch, so that long-lived keys do
@@ -132,3 +134,26 @@ def first_known(*columns: Column, unknown: str = "Unknown") -> Column:
 
 def newest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
+
+
+def with_neighbour(rows: DataFrame, latest: DataFrame, ip: str = "remote_ip", name: str = "remote_mac") -> DataFrame:
+    """The newest link address known for an address, from aggregates.neighbours()."""
+    table = latest.select(F.col("ip").alias("__ip"), F.col("mac").alias(name))
+    return rows.join(table, rows[ip] == table["__ip"], "left").drop("__ip")
+
+
+def kernel_owner(rows: DataFrame, kernel: DataFrame, sockets: DataFrame, key: list[str]) -> DataFrame:
+    """Owners as the kernel saw them by exact tuple, else as the socket table has them, exactly or loosely; quality says which."""
+    keys = ["protocol", "local_ip", "local_port", "remote_ip", "remote_port"]
+    one = kernel.groupBy(*keys).agg(F.min(F.struct("pid", "name")).alias("__kernel"))
+    two = sockets.groupBy(*keys).agg(F.min(F.struct("pid", "name")).alias("__exact"))
+    loose = relaxed_owner(rows, sockets, key).select(*key, F.struct("pid", "name").alias("__loose"))
+    found = rows.join(one, keys, "left").join(two, keys, "left").join(loose, key, "left")
+    best = F.coalesce("__kernel", "__exact", "__loose")
+    quality = F.when(F.col("__kernel").isNotNull(), "exact-tuple").when(F.col("__exact").isNotNull(), "procfs-exact").when(F.col("__loose").isNotNull(), "procfs-relaxed").otherwise("unspecified")
+    return found.withColumns({"pid": best["pid"], "name": best["name"], "quality": quality}).drop("__kernel", "__exact", "__loose")
+
+
+def of_generation(rows: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
+    """Notes only for rows of the very generation that they were made for: equal keys and creation time."""
+    return rows.join(notes, [*keys, "created_us"], "left")

@@ -9,7 +9,7 @@ netquarry.streaming uses the same rules with the flow held as state.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -175,12 +175,12 @@ class Flow:
 
 SHOWN = ["state", "created_us", "last_us", "terminal_us", "closed_us", "close_reason", "direction", "bytes_sent", "bytes_received", "packets_sent", "packets_received", "retransmits", "out_of_order", "duplicate_acks", "fast_retransmits", "srtt_us"]
 _KEY_DDL = "protocol string, local_ip string, local_port int, remote_ip string, remote_port int"
-DDL = f"{_KEY_DDL}, generation int, state string, created_us long, last_us long, terminal_us long, closed_us long, close_reason string, direction boolean, bytes_sent long, bytes_received long, packets_sent long, packets_received long, retransmits long, out_of_order long, duplicate_acks long, fast_retransmits long, srtt_us long"
+DDL = f"{_KEY_DDL}, state string, created_us long, last_us long, terminal_us long, closed_us long, close_reason string, direction boolean, bytes_sent long, bytes_received long, packets_sent long, packets_received long, retransmits long, out_of_order long, duplicate_acks long, fast_retransmits long, srtt_us long"
 PACKET = ["us", "is_outgoing", "packet_len", "syn", "ack_flag", "fin", "rst", "seq", "ack", "payload_len"]
 
 
 def generations(packets: DataFrame, application: Column | None = None) -> DataFrame:
-    """One row a generation of a flow; the one still live at the end has no closed_us.
+    """One row a generation of a flow, named by its created_us; the one still live at the end has no closed_us.
 
     Packets of equal time go by frame number. `application` sets the timeouts.
     """
@@ -188,14 +188,11 @@ def generations(packets: DataFrame, application: Column | None = None) -> DataFr
     dealt = rows.repartition(*FLOW).sortWithinPartitions(*FLOW, "us", "frame_no")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, flow, n, app = None, Flow(), 0, None
+        key, flow = None, Flow()
         made: list[tuple] = []
 
         def row(g: Generation) -> None:
-            nonlocal n
-            shown = asdict(g)
-            made.append((*key, n, *(shown[c] for c in SHOWN)))
-            n += 1
+            made.append((*key, *(getattr(g, c) for c in SHOWN)))
 
         def batch() -> pd.DataFrame:
             names = [c.split()[0] for c in DDL.split(", ")]
@@ -203,12 +200,11 @@ def generations(packets: DataFrame, application: Column | None = None) -> DataFr
 
         for frame in frames:
             columns = [frame[c].tolist() for c in [*FLOW, "application", *PACKET]]
-            for *k, app_now, us, out, length, syn, ack, fin, rst, seq, ackno, payload in zip(*columns):
+            for *k, app, us, out, length, syn, ack, fin, rst, seq, ackno, payload in zip(*columns):
                 if tuple(k) != key:
                     if key and flow.live:
                         row(flow.live)
-                    key, flow, n = tuple(k), Flow(), 0
-                app = app_now
+                    key, flow = tuple(k), Flow()
                 for g in flow.packet((us, out, length, syn, ack, fin, rst, seq, ackno, payload), key[0], app):
                     row(g)
             if len(made) > 10_000:
@@ -223,5 +219,5 @@ def generations(packets: DataFrame, application: Column | None = None) -> DataFr
 
 def retained(closed: DataFrame, live: DataFrame, most: int = 5000) -> DataFrame:
     """Live rows and the newest `most` closed ones."""
-    kept = closed.orderBy(F.desc("closed_us"), *FLOW, "generation").limit(most)
+    kept = closed.orderBy(F.desc("closed_us"), *FLOW, "created_us").limit(most)
     return live.unionByName(kept)

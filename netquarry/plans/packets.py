@@ -47,7 +47,7 @@ def packets(spark: SparkSession, sf_dir: str, step_us: int = 20_000) -> DataFram
         ((e * 1460 + 4294000000) % 4294967296).alias("seq"),
         (((e - 1) * 1460 + 4294000000) % 4294967296).alias("ack"),
         F.regexp_extract("props", r"(\d+)", 1).cast("long").alias("txid"),
-        F.when(u % 7 != 0, F.concat(F.lit("proc"), (u % 7).cast("string"))).alias("process_name"),
+        F.when((u % 7 != 0) & (e % 13 != 0), F.when(e % 11 == 3, "helper").otherwise(F.concat(F.lit("proc"), (u % 7).cast("string")))).alias("process_name"),
         u.alias("user_id"),
     )
 
@@ -61,7 +61,7 @@ packets as (
     cast(floor(value * 10) as bigint) + 40 as packet_len, event_type = 'signup' as syn, event_type in ('click','view','purchase') as ack_flag,
     event_type = 'purchase' as fin, event_type = 'error' as rst, case when event_type = 'view' then cast(floor(value * 10) as bigint) else 0 end as payload_len,
     (4294000000 + event_id * 1460) % 4294967296 as seq, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as txid,
-    case when user_id % 7 <> 0 then 'proc' || (user_id % 7) end as process_name, user_id from events)
+    case when user_id % 7 <> 0 and event_id % 13 <> 0 then case when event_id % 11 = 3 then 'helper' else 'proc' || (user_id % 7) end end as process_name, user_id from events)
 """
 
 
@@ -70,7 +70,7 @@ def packets_sql(step_us: int = 20_000) -> str:
 
 
 def connections(frames: DataFrame) -> DataFrame:
-    """One row a flow: counters by direction, first and last activity, earliest process name."""
+    """One row a flow: counters by direction, first and last activity, the first process name seen."""
     out = F.col("is_outgoing")
     return frames.groupBy(*FLOW).agg(
         F.sum(F.when(out, F.col("packet_len")).otherwise(0)).alias("bytes_sent"),
@@ -79,7 +79,7 @@ def connections(frames: DataFrame) -> DataFrame:
         F.count_if(~out).alias("packets_received"),
         F.min("us").alias("created_us"),
         F.max("us").alias("last_us"),
-        F.min("process_name").alias("process_name"),
+        F.min_by("process_name", F.when(F.col("process_name").isNotNull(), F.struct("us", "frame_no"))).alias("process_name"),
         F.max_by("txid", F.struct("us", "frame_no")).alias("last_txid"),
     )
 
@@ -89,7 +89,7 @@ connections as (
   select protocol, local_ip, local_port, remote_ip, remote_port,
     cast(sum(case when is_outgoing then packet_len else 0 end) as bigint) as bytes_sent, cast(sum(case when is_outgoing then 0 else packet_len end) as bigint) as bytes_received,
     count(*) filter (is_outgoing) as packets_sent, count(*) filter (not is_outgoing) as packets_received,
-    min(us) as created_us, max(us) as last_us, min(process_name) as process_name, max_by(txid, frame_no) as last_txid
+    min(us) as created_us, max(us) as last_us, arg_min(process_name, frame_no) filter (process_name is not null) as process_name, max_by(txid, frame_no) as last_txid
   from packets group by all)
 """
 

@@ -7,43 +7,52 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netquarry.operators.lifecycle import DDL, PACKET, SHOWN, Flow, Generation
+from netquarry.operators.lifecycle import DDL, PACKET, SECOND, SHOWN, TOMBSTONE_S, Flow, Generation
 from netquarry.plans.packets import FLOW
 
 
-def closed_generations(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def closed_generations(packets: DataFrame, delay: str = "10 seconds", application: Column | None = None) -> DataFrame:
     """Generations as they close, from a stream of packets with an event time `ts`.
 
-    State is one flow's live generation and tombstone; an event-time timer at the
-    generation's deadline closes idle flows once the watermark passes it.
+    State is one flow's live generation, tombstone and application, which sets its
+    timeouts as in batch. An event-time timer at the generation's deadline closes
+    idle flows once the watermark passes it; then the tombstone stays until it expires
+    itself, so a late FIN or RST starts no new flow. A generation is named by its
+    flow and created_us.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flow, n = Flow(), 0
+        flow, app, offset = Flow(), None, 0
         if state.exists:
-            live, tombstone, n = json.loads(state.get[0])
+            live, tombstone, app, offset = json.loads(state.get[0])
             flow = Flow(Generation(**live) if live else None, tombstone)
         made: list[Generation] = []
         if state.hasTimedOut:
             if flow.live:
-                made.append(flow.close(flow.deadline(key[0], None), "timeout"))
-            state.remove()
+                made.append(flow.close(flow.deadline(key[0], app), "timeout"))
+            else:
+                flow.tombstone_us = None
         else:
             rows = pd.concat(list(frames)).sort_values(["us", "frame_no"])
-            for packet in zip(*(rows[c].tolist() for c in PACKET)):
-                made += flow.packet(packet, key[0], None)
-            state.update((json.dumps([asdict(flow.live) if flow.live else None, flow.tombstone_us, n + len(made)]),))
-            if flow.live:
-                state.setTimeoutTimestamp(max(flow.deadline(key[0], None) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        out = [(*key, n + k, *(asdict(g)[c] for c in SHOWN)) for k, g in enumerate(made)]
+            offset = int(rows["offset"].iloc[0])  # `us` may count from any epoch, timers count from 1970
+            for app, *packet in zip(rows["application"].tolist(), *(rows[c].tolist() for c in PACKET)):
+                made += flow.packet(tuple(packet), key[0], app)
+        due = flow.deadline(key[0], app) if flow.live else flow.tombstone_us + TOMBSTONE_S * SECOND if flow.tombstone_us is not None else None
+        if due is None:
+            state.remove()
+        else:
+            state.update((json.dumps([asdict(flow.live) if flow.live else None, flow.tombstone_us, app, offset]),))
+            state.setTimeoutTimestamp(max((due + offset) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        out = [(*key, *(getattr(g, c) for c in SHOWN)) for g in made]
         names = [c.split()[0] for c in DDL.split(", ")]
         yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("terminal_us", "closed_us", "srtt_us")} | {"direction": "boolean"})
 
-    rows = packets.withWatermark("ts", delay).select("ts", *FLOW, "frame_no", *PACKET)
+    app = (F.lit(None).cast("string") if application is None else application).alias("application")
+    rows = packets.withWatermark("ts", delay).select("ts", *FLOW, app, (F.unix_micros("ts") - F.col("us")).alias("offset"), "frame_no", *PACKET)
     return rows.groupBy(*FLOW).applyInPandasWithState(fold, DDL, "data string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

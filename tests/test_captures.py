@@ -47,6 +47,39 @@ def test_frames_become_packets(spark):
     assert (six["local_ip"], six["remote_ip"], six["is_outgoing"]) == ("2001:db8::1", "fe80::", True)
 
 
+def six(first, chain, src="20010db8" + "00" * 11 + "01", dst="fe80" + "00" * 14, hop=64, length=None):
+    return MACS + b"\x86\xdd" + struct.pack(">IHBB", 6 << 28, len(chain) if length is None else length, first, hop) + bytes.fromhex(src) + bytes.fromhex(dst) + chain
+
+
+def test_links_extension_headers_and_neighbours(spark):
+    option = bytes([2, 1]) + bytes.fromhex("0a0b0c0d0e0f")
+    advert = bytes([136, 0, 0, 0, 0, 0, 0, 0]) + bytes.fromhex("fe80" + "00" * 13 + "07")
+    many = {
+        "hop by hop": six(0, bytes([17, 0]) + bytes(6) + UDP),
+        "routing, destination": six(43, bytes([60, 0]) + bytes(6) + bytes([17, 1]) + bytes(14) + UDP),
+        "first fragment": six(44, bytes([17, 0, 0, 1, 0, 0, 0, 9]) + UDP),
+        "later fragment": six(44, bytes([17, 0, 0, 9, 0, 0, 0, 9]) + UDP),
+        "authentication": six(51, bytes([17, 1]) + bytes(10) + UDP),
+        "encrypted": six(50, UDP),
+        "no payload length": six(17, UDP, length=0),
+        "neighbour": six(58, advert + option, hop=255),
+        "neighbour from afar": six(58, advert + option, hop=64),
+        "malformed option": six(58, advert + option + b"\x01", hop=255),
+        "tagged": MACS + b"\x81\x00\x00\x05" + ip4(17, UDP)[12:],
+    }
+    others = {"null": (0, bytes(4) + ip4(17, UDP)[14:]), "raw": (101, ip4(17, UDP)[14:]), "cooked": (113, bytes(14) + ip4(17, UDP)[12:]), "cooked, tagged": (113, bytes(14) + b"\x81\x00\x00\x05" + ip4(17, UDP)[12:]), "cooked 2": (276, b"\x08\x00" + bytes(18) + ip4(17, UDP)[14:])}
+    rows = [(n, 1, bytearray(f)) for n, f in many.items()] + [(n, k, bytearray(f)) for n, (k, f) in others.items()] + [("null row", 1, None), ("empty", 1, bytearray())]
+    frames = spark.createDataFrame(rows, "name string, linktype int, data binary")
+    got = {r["name"]: r for r in decode.packets(frames, spark.createDataFrame([], "ip string")).collect()}
+    assert set(got) == {*many, *others} - {"later fragment", "encrypted"}
+    assert {r["payload"] for n, r in got.items() if "neighbour" not in n and n != "malformed option"} == {b"abcd"}
+    assert (got["neighbour"]["ndp_ip"], got["neighbour"]["ndp_mac"]) == ("fe80::7", "0a:0b:0c:0d:0e:0f")
+    assert got["neighbour from afar"]["ndp_mac"] is None and got["malformed option"]["ndp_mac"] is None
+    some = decode.packets(frames, spark.createDataFrame([], "ip string"), protocols=("ICMP",))
+    assert {r["protocol"] for r in some.collect()} == {"ICMP"}
+    assert decode.packets(frames, spark.createDataFrame([], "ip string"), ports=(54,)).count() == 0
+
+
 def one(spark, column, value, kind="binary"):
     value = bytearray(value) if kind == "binary" else value
     return spark.createDataFrame([(value,)], f"x {kind}").select(column.alias("r")).first()["r"]
@@ -54,6 +87,9 @@ def one(spark, column, value, kind="binary"):
 
 def test_dissectors(spark):
     x = F.col("x")
+    assert one(spark, decode.http(x), "GET / HTTP/7.3\r\n", "string") is None and one(spark, decode.http(x), "HTTP/2 200\r\n", "string")["status"] == 200
+    assert one(spark, decode.ftp(x), "220-Welcome to us\r\n", "string")["software"] is None and one(spark, decode.ftp(x), "220 ProFTPD 1.3.7 ready\r\n", "string")["software"] == "ProFTPD"
+    assert one(spark, decode.ftp(x), "215 UNIX Type: L8\r\n", "string")["system"] == "UNIX"
     assert one(spark, decode.http(x), "GET /index.html HTTP/1.1\r\nHost: example.com\r\n\r\n", "string")["host"] == "example.com"
     assert one(spark, decode.http(x), "INVITE sip:a SIP/2.0\r\n", "string") is None
     assert one(spark, decode.ssdp(x), "M-SEARCH * HTTP/1.1\r\nST: ssdp:all\r\n\r\n", "string")["target"] == "ssdp:all"
