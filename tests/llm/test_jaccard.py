@@ -72,6 +72,17 @@ def test_join_equals_brute_force(spark, n, percent, seed):
     assert found == {k: (sizes[k], component[k]) for k, _ in rows}
 
 
+def test_large_lists_and_clusters_are_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "TILE_SIZE", 400)
+    monkeypatch.setattr(jaccard, "HEAVY", 1.0)  # no n-gram is salted, so long lists alone have pivots
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["key"]: (r["size"], r["component"]) for r in jaccard.join(docs, "doc_id", "text", 5, 80).collect()}
+    sizes, component = brute(rows, 5, 80)
+    assert found == {k: (sizes[k], component[k]) for k, _ in rows}
+
+
 def test_empty_table_and_repeated_keys(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(docs, "doc_id", "text").collect() == []
