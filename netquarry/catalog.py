@@ -710,14 +710,46 @@ def dp3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("h")).select("page_id", "h", net.valid_hostname(F.col("h")).alias("valid"))
 
 
-@query("sk1_event_lines")
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    """Connections with what lines may tell besides."""
+    n = F.col("last_txid")
+    return flows(spark, d).withColumns(
+        {
+            "event": F.when(F.col("is_historic"), "connection_closed").otherwise("new_connection"), "pid": F.when(n % 2 == 0, n + 100), "connection_direction": F.when(n % 3 != 0, n % 3 == 1), "dpi_protocol": F.col("application"),
+            "dpi_domain": F.when(n % 5 == 0, F.concat(F.lit("h"), n.cast("string"), F.lit(".example"))), "geoip_country_code": F.when(n % 7 == 0, "DE"), "geoip_asn": F.when(n % 7 == 1, n), "remote_addr_kind": F.when(n % 11 == 0, "Broadcast").otherwise("Unicast"), "remote_is_gateway": n % 13 == 0,
+        }
+    )
+
+
+def _json_sql(fields: dict[str, str]) -> str:
+    return "'{' || concat_ws(',', " + ", ".join(f"""'"{k}":' || {v}""" for k, v in sorted(fields.items())) + ") || '}'"
+
+
+_quoted = "'\"' || {} || '\"'".format
+_TOLD_SQL = {
+    "bytes_received": "{}bytes_received{}", "bytes_sent": "{}bytes_sent{}", "destination_ip": _quoted("remote_ip"), "destination_port": "remote_port", "duration_secs": "{}(last_us - created_us) // 1000000{}",
+    "event": "case when is_historic then '\"connection_closed\"' else '\"new_connection\"' end", "process_name": _quoted("process_name"), "protocol": _quoted("protocol"), "source_ip": _quoted("local_ip"), "source_port": "local_port",
+    "pid": "case when last_txid % 2 = 0 then last_txid + 100 end", "service_name": _quoted("service_name"), "direction": "case last_txid % 3 when 1 then '\"outgoing\"' when 2 then '\"incoming\"' end", "dpi_protocol": _quoted("application"),
+    "dpi_domain": "case when last_txid % 5 = 0 then '\"h' || last_txid || '.example\"' end", "geoip_country_code": "case when last_txid % 7 = 0 then '\"DE\"' end", "geoip_asn": "case when last_txid % 7 = 1 then last_txid end",
+    "destination_addr_kind": "case when last_txid % 11 = 0 then '\"broadcast\"' end", "destination_is_gateway": "case when last_txid % 13 = 0 then 'true' end",
+}
+_TOLD_SQL = {k: v.format("case when is_historic then ", " end") if v.startswith("{}") else v for k, v in _TOLD_SQL.items()}
+_time = "'{{\"secs_since_epoch\":' || ({0} // 1000000) || ',\"nanos_since_epoch\":' || ({0} % 1000000 * 1000) || '}}'".format
+_SIDECAR_SQL = {
+    "bytes_received": "bytes_received", "bytes_sent": "bytes_sent", "first_seen": _time("created_us"), "last_seen": _time("last_us"), "local_addr": _quoted("local_ip || ':' || local_port"), "remote_addr": _quoted("remote_ip || ':' || remote_port"),
+    "process_name": f"coalesce({_quoted('process_name')}, 'null')", "pid": "coalesce(case when last_txid % 2 = 0 then last_txid + 100 end::varchar, 'null')", "protocol": _quoted("protocol"), "state": _quoted("state"),
+    "geoip_country_code": _TOLD_SQL["geoip_country_code"], "geoip_asn": _TOLD_SQL["geoip_asn"], "remote_addr_kind": _TOLD_SQL["destination_addr_kind"], "remote_is_gateway": _TOLD_SQL["destination_is_gateway"],
+}
+
+
+@query("sk1_event_lines", FLOWS_SQL + f" select {_json_sql(_TOLD_SQL)} as value from flows")
 def sk1(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.event_lines(flows(spark, d).withColumn("event", F.when(F.col("is_historic"), "connection_closed").otherwise("new_connection")))
+    return sinks.event_lines(_told(spark, d))
 
 
-@query("sk3_sidecar_lines")
+@query("sk3_sidecar_lines", FLOWS_SQL + f" select {_json_sql(_SIDECAR_SQL)} as value from flows where is_historic")
 def sk3(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.sidecar_lines(flows(spark, d).where("is_historic"))
+    return sinks.sidecar_lines(_told(spark, d).where("is_historic"))
 
 
 @query("sk6_comments", FLOWS_SQL + f" select {KEYS}, 'flow ' || concat_ws(' ', 'process=' || process_name, 'app=' || application) as comment from flows where process_name is not null or application is not null")

@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from netquarry.functions.net import comment_value, endpoint
 
 
+#: Columns that go into lines under their own names where a table has them.
+OPTIONAL = ["timestamp", "destination_hostname", "source_hostname", "pid", "service_name", "dpi_protocol", "dpi_domain", "geoip_country_code", "geoip_country_name", "geoip_asn", "geoip_as_org", "geoip_city", "geoip_postal_code", "attribution_match", "kubernetes", "process_gid", "process_lineage", "rtt_ms", "process_ppid", "process_executable", "process_uid"]
+
+
+def _line(fields: dict[str, Column], explicit: tuple[str, ...] = ()) -> Column:
+    """A JSON object with keys in alphabetical order; absent values are left out, but for the explicit ones, which are null."""
+
+    def part(name: str) -> Column:
+        inner = F.to_json(F.array(fields[name]), {"ignoreNullFields": "false"})
+        value = F.concat(F.lit(f'"{name}":'), F.substring(inner, F.lit(2), F.length(inner) - 2))
+        return value if name in explicit else F.when(fields[name].isNotNull(), value)
+
+    return F.concat(F.lit("{"), F.concat_ws(",", *(part(n) for n in sorted(fields))), F.lit("}"))
+
+
+def _kinds(rows: DataFrame, local: str, remote: str, gateway: str) -> dict[str, Column]:
+    """Address kinds other than Unicast, and whether the remote end is a gateway, under the names of a kind of line."""
+    given = {local: "local_addr_kind", remote: "remote_addr_kind"}
+    out = {k: F.when(F.col(c) != "Unicast", F.lower(c)) for k, c in given.items() if c in rows.columns}
+    return out | ({gateway: F.when(F.col("remote_is_gateway"), True)} if "remote_is_gateway" in rows.columns else {})
+
+
 def event_lines(rows: DataFrame) -> DataFrame:
     """JSON lines with keys in alphabetical order and absent ones left out; byte counts and seconds for closed connections only."""
     closed = F.col("event") == "connection_closed"
@@ -23,18 +45,22 @@ def event_lines(rows: DataFrame) -> DataFrame:
         "source_ip": F.col("local_ip"),
         "source_port": F.col("local_port"),
     }
-    return rows.select(F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("value"))
+    fields |= {c: F.col(c) for c in OPTIONAL if c in rows.columns} | _kinds(rows, "source_addr_kind", "destination_addr_kind", "destination_is_gateway")
+    if "connection_direction" in rows.columns:
+        fields["direction"] = F.when(F.col("connection_direction"), "outgoing").when(~F.col("connection_direction"), "incoming")
+    return rows.select(_line(fields).alias("value"))
 
 
 def sidecar_lines(rows: DataFrame) -> DataFrame:
     """One JSON line for each closed connection; an unknown process is an explicit null."""
     time = lambda us: F.struct(F.expr(f"{us} div 1000000").alias("secs_since_epoch"), F.expr(f"({us} % 1000000) * 1000").alias("nanos_since_epoch"))
-    line = F.struct(
-        F.col("bytes_received"), F.col("bytes_sent"), time("created_us").alias("first_seen"), time("last_us").alias("last_seen"),
-        endpoint(F.col("local_ip"), F.col("local_port")).alias("local_addr"), "process_name", "protocol",
-        endpoint(F.col("remote_ip"), F.col("remote_port")).alias("remote_addr"),
-    )
-    return rows.select(F.to_json(line, {"ignoreNullFields": "false"}).alias("value"))
+    fields = {
+        "bytes_received": F.col("bytes_received"), "bytes_sent": F.col("bytes_sent"), "first_seen": time("created_us"), "last_seen": time("last_us"),
+        "local_addr": endpoint(F.col("local_ip"), F.col("local_port")), "remote_addr": endpoint(F.col("remote_ip"), F.col("remote_port")),
+        "process_name": F.col("process_name"), "pid": F.col("pid") if "pid" in rows.columns else F.lit(None).cast("long"), "protocol": F.col("protocol"), "state": F.col("state"),
+    }
+    fields |= {c: F.col(c) for c in OPTIONAL if c in rows.columns and c not in ("destination_hostname", "source_hostname", "service_name", "dpi_protocol", "dpi_domain", "pid")} | _kinds(rows, "local_addr_kind", "remote_addr_kind", "remote_is_gateway")
+    return rows.select(_line(fields, ("pid", "process_name")).alias("value"))
 
 
 def comment(tool: str, fields: dict[str, Column]) -> Column:
