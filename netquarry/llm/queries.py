@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpylm, jaccard, langid, neardup, packing, quality, secretscan, spm, topk, toxicity
+from . import bytebpe, elkan, hpylm, jaccard, langid, neardup, packing, quality, secretscan, spm, topk, toxicity, turntrie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +85,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "score", "kept", "log_ratio", "host_mean", "path_mean")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dim=64, scale=1024.0, k=8, rounds=10, salt="3").withColumnRenamed("id", "vec_id")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bytebpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = bytebpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary).withColumn("decoded", bytebpe.decode(F.col("ids"), vocabulary))
+    return found.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.trie(turntrie.rebuilt(turntrie.conversations(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_packing, op4_near_duplicates, op5_sentencepiece, op6_secrets, op7_jaccard, op8_lm_score, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_packing, op4_near_duplicates, op5_sentencepiece, op6_secrets, op7_jaccard, op8_lm_score, op9_toxicity, op10_quality, op11_centroids, op12_byte_bpe, op13_turn_trie)}
 
 
 OP2_SQL = """
@@ -131,5 +145,56 @@ select n.doc_id, n.n as n_shingles, m.c as component_id from n join (select v, m
 """
 
 
+#: One round after another: t{r} holds centroids, a{r} each vector's nearest.
+OP11_SQL = (
+    """
+with v as materialized (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as e from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+t0 as materialized (select cast(row_number() over (order by sha256('3:' || cast(vec_id as varchar)) nulls last, e) - 1 as integer) as c, e from v qualify row_number() over (order by sha256('3:' || cast(vec_id as varchar)) nulls last, e) <= 8),
+"""
+    + "".join(
+        f"""a{r} as materialized (
+  select n, vec_id, e, min(struct_pack(d := d, c := c)) as m from (
+    select v.n, v.vec_id, v.e, t.c, cast(list_sum(list_transform(list_zip(v.e, t.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from v, t{r} t) group by n, vec_id, e),
+"""
+        + f"""s{r} as materialized (select c, i, ((s - ((s % w) + w) % w) // w) as x from (
+  select m.c as c, i, cast(sum(e[i]) as hugeint) as s, cast(count(*) as hugeint) as w from a{r}, generate_series(1, 64) g(i) group by 1, 2)),
+t{r + 1} as materialized (select t.c, coalesce((select list(cast(x as bigint) order by i) from s{r} s where s.c = t.c), t.e) as e from t{r} t),
+""" * (r < 10)
+        for r in range(11)
+    )
+    + """f as (select vec_id, m.c as cluster, m.d as distance from a10)
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+  sha256(array_to_string(t10.e, ',')) as centroid_sha256 from f join t10 on t10.c = f.cluster
+"""
+)
+
+#: crc32 bit by bit, as SQL has none.
+OP13_SQL = """
+with crc32_of_conv as (
+  select conv_id, xor(list_reduce(list_concat([4294967295], list_transform(generate_series(1, length(d)), lambda i: cast(ord(d[i]) as bigint))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))), 4294967295) % 6 as h
+  from (select distinct conv_id, cast(conv_id as varchar) as d from conversations where conv_id is not null)),
+t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (
+  select conv_id, list(struct_pack(role := role, text := text) order by turn nulls first, sha256(sha256(role) || text)) as s from t group by conv_id),
+h as (
+  select o.conv_id, list_concat(coalesce(b.s[:x.h], []), o.s[x.h + 1:]) as s
+  from o join crc32_of_conv x on x.conv_id = o.conv_id left join o b on b.conv_id = o.conv_id - o.conv_id % 100),
+m as (select conv_id, s, unnest(generate_series(0, len(s))) as depth from h),
+n as (
+  select s[:depth] as p, depth, min(conv_id) as conv_id, count(*) as n_convs, count(distinct case when len(s) > depth then s[:depth + 1] end) as n_children,
+    coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where len(s) = depth), '') as ends
+  from m group by 1, 2),
+u as (select p, depth, unnest(generate_series(0, depth)) as up, n_convs, n_children from n),
+w as (
+  select p[:up] as p, count(*) filter (where n_children = 0) as n_leaves, sum(case when depth = 0 then 0 else (n_convs - 1) * length(p[depth].text) end) as saved from u group by 1)
+select n.conv_id, n.depth, a.conv_id as parent_conv_id, n.n_convs, n.n_children, w.n_leaves, cast(w.saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from n join w on w.p = n.p left join n a on n.depth > 0 and a.p = n.p[:n.depth - 1] and a.depth = n.depth - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op7_jaccard": OP7_SQL}
+    return {"op2_top_k": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op7_jaccard": OP7_SQL, "op11_centroids": OP11_SQL, "op13_turn_trie": OP13_SQL}
