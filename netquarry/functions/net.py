@@ -14,6 +14,11 @@ def coded(key: Column, names: dict, other: Column | None = None) -> Column:
     return out if other is None else out.otherwise(other)
 
 
+def looked_up(key: Column, names: dict) -> Column:
+    """names[key] or NULL, with key written once: for keys that are long expressions."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key)
+
+
 # -- addresses ----------------------------------------------------------------
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from netquarry.catalog import FLOWS_SQL, KEYS, SOCKETS_SQL, P, _frames, _processes, _sockets, flows, query
 from netquarry.functions import net
-from netquarry.operators import aggregates, dpi, filters, joins, sorts
+from netquarry.operators import aggregates, dpi, filters, joins, quic, sorts
 from netquarry.plans.packets import FLOW, packets, table
 
-KINDS = ["HTTP", "HTTPS", "DNS query", "DNS answer", "SSH", "FTP", "NTP", "SSDP", "DHCP", "STUN", "MQTT", "none"]
-PORTS = [80, 443, 53, 53, 22, 21, 123, 1900, 67, 3478, 1883, 9999]
-TCP_KINDS = ["HTTP", "HTTPS", "SSH", "FTP", "MQTT"]
+KINDS = ["HTTP", "HTTPS", "DNS query", "DNS answer", "SSH", "FTP", "NTP", "SSDP", "DHCP", "STUN", "MQTT", "none", "SNMP", "NetBIOS", "DHT", "uTP", "QUIC", "SMTP", "POP3", "mDNS", "MQTT connect"]
+PORTS = [80, 443, 53, 53, 22, 21, 123, 1900, 67, 3478, 1883, 9999, 161, 137, 6881, 6882, 443, 2525, 110, 5353, 1999]
+TCP_KINDS = ["HTTP", "HTTPS", "SSH", "FTP", "MQTT", "SMTP", "POP3", "MQTT connect"]
 
 
 def _hex(n: Column, size: int) -> Column:
@@ -23,19 +23,31 @@ def _text(s: Column) -> Column:
     return F.hex(F.encode(s, "utf-8"))
 
 
+def _label(n: Column) -> Column:
+    return F.concat(F.lit("h"), n.cast("string"))
+
+
+def _hello(host: Column) -> Column:
+    """A ClientHello as hex: server name, ALPN h2."""
+    size = F.length(host)
+    return F.concat(
+        F.lit("01"), _hex(size + 61, 3), F.lit("0303" + "00" * 32 + "00" + "00021301" + "0100"), _hex(size + 18, 2),
+        F.lit("0000"), _hex(size + 5, 2), _hex(size + 3, 2), F.lit("00"), _hex(size, 2), _text(host), F.lit("001000050003026832"),
+    )
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """One payload a page, of the kinds in turn, as a packet of its own flow."""
     n = F.col("page_id")
     tail = n.cast("string")
-    label = F.concat(F.lit("h"), tail)
+    label = _label(n)
     host = F.concat(label, F.lit(".example.com"))
     name = F.concat(_hex(F.length(label), 1), _text(label), F.lit("076578616D706C6503636F6D00"))
     size = F.length(host)
     question = F.concat(name, F.lit("00010001"))
-    hello = F.concat(
-        F.lit("160301"), _hex(size + 65, 2), F.lit("01"), _hex(size + 61, 3), F.lit("0303" + "00" * 32 + "00" + "00021301" + "0100"), _hex(size + 18, 2),
-        F.lit("0000"), _hex(size + 5, 2), _hex(size + 3, 2), F.lit("00"), _hex(size, 2), _text(host), F.lit("001000050003026832"),
-    )
+    hello = F.concat(F.lit("160301"), _hex(size + 65, 2), _hello(host))
+    netbios = F.translate(F.concat(F.hex(F.encode(F.rpad(F.concat(F.lit("H"), tail), 15, " "), "utf-8")), F.lit("00")), "0123456789ABCDEF", "ABCDEFGHIJKLMNOP")
+    community, client = F.concat(F.lit("c"), tail), F.concat(F.lit("m"), tail)
     topic = F.concat(F.lit("t/"), tail)
     payloads = [
         _text(F.concat(F.lit("GET /p"), tail, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\nUser-Agent: ua/1\r\n\r\n"))),
@@ -50,20 +62,50 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("000100002112A442"), _hex(n, 12)),
         F.concat(F.lit("30"), _hex(F.length(topic) + 4, 1), _hex(F.length(topic), 2), _text(topic), F.lit("6869")),
         F.lit("0102"),
+        F.concat(F.lit("30"), _hex(F.length(community) + 10, 1), F.lit("02010104"), _hex(F.length(community), 1), _text(community), F.lit("A003020101")),
+        F.concat(_hex(n % 65536, 2), F.lit("01100001000000000000" + "20"), _text(netbios), F.lit("0000200001")),
+        _text(F.concat(F.lit("d1:ad2:id20:"), F.lpad(tail, 20, "x"), F.lit("e1:q4:ping1:t2:aa1:y1:qe"))),
+        F.concat(F.lit("4100"), _hex(n % 65535 + 1, 2), F.lit("00" * 8 + "00100000" + "00010000")),
+        F.lit(None),  # made below: it is encrypted
+        _text(F.concat(F.lit("220 mail"), tail, F.lit(" ESMTP\r\n"))),
+        _text(F.concat(F.lit("USER u"), tail, F.lit("\r\n"))),
+        F.concat(F.lit("000084000001000000010001"), question, F.lit("C00C000200010000003C0002C00C" + "C00C000100010000003C0004CB0071"), _hex(n % 256, 1)),
+        F.concat(F.lit("10"), _hex(F.length(client) + 12, 1), F.lit("00044D5154540402003C"), _hex(F.length(client), 2), _text(client)),
     ]
     kind = (n % len(KINDS)).cast("int")
     pick = lambda values: F.element_at(F.array(*values), kind + 1)
-    rows = table(spark, d, "pages").where(n.isNotNull()).select("page_id", pick([F.lit(k) for k in KINDS]).alias("kind"), pick([F.lit(p) for p in PORTS]).alias("remote_port"), pick([F.lit(k in TCP_KINDS) for k in KINDS]).alias("tcp"), F.unhex(pick(payloads)).alias("payload"))
-    return rows.select(
+    rows = table(spark, d, "pages").where(n.isNotNull()).select("page_id", pick([F.lit(k) for k in KINDS]).alias("kind"), pick([F.lit(p) for p in PORTS]).alias("remote_port"), pick([F.lit(k in TCP_KINDS) for k in KINDS]).alias("tcp"), F.unhex(pick(payloads)).alias("__given"), host.alias("__host"))
+    sealed = quic.protected(rows, F.when(F.col("kind") == "QUIC", _crypto(_hello(F.col("__host")), F.lit(0))), F.unhex(_hex(n, 8)), 1, F.lit(0))
+    return sealed.withColumn("payload", F.coalesce("payload", "__given")).select(
         "page_id", "kind", F.when(F.col("tcp"), "TCP").otherwise("UDP").alias("protocol"), F.lit("10.0.0.1").alias("local_ip"), (F.lit(40000) + n % 20000).cast("int").alias("local_port"),
         F.concat(F.lit("203.0.113."), (n % 250).cast("string")).alias("remote_ip"), "remote_port", F.lit(True).alias("is_outgoing"), F.length("payload").cast("long").alias("packet_len"), n.alias("frame_no"), (n * 1000).alias("us"), "payload",
     )
 
 
+def _crypto(data: Column, at: Column) -> Column:
+    """A CRYPTO frame of hex data and its padding, as bytes."""
+    return F.unhex(F.concat(F.lit("06"), _hex(at + 0x4000, 2), _hex(F.length(data) / 2 + 0x4000, 2), data, F.lit("00" * 24)))
+
+
+def _quic(spark: SparkSession, d: str, migrating: bool = False, closing: bool = False) -> DataFrame:
+    """Three datagrams a page, each with a third of a ClientHello, the last part first; the second from another port if `migrating`; every fourth page's connection is closed if `closing`."""
+    n = F.col("page_id")
+    pages = table(spark, d, "pages").where(n.isNotNull()).select("page_id", _hello(F.concat(_label(n), F.lit(".example.com"))).alias("h"))
+    parts = pages.select("page_id", "h", F.explode(F.array(*map(F.lit, range(4 if closing else 3)))).alias("k")).where((F.col("k") < 3) | (n % 4 == 0))
+    size = F.floor(F.length("h") / 6) * 2
+    data = F.expr("substring(h, cast(k * floor(length(h) / 6) * 2 as int) + 1, cast(if(k = 2, length(h), floor(length(h) / 6) * 2) as int))")
+    plain = F.when(F.col("k") == 3, F.unhex(F.lit("1C000000" + "00" * 30))).otherwise(_crypto(data, F.col("k") * size / 2))
+    sealed = quic.protected(parts, plain, F.unhex(_hex(n, 8)), 1, F.col("k"))
+    port = F.lit(40000) + F.when((F.col("k") == 1) & F.lit(migrating), 1).otherwise(0)
+    late = F.when(F.col("k") == 3, 3).otherwise((F.col("k") + 1) % 3)
+    return sealed.select(F.lit("UDP").alias("protocol"), F.concat_ws(".", F.lit("10"), *((F.floor(n / 250**e) % 250).cast("string") for e in (2, 1, 0))).alias("local_ip"), port.cast("int").alias("local_port"), F.lit("203.0.113.9").alias("remote_ip"), F.lit(443).alias("remote_port"), (n * 10 + late).alias("us"), (n * 10 + late).alias("frame_no"), "payload", "page_id")
+
+
 _KIND_SQL = "[" + ", ".join(f"'{k}'" for k in KINDS) + f"][page_id % {len(KINDS)} + 1]"
 M = f"with m as (select page_id, {_KIND_SQL} as kind, 'h' || page_id || '.example.com' as host from pages where page_id is not null)"
 _SHOWN = """case kind when 'HTTP' then 'HTTP (' || host || ')' when 'HTTPS' then 'HTTPS (' || host || ')' when 'DNS query' then 'DNS (' || host || ')' when 'DNS answer' then 'DNS (' || host || ')' when 'SSH' then 'SSH (OpenSSH)'
-  when 'FTP' then 'FTP 220 (ProFTPD' || page_id || ')' when 'NTP' then 'NTP (v4 Client)' when 'SSDP' then 'SSDP M-SEARCH (urn:x' || page_id || ')' when 'DHCP' then 'DHCP REQUEST (h' || page_id || ')' when 'STUN' then 'STUN Binding Request' when 'MQTT' then 'MQTT PUBLISH (t/' || page_id || ')' end"""
+  when 'FTP' then 'FTP 220 (ProFTPD' || page_id || ')' when 'NTP' then 'NTP (v4 Client)' when 'SSDP' then 'SSDP M-SEARCH (urn:x' || page_id || ')' when 'DHCP' then 'DHCP REQUEST (h' || page_id || ')' when 'STUN' then 'STUN Binding Request' when 'MQTT' then 'MQTT PUBLISH (t/' || page_id || ')'
+  when 'SNMP' then 'SNMP v2c GET (c' || page_id || ')' when 'NetBIOS' then 'NetBIOS NS (H' || page_id || ')' when 'DHT' then 'BT DHT (ping)' when 'uTP' then 'BT uTP' when 'QUIC' then 'QUIC' when 'mDNS' then 'mDNS (' || host || ')' when 'MQTT connect' then 'MQTT CONNECT (m' || page_id || ')' end"""
 
 
 def _inspected(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +122,7 @@ def sf10(spark: SparkSession, d: str) -> DataFrame:
     return _inspected(spark, d).select("page_id", dpi.domain(F.col("dpi")).alias("dpi_domain"))
 
 
-@query("sf2_udp_states", M + " select page_id, case kind when 'DNS query' then 'DNS_QUERY' when 'DNS answer' then 'DNS_RESPONSE' when 'NTP' then 'NTP' when 'SSDP' then 'SSDP_M-SEARCH' when 'DHCP' then 'DHCP_REQUEST' when 'STUN' then 'STUN_Request' when 'none' then case when page_id % 100 > 60 then 'UDP_STALE' when page_id % 100 > 30 then 'UDP_IDLE' else 'UDP_ACTIVE' end else 'ESTABLISHED' end as state from m")
+@query("sf2_udp_states", M + " select page_id, case kind when 'DNS query' then 'DNS_QUERY' when 'DNS answer' then 'DNS_RESPONSE' when 'NTP' then 'NTP' when 'SSDP' then 'SSDP_M-SEARCH' when 'DHCP' then 'DHCP_REQUEST' when 'STUN' then 'STUN_Request' when 'SNMP' then 'SNMP_GET' when 'NetBIOS' then 'NETBIOS_NS' when 'DHT' then 'BT_UDP' when 'uTP' then 'BT_UDP' when 'QUIC' then 'QUIC_INITIAL' when 'mDNS' then 'MDNS_RESPONSE' when 'none' then case when page_id % 100 > 60 then 'UDP_STALE' when page_id % 100 > 30 then 'UDP_IDLE' else 'UDP_ACTIVE' end else 'ESTABLISHED' end as state from m")
 def sf2_udp(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None)
     shown = dpi.state(F.col("protocol"), F.lit("ESTABLISHED"), F.col("dpi"), F.col("page_id") % 100, none, none, none, none, none, none, none, none)
@@ -113,22 +155,49 @@ _fields("dp2_tls", "HTTPS", "'HTTPS' as app, host as sni, ['h2'] as alpn, 'Clien
 _fields("dp6_dns", "DNS query,DNS answer", "'DNS' as app, host as query, kind = 'DNS answer' as is_response, case when kind = 'DNS answer' then ['203.0.113.' || (page_id % 256)] else [] end as ips, cast(page_id % 65536 as varchar) as txid", "app", "query", "is_response", "ips", "txid")
 _fields("dp11_ssh", "SSH", "'SSH' as app, '2.0' as version, 'OpenSSH_9.' || (page_id % 10) as software", "app", "version", "software")
 _fields("dp12_ftp", "FTP", "'FTP' as app, 220 as code, 'ProFTPD' || page_id as software", "app", "code", "software")
-_fields("dp13_ntp", "NTP", "'NTP' as app, '4' as version, 'Client' as kind, lpad(lower(to_hex(page_id)), 16, '0') as txid", "app", "version", "kind", "txid")
+_fields("dp16_ntp", "NTP", "'NTP' as app, '4' as version, 'Client' as kind, lpad(lower(to_hex(page_id)), 16, '0') as txid", "app", "version", "kind", "txid")
 _fields("dp15_stun", "STUN", "'STUN' as app, 'Request' as kind, 1 as code, lpad(lower(to_hex(page_id)), 24, '0') as txid", "app", "kind", "code", "txid")
-_fields("dp16_mqtt", "MQTT", "'MQTT' as app, 'PUBLISH' as kind, 't/' || page_id as topic", "app", "kind", "topic")
+_fields("dp13_mqtt", "MQTT", "'MQTT' as app, 'PUBLISH' as kind, 't/' || page_id as topic", "app", "kind", "topic")
 _fields("dp17_dhcp", "DHCP", "'DHCP' as app, 'REQUEST' as kind, 'h' || page_id as hostname", "app", "kind", "hostname")
+_fields("dp13_mqtt_off_port", "MQTT connect,SMTP,POP3", "case when kind = 'MQTT connect' then 'MQTT' end as app, case when kind = 'MQTT connect' then 'CONNECT' end as kind, case when kind = 'MQTT connect' then 'm' || page_id end as client_id", "app", "kind", "client_id")
+_fields("dp7_mdns", "mDNS", "'mDNS' as app, host as query, true as is_response, ['203.0.113.' || (page_id % 256)] as ips", "app", "query", "is_response", "ips")
+_fields("dp8_quic", "QUIC", "'QUIC' as app, 'Initial' as kind, 'v1' as version, lpad(lower(to_hex(page_id)), 16, '0') as txid", "app", "kind", "version", "txid")
+_fields("dp14_bittorrent_udp", "DHT,uTP", "'BitTorrent' as app, kind, case when kind = 'DHT' then 'ping' end as method", "app", "kind", "method")
+_fields("dp18_snmp", "SNMP", "'SNMP' as app, 'v2c' as version, 'GET' as kind, 'c' || page_id as community", "app", "version", "kind", "community")
+_fields("dp20_netbios", "NetBIOS", "'NetBIOS' as app, 'NS' as kind, 'Query' as command, 'H' || page_id as hostname, false as is_response, cast(page_id % 65536 as varchar) as txid", "app", "kind", "command", "hostname", "is_response", "txid")
 _fields("dp19_ssdp", "SSDP", "'SSDP' as app, 'M-SEARCH' as kind, 'urn:x' || page_id as target", "app", "kind", "target")
 
-_CONNECTED = f""", c as (select 10000 as any_, case when kind in ('HTTP', 'HTTPS', 'SSH', 'FTP', 'MQTT') then 'TCP' else 'UDP' end as protocol, 40000 + page_id % 20000 as local_port, '203.0.113.' || (page_id % 250) as remote_ip, {PORTS}[page_id % {len(KINDS)} + 1] as remote_port, * from m),
-f as (select protocol, cast(local_port as integer) as local_port, remote_ip, remote_port, count(*) as packets, arg_min(kind, page_id) filter (kind <> 'none') as kind, arg_min(host, page_id) filter (kind in ('HTTP', 'HTTPS')) as name from c group by 1, 2, 3, 4)"""
+_CONNECTED = f""", c as (select 10000 as any_, case when kind in ({", ".join(f"'{k}'" for k in TCP_KINDS)}) then 'TCP' else 'UDP' end as protocol, 40000 + page_id % 20000 as local_port, '203.0.113.' || (page_id % 250) as remote_ip, {PORTS}[page_id % {len(KINDS)} + 1] as remote_port, * from m),
+f as (select protocol, cast(local_port as integer) as local_port, remote_ip, remote_port, count(*) as packets, arg_min(kind, page_id) filter (kind not in ('none', 'SMTP', 'POP3')) as kind, arg_min(host, page_id) filter (kind in ('HTTP', 'HTTPS')) as name from c group by 1, 2, 3, 4)"""
 
 
-@query("fl1_inspected_flows", M + _CONNECTED + " select protocol, local_port, remote_ip, remote_port, packets, split_part(kind, ' ', 1) as app, name from f")
+@query("fl1_inspected_flows", M + _CONNECTED + " select protocol, local_port, remote_ip, remote_port, packets, case when kind in ('DHT', 'uTP') then 'BitTorrent' else split_part(kind, ' ', 1) end as app, name from f")
 def fl1(spark: SparkSession, d: str) -> DataFrame:
     rows = dpi.connections(_inspected(spark, d))
     return rows.select("protocol", "local_port", "remote_ip", "remote_port", "packets", F.col("dpi.app").alias("app"), dpi.hostname(F.col("dpi")).alias("name"))
 
 
+_PAGES = "select page_id, 'h' || page_id || '.example.com' as host, '10.' || (page_id // 62500) % 250 || '.' || (page_id // 250) % 250 || '.' || page_id % 250 as local_ip from pages where page_id is not null"
+
+
+@query("dp9_quic_sni", f"select local_ip, 40000 as local_port, host as sni, ['h2'] as alpn, 'v1' as version, 3 as quic_packets from ({_PAGES})")
+def dp9(spark: SparkSession, d: str) -> DataFrame:
+    return quic.flows(_quic(spark, d)).select("local_ip", "local_port", "sni", "alpn", "version", F.col("quic_packets").cast("int"))
+
+
+@query("fl2_quic_migration", f"select local_ip, 40000 as local_port, host as sni, 3 as quic_packets from ({_PAGES})")
+def fl2_quic(spark: SparkSession, d: str) -> DataFrame:
+    return quic.flows(_quic(spark, d, migrating=True)).select("local_ip", "local_port", "sni", F.col("quic_packets").cast("int"))
+
+
+@query("fl11_quic_states", f"select local_ip, case when page_id % 4 = 0 then 'Draining' else 'Initial' end as state, 'QUIC (' || host || ')' as application, case when page_id % 4 = 0 then 'QUIC_DRAINING' else 'QUIC_INITIAL' end as shown from ({_PAGES})")
+def fl11(spark: SparkSession, d: str) -> DataFrame:
+    packets_ = _quic(spark, d, closing=True).withColumns({"is_outgoing": F.lit(True), "packet_len": F.length("payload").cast("long")})
+    rows = dpi.with_quic(dpi.connections(dpi.dissect(packets_)), packets_)
+    none, app = F.lit(None), F.col("dpi")
+    return rows.select("local_ip", app["kind"].alias("state"), dpi.display(app).alias("application"), dpi.state(F.col("protocol"), none, app, F.lit(0), none, none, none, none, none, none, none, none).alias("shown"))
+
+
 @query("fl1_ingest", P + f" select {KEYS}, cast(sum(case when is_outgoing then case when protocol = 'TCP' then 54 else 46 end else 0 end) as bigint) as bytes_sent, cast(sum(case when is_outgoing then 0 when protocol = 'TCP' then 54 else 46 end) as bigint) as bytes_received, count(*) as packets, min(us) as created_us, max(us) as last_us from packets where protocol <> 'ICMP' group by all")
 def fl1_ingest(spark: SparkSession, d: str) -> DataFrame:
     local = packets(spark, d).select(F.col("local_ip").alias("ip")).distinct()
@@ -146,7 +215,7 @@ def _searched(name: str, text: str, sql: str) -> None:
 
 _searched("fi13_software", "openssh_9.4", "kind = 'SSH' and page_id % 10 = 4")
 _searched("fi13_topic", "t/1", "kind = 'MQTT' and page_id::varchar like '1%'")
-_searched("fi13_host", "/^h1.*example/", "kind in ('HTTP', 'HTTPS', 'DNS query', 'DNS answer') and page_id::varchar like '1%'")
+_searched("fi13_host", "/^h1.*example/", "kind in ('HTTP', 'HTTPS', 'DNS query', 'DNS answer', 'mDNS') and page_id::varchar like '1%'")
 _searched("fi13_command", "m-search", "kind = 'SSDP'")
 _searched("fi13_and", "app:http sni:h2", "kind in ('HTTPS', 'HTTP') and page_id::varchar like '2%'")
 

@@ -110,12 +110,14 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[str], *values: str)
 
 
 def neighbours(packets: DataFrame) -> DataFrame:
-    """The hardware address last learnt for each IP: ARP senders always, targets of replies; newer wins, ties the later frame."""
-    sender = F.struct(F.col("sender_ip").alias("ip"), F.col("sender_mac").alias("mac"))
-    target = F.struct(F.col("target_ip").alias("ip"), F.col("target_mac").alias("mac"))
-    learnt = packets.select("us", "frame_no", F.explode(F.when(F.col("op") == "reply", F.array(sender, target)).otherwise(F.array(sender))).alias("l")).select("us", "frame_no", "l.*")
-    bad = F.col("ip").isin("0.0.0.0", "255.255.255.255") | F.col("ip").rlike(r"^2(2[4-9]|3\d)\.") | F.col("mac").isin("00:00:00:00:00:00", "ff:ff:ff:ff:ff:ff")
-    return latest_by(learnt.where(~bad), ["ip"], ["us", "frame_no"], "mac", "us")
+    """The hardware address last learnt for each IP: ARP senders always, targets of replies, and what IPv6 neighbour messages teach where packets have ndp_ip and ndp_mac; newer wins, ties the later frame."""
+    pair = lambda ip, mac: F.struct(F.col(ip).alias("ip"), F.col(mac).alias("mac"))
+    arp = F.when(F.col("op") == "reply", F.array(pair("sender_ip", "sender_mac"), pair("target_ip", "target_mac"))).when(F.col("op").isNotNull(), F.array(pair("sender_ip", "sender_mac")))
+    taught = F.when(F.col("ndp_mac").isNotNull(), F.array(pair("ndp_ip", "ndp_mac"))) if "ndp_mac" in packets.columns else F.lit(None)
+    learnt = packets.select("us", "frame_no", F.explode(F.coalesce(arp, taught)).alias("l")).select("us", "frame_no", "l.*")
+    bad_ip = F.col("ip").isin("0.0.0.0", "255.255.255.255", "::") | F.col("ip").rlike(r"^(?:2(2[4-9]|3\d)\.|[fF][fF])")
+    bad_mac = (F.col("mac") == "00:00:00:00:00:00") | F.substring("mac", 2, 1).rlike("[13579bBdDfF]")  # group addresses have the lowest bit set
+    return latest_by(learnt.where(~(bad_ip | bad_mac)), ["ip"], ["us", "frame_no"], "mac", "us")
 
 
 def counters(packets: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ Malformed payloads give NULL fields. Frames are decoded in netquarry.operators.f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netquarry.functions.net import valid_hostname
+from netquarry.functions.net import looked_up, valid_hostname
 from netquarry.operators.frames import packets as packets  # the frame decoder, beside the payload decoders
 
 
@@ -74,6 +76,14 @@ def stun(data: Column) -> Column:
     return F.when((F.length(data) >= 20) & (number(data, 4, 4) == 0x2112A442) & (kind < 0x4000), F.struct(F.element_at(names, (high * 2 + low + 1).cast("int")).alias("class"), method.alias("method"), F.lower(F.hex(F.substring(data, 9, 12))).alias("txid")))
 
 
+def is_mqtt(data: Column) -> Column:
+    """A CONNECT message by its flags, its length, and the protocol name; other types are too weak a sign."""
+    size = F.when(number(data, 1, 1) < 128, 1).when(number(data, 2, 1) < 128, 2).when(number(data, 3, 1) < 128, 3).when(number(data, 4, 1) < 128, 4)
+    part = lambda k: F.when(size > k, number(data, k + 1, 1).bitwiseAND(127) * 128**k).otherwise(0)
+    fits = 1 + size + part(0) + part(1) + part(2) + part(3) <= F.length(data) + 4
+    return F.coalesce((number(data, 0, 1) == 0x10) & fits & F.decode(F.substring(data, size + 4, F.lit(4)), "iso-8859-1").isin("MQTT", "MQIs"), F.lit(False))
+
+
 def mqtt(data: Column) -> Column:
     names = F.array(*map(F.lit, ["CONNECT", "CONNACK", "PUBLISH", "PUBACK", "PUBREC", "PUBREL", "PUBCOMP", "SUBSCRIBE", "SUBACK", "UNSUBSCRIBE", "UNSUBACK", "PINGREQ", "PINGRESP", "DISCONNECT", "AUTH"]))
     kind = F.shiftright(number(data, 0, 1), 4)
@@ -86,10 +96,113 @@ def mqtt(data: Column) -> Column:
     return F.when(kind.between(1, 15), F.struct(F.element_at(names, kind.cast("int")).alias("type"), version.alias("version"), F.nullif(client, F.lit("")).alias("client_id"), topic.alias("topic"), qos.alias("qos")))
 
 
+# Client codes of peer ids, by form.
+CLIENTS = {"qB": "qBittorrent", "TR": "Transmission", "DE": "Deluge", "UT": "uTorrent", "lt": "libtorrent", "LT": "libtorrent", "AZ": "Azureus", "BT": "BitTorrent", "BI": "BiglyBT", "FD": "Free Download Manager", "KT": "KTorrent", "RB": "rtorrent", "WW": "WebTorrent", "FL": "Flud", "SD": "Xunlei", "TL": "Tribler"}
+SHORT_CLIENTS = {"M": "Mainline", "S": "Shadow", "T": "BitTornado", "A": "ABC"}
+
+
+def client_name(peer: Column) -> Column:
+    """Name and dotted version of the client that a peer id (as text) names; NULL for other forms."""
+    code, digits = F.substring(peer, 2, 2), F.regexp_replace(F.substring(peer, 4, 4), "[^A-Za-z0-9]", "")
+    long = F.concat_ws(" ", F.coalesce(looked_up(code, CLIENTS), code), F.array_join(F.split(digits, "(?<=.)(?=.)"), "."))
+    return F.when(peer.rlike(r"(?s)^-[\x00-\x7f]{2}.{4}-"), long).otherwise(looked_up(F.substring(peer, 1, 1), SHORT_CLIENTS))
+
+
 def bittorrent(data: Column) -> Column:
-    """The peer handshake: info hash and client code."""
+    """The peer handshake: info hash, client and what the peer supports."""
     head = F.substring(data, 1, 20) == F.lit(b"\x13BitTorrent protocol")
-    return F.when(head & (F.length(data) >= 68), F.struct(F.lower(F.hex(F.substring(data, 29, 20))).alias("info_hash"), F.nullif(F.regexp_extract(F.decode(F.substring(data, 49, 20), "iso-8859-1"), r"^-([A-Za-z]{2}\d{4})-", 1), F.lit("")).alias("client")))
+    bit = lambda at, mask: F.coalesce(number(data, at, 1).bitwiseAND(mask) != 0, F.lit(False))
+    whole = F.length(data) >= 28
+    info = F.struct(F.when(F.length(data) >= 48, F.lower(F.hex(F.substring(data, 29, 20)))).alias("info_hash"), F.when(F.length(data) >= 68, client_name(F.decode(F.substring(data, 49, 20), "iso-8859-1"))).alias("client"), (whole & bit(27, 1)).alias("dht"), (whole & bit(25, 16)).alias("extension"), (whole & bit(27, 4)).alias("fast"))
+    return F.when(head, info)
+
+
+def bittorrent_udp(data: Column) -> Column:
+    """A DHT message (its query's method, response or error) or a uTP header: kind and method."""
+    text = F.decode(data, "iso-8859-1")
+    kind = F.regexp_extract(text, r"(?s)^.*?1:y1:(.)", 1)
+    asked = F.regexp_extract(text, r"(?s)^.*?1:q(\d{1,4}):", 1)
+    n = F.when(asked != "", asked.cast("int"))
+    begin = F.length(F.regexp_extract(text, r"(?s)^.*?1:q\d{1,4}:", 0)) + 1
+    method = F.when(kind == "r", "response").when(kind == "e", "error").when((n <= 64) & (begin + n - 1 <= F.length(text)), F.substring(text, begin, n))
+    dht = (F.length(data) >= 10) & text.startswith("d") & text.endswith("e") & kind.isin("q", "r", "e")
+    first = number(data, 0, 1)
+    utp = (F.length(data) >= 20) & (first.bitwiseAND(15) == 1) & (first < 0x50) & (number(data, 1, 1) <= 2) & (number(data, 2, 2) != 0) & ((F.floor(first / 16) == 3) | (number(data, 12, 4) != 0))
+    return F.when(dht, F.struct(F.lit("DHT").alias("kind"), method.alias("method"))).when(utp, F.struct(F.lit("uTP").alias("kind"), F.lit(None).cast("string").alias("method")))
+
+
+# SNMP versions and PDU tags, NetBIOS opcodes and message types.
+SNMP_VERSIONS = {0: "v1", 1: "v2c", 3: "v3"}
+SNMP_PDUS = {0xA0: "GET", 0xA1: "GETNEXT", 0xA2: "RESPONSE", 0xA3: "SET", 0xA4: "TRAP", 0xA5: "GETBULK", 0xA6: "INFORM", 0xA7: "TRAPv2", 0xA8: "REPORT"}
+NETBIOS_OPCODES = {0: "Query", 5: "Register", 6: "Release", 7: "WACK", 8: "Refresh"}
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once. A few levels deep at most: the analyzer resolves one level a round."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _elements(data: Column, at: Column, steps: list[tuple[int, bool]]) -> Column:
+    """The place behind a row of BER elements with given tags, going into those that are marked and past the others; NULL if one differs, has a length of unknown form, or ends beyond the data."""
+
+    def step(at: Column, s: Column) -> Column:
+        first = number(data, at + 1, 1)
+        more = F.when(first < 128, 0).when(first.between(129, 132), first - 128).cast("int")  # bytes of a long length
+        size = F.when(first < 128, first).otherwise(F.conv(F.hex(F.substring(data, (at + 3).cast("int"), more)), 16, 10).cast("long"))
+        inside = at + 2 + more
+        return F.when((number(data, at, 1) == s["tag"]) & (inside + size <= F.length(data)), F.when(s["enter"], inside).otherwise(inside + size))
+
+    wanted = F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(e).alias("enter")) for t, e in steps))
+    return F.aggregate(wanted, at.cast("long"), step)
+
+
+def snmp(data: Column) -> Column:
+    """Version, community and PDU of an SNMP message, walked element by element; an encrypted v3 message shows no PDU."""
+    tag = lambda at: number(data, at, 1)
+
+    def named(b: Column) -> Column:
+        """b: the places behind version, community, security parameters, and names of the scope."""
+        version = looked_up(number(data, b["version"] - 1, 1), SNMP_VERSIONS)
+        begin = _elements(data, b["version"], [(4, True)])
+        community = F.substring(data, (begin + 1).cast("int"), (b["community"] - begin).cast("int")).cast("string")
+        third = F.when(tag(b["secured"]) == 4, "ENCRYPTED").otherwise(looked_up(tag(b["scoped"]), SNMP_PDUS))
+        pdu = F.when(version == "v3", third).otherwise(looked_up(tag(b["community"]), SNMP_PDUS))
+        return F.struct(version.alias("version"), F.when((version != "v3") & F.is_valid_utf8(community), community).alias("community"), pdu.alias("pdu"))
+
+    def scoped(b: Column) -> Column:
+        return let(F.struct(b["version"].alias("version"), b["community"].alias("community"), b["secured"].alias("secured"), _elements(data, b["secured"], [(0x30, True), (4, False), (4, False)]).alias("scoped")), named)
+
+    def begun(at: Column) -> Column:
+        return let(F.struct(at.alias("version"), _elements(data, at, [(4, False)]).alias("community"), _elements(data, at, [(0x30, False), (4, False)]).alias("secured")), scoped)
+
+    zero = F.lit(0)
+    whole = let(F.when(F.length(data) >= 10, _elements(data, zero, [(0x30, True), (2, False)])), begun)
+    return let(whole, lambda found: F.when(found["version"].isNotNull() & found["pdu"].isNotNull(), found))
+
+
+def netbios_name(data: Column, at: int) -> Column:
+    """A first-level encoded name: 32 letters, two a character; only what prints is kept."""
+    letters = F.decode(F.substring(data, at + 2, 32), "iso-8859-1")
+    plain = F.regexp_replace(F.decode(F.unhex(F.translate(letters, "ABCDEFGHIJKLMNOP", "0123456789ABCDEF")), "iso-8859-1"), "[^!-~]", "")
+    return F.when((number(data, at, 1) == 32) & letters.rlike("^[A-P]{32}$"), F.nullif(plain, F.lit("")))
+
+
+def netbios_names(data: Column) -> Column:
+    """Name service: opcode, name, transaction, whether it answers, and its code. A WACK asks to wait and is no answer."""
+    flags = number(data, 2, 2)
+    code, answers = F.shiftright(flags, 11).bitwiseAND(15), flags >= 0x8000
+    opcode = F.when(answers, F.when(code == 7, "WACK").otherwise("Response")).otherwise(F.coalesce(looked_up(code, NETBIOS_OPCODES), F.format_string("Unknown(%d)", code)))
+    response = answers & (code != 7)
+    return F.when(F.length(data) >= 12, F.struct(F.lit("NS").alias("service"), opcode.alias("opcode"), netbios_name(data, 12).alias("name"), number(data, 0, 2).alias("txid"), response.alias("is_response"), F.when(response, flags.bitwiseAND(15)).cast("int").alias("code")))
+
+
+def netbios_datagrams(data: Column) -> Column:
+    """Datagram service: message type, name, id, and whether it answers a query."""
+    kind = number(data, 0, 1)
+    opcode = F.when(kind.between(0x10, 0x12), "Datagram").when(kind == 0x13, "Error").when(kind == 0x14, "Query").when(kind.isin(0x15, 0x16), "Response").otherwise(F.format_string("Unknown(%d)", kind))
+    name = F.when(kind.between(0x10, 0x12), netbios_name(data, 14)).when(kind.between(0x14, 0x16), netbios_name(data, 10))
+    least = F.when(kind.between(0x10, 0x12), 14).when(kind == 0x13, 11).otherwise(10)
+    return F.when(F.length(data) >= least, F.struct(F.lit("DGM").alias("service"), opcode.alias("opcode"), name.alias("name"), number(data, 2, 2).alias("txid"), kind.isin(0x15, 0x16).alias("is_response"), F.lit(None).cast("int").alias("code")))
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -113,36 +226,50 @@ def _dns_name(raw: bytes, at: int) -> tuple[str, int]:
     return ".".join(labels), after or at + 1
 
 
-def _dns_one(raw: bytes) -> tuple:
+def _dns_one(raw: bytes, additional: bool = False) -> tuple:
     import ipaddress
 
-    flags, questions, answers = (int.from_bytes(raw[k : k + 2]) for k in (2, 4, 6))
+    flags, questions, answers, authority, more = (int.from_bytes(raw[k : k + 2]) for k in (2, 4, 6, 8, 10))
     response, name, kind, ips, at = flags >> 15 == 1, None, None, [], 12
     if questions:
         name, at = _dns_name(raw, 12)
         kind, at = int.from_bytes(raw[at : at + 2]), at + 4
-    for _ in range(min(answers, 64) if response else 0):
+    # additional records stand behind those of the authority section, which are passed over
+    sections = ((answers, True), *(((authority, False), (more, True)) if additional else ()))
+    for read in [kept for n, kept in sections for _ in range(min(n, 64))] if response else ():
+        if at >= len(raw) and ips:
+            break
         _, at = _dns_name(raw, at)
         what, size = int.from_bytes(raw[at : at + 2]), int.from_bytes(raw[at + 8 : at + 10])
-        if what in (1, 28) and len(ips) < 16:
+        if read and what in (1, 28) and len(ips) < 16:
             ips.append(str(ipaddress.ip_address(raw[at + 10 : at + 10 + size])))
         at += 10 + size
     rcode = flags & 15 if response else None
     return int.from_bytes(raw[:2]), response, rcode, name, kind, ips, (not ips and rcode == 0) if response and kind in (1, 28) else None
 
 
-@F.pandas_udf(_DNS)
-def dns(payload: pd.Series) -> pd.DataFrame:
-    """The first question and the addresses of a DNS message; NULL fields if it is malformed."""
+def _dns_frame(payload: pd.Series, additional: bool) -> pd.DataFrame:
     out = []
     for raw in payload:
         try:
-            out.append(_dns_one(bytes(raw)) if raw is not None and len(raw) >= 12 else (None,) * 7)
+            out.append(_dns_one(bytes(raw), additional) if raw is not None and len(raw) >= 12 else (None,) * 7)
         except (ValueError, IndexError):
             out.append((None,) * 7)
     return pd.DataFrame(out, columns=_DNS.names)
 
 
+@F.pandas_udf(_DNS)
+def dns(payload: pd.Series) -> pd.DataFrame:
+    """The first question and the addresses of a DNS message; NULL fields if it is malformed."""
+    return _dns_frame(payload, False)
+
+
+@F.pandas_udf(_DNS)
+def mdns(payload: pd.Series) -> pd.DataFrame:
+    """As dns(), with the addresses of the additional records too."""
+    return _dns_frame(payload, True)
+
+
 _TLS = _struct(("record", T.StringType()), ("version", T.IntegerType()), ("sni", T.StringType()), ("alpn", _TEXTS), ("cipher", T.IntegerType()))
 
 
@@ -216,6 +343,6 @@ def sni_or_partial(name: Column, truncated: Column) -> Column:
 
 def register(spark: object) -> None:
     """Make the Arrow dissectors callable from SQL."""
-    for name, f in (("dissect_dns", dns), ("dissect_tls", tls), ("dissect_dhcp", dhcp)):
+    for name, f in (("dissect_dns", dns), ("dissect_mdns", mdns), ("dissect_tls", tls), ("dissect_dhcp", dhcp)):
         spark.udf.register(name, f)
 

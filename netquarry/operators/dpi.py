@@ -12,17 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions.net import authoritative_hostname, coded
-from netquarry.operators import decode
+from netquarry.operators import decode, quic
 from netquarry.plans.packets import FLOW
 
 # NTP modes by number, DHCP messages by option 53, ICMP and IGMP states by type.
 NTP_MODES = {0: "Reserved", 1: "SymActive", 2: "SymPassive", 3: "Client", 4: "Server", 5: "Broadcast", 6: "Control", 7: "Private"}
 DHCP_MESSAGES = {1: "DISCOVER", 2: "OFFER", 3: "REQUEST", 4: "DECLINE", 5: "ACK", 6: "NAK", 7: "RELEASE", 8: "INFORM"}
 ICMP_STATES = {3: "DEST_UNREACH", 11: "TIME_EXCEEDED"}
+QUIC_STATES = {"Initial": "QUIC_INITIAL", "Retry": "QUIC_INITIAL", "Version Negotiation": "QUIC_INITIAL", "Handshake": "QUIC_HANDSHAKE", "Handshaking": "QUIC_HANDSHAKE", "0-RTT": "QUIC_HANDSHAKE", "1-RTT": "QUIC_CONNECTED", "Connected": "QUIC_CONNECTED", "Draining": "QUIC_DRAINING", "Closed": "QUIC_CLOSED"}
 IGMP_STATES = {0x11: "QUERY", 0x12: "REPORT_V1", 0x16: "REPORT_V2", 0x22: "REPORT_V3", 0x17: "LEAVE_GROUP"}
 
+# Commands that no mail or news protocol shares with FTP.
+FTP_ONLY = "ACCT|CWD|CDUP|SMNT|REIN|PORT|PASV|TYPE|STRU|STOR|STOU|APPE|ALLO|REST|RNFR|RNTO|ABOR|RMD|MKD|PWD|NLST|SITE|SYST|FEAT|OPTS|EPSV|EPRT|PBSZ|PROT|CCC|SIZE|MDTM|MLSD|MLST"
+
 #: Every field of the struct; the texts among them are what a general filter searches.
-TEXT_FIELDS = ["host", "path", "method", "user_agent", "sni", "query", "software", "command", "args", "username", "system", "hostname", "target", "client_id", "topic", "client"]
+TEXT_FIELDS = ["host", "path", "method", "user_agent", "sni", "query", "software", "command", "args", "username", "system", "hostname", "target", "client_id", "topic", "client", "community"]
 FIELDS = ["app", *TEXT_FIELDS, "kind", "version", "code", "is_response", "ips", "alpn", "cipher", "txid"]
 
 
@@ -34,44 +38,53 @@ def dissect(packets: DataFrame) -> DataFrame:
     text = F.decode(data, "iso-8859-1")
     asked = lambda yes: F.when(some & yes, data)
     hello = port(443) | F.coalesce((F.substring(data, 1, 1) == F.lit(b"\x16")) & (F.substring(data, 2, 1) == F.lit(b"\x03")), F.lit(False))
-    seen = packets.withColumns({"__tls": decode.tls(asked(tcp & hello)), "__dns": decode.dns(asked(udp & port(53, 5353, 5355))), "__dhcp": decode.dhcp(asked(udp & port(67, 68)))})
+    seen = packets.withColumns({"__tls": decode.tls(asked(tcp & hello)), "__dns": decode.dns(asked(udp & port(53, 5355))), "__mdns": decode.mdns(asked(udp & port(5353) & ~port(53))), "__dhcp": decode.dhcp(asked(udp & port(67, 68)))})
     found = {
         "http": F.when(tcp & some, decode.http(text)),
         "bt": F.when(tcp & some, decode.bittorrent(data)),
-        "mqtt": F.when(tcp & some & port(1883), decode.mqtt(data)),
+        "mqtt": F.when(tcp & some & (port(1883) | decode.is_mqtt(data)), decode.mqtt(data)),
         "ssh": F.when(tcp & some, decode.ssh_banner(text)),
-        "ftp": F.when(tcp & some & (port(21) | text.rlike(r"^(?:USER |PASS |220[ -])")), decode.ftp(text)),
+        "ftp": F.when(tcp & some & (port(21) | text.rlike(rf"(?i)^(?:{FTP_ONLY})(?:[ \r\n]|$)")), decode.ftp(text)),
+        "quic": F.when(udp & some & port(443) & quic.is_quic(data), quic.brief(data)),
+        "nbns": F.when(udp & some & port(137), decode.netbios_names(data)),
+        "nbdgm": F.when(udp & some & port(138), decode.netbios_datagrams(data)),
+        "snmp": F.when(udp & some & port(161, 162), decode.snmp(data)),
+        "btudp": F.when(udp & some, decode.bittorrent_udp(data)),
         "ntp": F.when(udp & some & port(123), decode.ntp(data)),
         "ssdp": F.when(udp & some & port(1900), decode.ssdp(text)),
         "stun": F.when(udp & some, decode.stun(data)),
     }
     # Generators of one row, here and below: what reads single fields later is not put in place of the dissectors, once a field.
     told = seen.select("*", F.explode(F.array(F.struct(*(v.alias(n) for n, v in found.items())))).alias("__d"))
-    c = lambda n: F.col(n if n.split(".")[0] in ("__tls", "__dns", "__dhcp") else n.replace("__", "__d."))
-    named = F.when(port(53), "DNS").when(port(5353), "mDNS").otherwise("LLMNR")
+    c = lambda n: F.col(n if n.split(".")[0] in ("__tls", "__dns", "__mdns", "__dhcp") else n.replace("__", "__d."))
     # in the order of inspection; each accepts by its own fields
     cases = [
         (c("__http").isNotNull(), "HTTP", {"host": c("__http.host"), "path": c("__http.path"), "method": c("__http.method"), "user_agent": c("__http.user_agent"), "version": c("__http.version"), "code": c("__http.status")}),
         (tcp & (c("__tls.record").isNotNull() | (some & port(443) & F.substring(data, 1, 2).isin(F.lit(b"\x16\x03"), F.lit(b"\x17\x03")))), "HTTPS", {"sni": c("__tls.sni"), "alpn": c("__tls.alpn"), "cipher": c("__tls.cipher"), "kind": c("__tls.record")}),
-        (c("__bt").isNotNull(), "BitTorrent", {"client": c("__bt.client")}),
+        (c("__bt").isNotNull(), "BitTorrent", {"client": c("__bt.client"), "kind": F.lit("Peer"), "txid": c("__bt.info_hash")}),
         (c("__mqtt").isNotNull(), "MQTT", {"kind": c("__mqtt.type"), "client_id": c("__mqtt.client_id"), "topic": c("__mqtt.topic"), "version": c("__mqtt.version").cast("string")}),
         (c("__ssh").isNotNull(), "SSH", {"software": c("__ssh.software"), "version": c("__ssh.version")}),
         (c("__ftp").isNotNull(), "FTP", {"command": c("__ftp.command"), "args": c("__ftp.args"), "code": c("__ftp.code"), "username": c("__ftp.username"), "software": c("__ftp.software"), "system": c("__ftp.system")}),
-        (udp & port(53) & c("__dns.txid").isNotNull(), "DNS", None),
-        (udp & port(5353) & c("__dns.txid").isNotNull(), "mDNS", None),
+        (udp & port(53) & c("__dns.txid").isNotNull(), "DNS", "__dns"),
+        (udp & port(443) & quic.is_quic(data), "QUIC", {"kind": c("__quic.kind"), "version": quic.version_name(c("__quic.version")), "txid": F.nullif(F.lower(F.hex(c("__quic.dcid"))), F.lit(""))}),
+        (udp & port(5353) & c("__mdns.txid").isNotNull(), "mDNS", "__mdns"),
         (c("__dhcp.message").isNotNull(), "DHCP", {"kind": coded(c("__dhcp.message"), DHCP_MESSAGES), "hostname": c("__dhcp.hostname")}),
         (c("__ntp").isNotNull(), "NTP", {"version": c("__ntp.version").cast("string"), "kind": coded(c("__ntp.mode"), NTP_MODES), "txid": c("__ntp.origin")}),
-        (udp & port(5355) & c("__dns.txid").isNotNull(), "LLMNR", None),
+        (udp & port(5355) & c("__dns.txid").isNotNull(), "LLMNR", "__dns"),
         (c("__ssdp").isNotNull(), "SSDP", {"kind": c("__ssdp.method"), "target": c("__ssdp.target")}),
+        *((c(n).isNotNull(), "NetBIOS", {"kind": c(f"{n}.service"), "command": c(f"{n}.opcode"), "hostname": c(f"{n}.name"), "txid": c(f"{n}.txid").cast("string"), "is_response": c(f"{n}.is_response"), "code": c(f"{n}.code")}) for n in ("__nbns", "__nbdgm")),
+        (c("__snmp").isNotNull(), "SNMP", {"kind": c("__snmp.pdu"), "version": c("__snmp.version"), "community": c("__snmp.community")}),
         (c("__stun").isNotNull(), "STUN", {"kind": c("__stun.class"), "code": c("__stun.method"), "txid": c("__stun.txid")}),
+        (c("__btudp").isNotNull(), "BitTorrent", {"kind": c("__btudp.kind"), "method": c("__btudp.method")}),
     ]
-    dns = {"query": c("__dns.name"), "is_response": c("__dns.is_response"), "ips": c("__dns.ips"), "code": c("__dns.rcode"), "kind": c("__dns.qtype").cast("string"), "txid": c("__dns.txid").cast("string")}
+    dns = lambda n: {"query": c(f"{n}.name"), "is_response": c(f"{n}.is_response"), "ips": c(f"{n}.ips"), "code": c(f"{n}.rcode"), "kind": c(f"{n}.qtype").cast("string"), "txid": c(f"{n}.txid").cast("string")}
     types = {"code": "int", "is_response": "boolean", "ips": "array<string>", "alpn": "array<string>", "cipher": "int"}
 
+    absent = {n: F.lit(None).cast(types.get(n, "string")).alias(n) for n in FIELDS}
     whole = None
     for test, app, values in cases:
-        given = {"app": F.lit(app)} | (dns if values is None else values)
-        one = F.struct(*(given.get(n, F.lit(None)).cast(types.get(n, "string")).alias(n) for n in FIELDS))
+        given = {"app": F.lit(app)} | (values if isinstance(values, dict) else dns(values))
+        one = F.struct(*(given[n].cast(types.get(n, "string")).alias(n) if n in given else absent[n] for n in FIELDS))
         whole = F.when(test, one) if whole is None else whole.when(test, one)
     return told.select(*packets.columns, F.explode(F.array(whole)).alias("dpi"))
 
@@ -96,6 +109,10 @@ def display(dpi: Column) -> Column:
         .when(app == "SSDP", _with(two, f("target")))
         .when(app == "MQTT", _with(two, f("topic"), f("client_id")))
         .when(app == "STUN", F.concat_ws(" ", app, F.when(f("code") == 1, "Binding").otherwise(F.format_string("0x%03x", f("code"))), f("kind")))
+        .when(app == "SNMP", _with(F.concat_ws(" ", app, f("version"), f("kind")), f("community")))
+        .when(app == "NetBIOS", _with(two, f("hostname")))
+        .when((app == "BitTorrent") & (f("kind") == "DHT"), _with(F.lit("BT DHT"), f("method")))
+        .when((app == "BitTorrent") & (f("kind") == "uTP"), "BT uTP")
         .when(app == "BitTorrent", _with(app, f("client")))
         .when(app == "FTP", ftp)
         .otherwise(app)
@@ -119,6 +136,7 @@ def state(protocol: Column, tcp_state: Column, dpi: Column, idle_s: Column, icmp
     udp = (
         F.when(app.isin("DNS", "mDNS", "LLMNR"), F.concat(F.upper(app), F.lit("_"), answer))
         .when(app.isin("HTTP", "HTTPS", "SSH", "MQTT", "FTP"), F.concat(app, F.lit("_UDP")))
+        .when(app == "QUIC", coded(kind, QUIC_STATES, F.lit("QUIC_UNKNOWN")))
         .when(app == "NTP", "NTP")
         .when(app == "BitTorrent", "BT_UDP")
         .when(app.isin("DHCP", "SSDP", "STUN", "SNMP", "NetBIOS"), F.concat(F.upper(app), F.lit("_"), kind))
@@ -158,6 +176,15 @@ def searchable(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"application": display(dpi), "sni": authoritative_hostname(dpi["sni"]), "host": dpi["host"], "user_agent": dpi["user_agent"], "path": dpi["path"], "dns_query": dpi["query"], "alpn": F.array_join(dpi["alpn"], " "), "dpi_code": dpi["code"].cast("string"), **texts})
 
 
+def with_quic(flows: DataFrame, packets: DataFrame) -> DataFrame:
+    """flows (FLOW, dpi) with what QUIC's CRYPTO data shows by connection: server name, ALPN and version in dpi, its state as the kind."""
+    found = quic.flows(packets).select(*FLOW, F.col("state").alias("__state"), F.col("sni").alias("__sni"), F.col("alpn").alias("__alpn"), F.col("version").alias("__version"))
+    dpi = F.col("dpi")
+    told = dpi.withField("kind", F.col("__state")).withField("sni", F.col("__sni")).withField("alpn", F.col("__alpn")).withField("version", F.col("__version"))
+    return flows.join(found, FLOW, "left").withColumn("dpi", F.when((dpi["app"] == "QUIC") & F.col("__state").isNotNull(), told).otherwise(dpi)).drop("__state", "__sni", "__alpn", "__version")
+
+
 def ingest(frames: DataFrame, local: DataFrame) -> DataFrame:
-    """From captured frames to inspected connections: decode, dissect, fold."""
-    return connections(dissect(decode.packets(frames, local)))
+    """From captured frames to inspected connections: decode, dissect, fold, and put QUIC handshakes together."""
+    packets = decode.packets(frames, local)
+    return with_quic(connections(dissect(packets)), packets)

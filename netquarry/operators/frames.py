@@ -136,7 +136,8 @@ def decode(data: pa.Array, link: np.ndarray, protocols: tuple[str, ...] | None =
     proto = np.where(v4 & first & (ihl >= 20), f.number(at + 9, 1), np.where(v6, six, -1))
     l4 = np.where(v4, at + ihl, six_at)
     length = f.number(at + 4, 2)
-    end = np.where(v4, at + f.number(at + 2, 2), np.where(length == 0, f.size, at + 40 + length))
+    total = f.number(at + 2, 2)  # 0 where the card cuts segments: then all that was captured counts
+    end = np.where(v4, np.where(total < ihl, f.size, at + total), np.where(length == 0, f.size, at + 40 + length))
     tcp_head = (f.number(l4 + 12, 1) >> 4) * 4
     tcp = (proto == 6) & (tcp_head >= 20) & (f.number(l4 + 16, 4) >= 0)
     udp = (proto == 17) & (f.number(l4 + 4, 2) >= 8)

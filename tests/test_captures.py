@@ -101,3 +101,64 @@ def test_dissectors(spark):
     stun = bytes.fromhex("010100002112a442") + bytes(range(12))
     assert one(spark, decode.stun(x), stun)["class"] == "Success"
     assert one(spark, decode.ntp(x), bytes([0x23]) + bytes(47))["mode"] == 3
+
+
+def test_offloaded_frames_and_taught_neighbours(spark):
+    from netquarry.operators import aggregates
+
+    offloaded = bytearray(ip4(6, TCP, (203, 0, 113, 9), (10, 0, 0, 1)))
+    offloaded[16:18] = b"\0\0"  # total length 0: the card cuts the segments
+    option = bytes([2, 1]) + bytes.fromhex("0a0b0c0d0e0f")
+    advert = bytes([136, 0, 0, 0, 0, 0, 0, 0]) + bytes.fromhex("fe80" + "00" * 13 + "07")
+    grouped = bytes([136, 0, 0, 0, 0, 0, 0, 0]) + bytes.fromhex("ff02" + "00" * 13 + "01")
+    many = [bytes(offloaded), six(58, advert + option, hop=255), six(58, grouped + option, hop=255), ARP]
+    rows = spark.createDataFrame([(k, k, 1, bytearray(f)) for k, f in enumerate(many)], "frame_no long, us long, linktype int, data binary")
+    found = decode.packets(rows, spark.createDataFrame([("10.0.0.1",)], "ip string"))
+    first = found.where("frame_no = 0").first()
+    assert (first["payload"], first["payload_len"], first["packet_len"]) == (b"hello", 5, len(offloaded))
+    assert {(r["ip"], r["mac"]) for r in aggregates.neighbours(found).collect()} == {("fe80::7", "0a:0b:0c:0d:0e:0f"), ("10.0.0.1", "02:00:00:00:00:01")}
+
+
+def element(kind, body):
+    size = len(body)
+    return bytes([kind]) + (bytes([size]) if size < 128 else b"\x82" + size.to_bytes(2)) + body
+
+
+def test_snmp_messages(spark):
+    pdu = lambda tag: element(tag, element(2, b"\x01"))
+    old = lambda version, name, tag: element(0x30, element(2, bytes([version])) + element(4, name) + pdu(tag))
+    scope = element(0x30, element(4, b"engine") + element(4, b"") + pdu(0xA8))
+    third = lambda data: element(0x30, element(2, b"\x03") + element(0x30, element(2, b"\x07") * 3) + element(4, b"x" * 200) + data)
+    many = {
+        old(0, b"public", 0xA4): ("v1", "public", "TRAP"), old(1, b"private", 0xA5): ("v2c", "private", "GETBULK"), old(1, b"\xff\xfe", 0xA2): ("v2c", None, "RESPONSE"), old(1, b"c" * 300, 0xA0): ("v2c", "c" * 300, "GET"),
+        third(scope): ("v3", None, "REPORT"), third(element(4, b"secret")): ("v3", None, "ENCRYPTED"), third(element(2, b"\x01")): None, old(2, b"public", 0xA0): None, old(1, b"public", 0x30): None, old(1, b"public", 0xA0)[:-3]: None,
+        b"\x30\x80" + bytes(20): None, b"\x30\x01\x02": None, b"": None,
+    }
+    rows = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(many)], "k int, d binary").select("k", decode.snmp(F.col("d")).alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in sorted(rows)] == list(many.values())
+
+
+def encoded(name, suffix=0):
+    raw = name.ljust(15).encode() + bytes([suffix])
+    return b"\x20" + bytes(x for b in raw for x in (65 + (b >> 4), 65 + (b & 15)))
+
+
+def test_netbios_names_and_datagrams(spark):
+    head = lambda flags: b"\x12\x34" + flags.to_bytes(2) + bytes(8)
+    names = {head(0x0110) + encoded("DESKTOP"): ("NS", "Query", "DESKTOP", 0x1234, False, None), head(0xBC00) + encoded("WAIT"): ("NS", "WACK", "WAIT", 0x1234, False, None), head(0x8503) + encoded("GONE", 0x1B): ("NS", "Response", "GONE", 0x1234, True, 3), head(0x2910): ("NS", "Register", None, 0x1234, False, None), head(0x4800) + b"\x20" + b"zz" * 16: ("NS", "Unknown(9)", None, 0x1234, False, None), b"short": None}
+    rows = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(names)], "k int, d binary").select("k", decode.netbios_names(F.col("d")).alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in sorted(rows)] == list(names.values())
+    grams = {b"\x11\x02\x00\x09" + bytes(10) + encoded("MAIL"): ("DGM", "Datagram", "MAIL", 9, False, None), b"\x16\x02\x00\x09" + bytes(6) + encoded("NO"): ("DGM", "Response", "NO", 9, True, None), b"\x13\x02\x00\x09" + bytes(7): ("DGM", "Error", None, 9, False, None), b"\x10\x02" + bytes(6): None, b"\x77\x02\x00\x09" + bytes(6): ("DGM", "Unknown(119)", None, 9, False, None)}
+    rows = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(grams)], "k int, d binary").select("k", decode.netbios_datagrams(F.col("d")).alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in sorted(rows)] == list(grams.values())
+
+
+def test_bittorrent_peers_dht_and_utp(spark):
+    shake = lambda peer, flags=bytes(8): b"\x13BitTorrent protocol" + flags + b"\xab" * 20 + peer.ljust(20, b"x")
+    peers = {shake(b"-qB4250-", b"\0\0\0\0\0\x10\0\x05"): ("ab" * 20, "qBittorrent 4.2.5.0", True, True, True), shake(b"-ZZ10a!-"): ("ab" * 20, "ZZ 1.0.a", False, False, False), shake(b"M7-9-2--"): ("ab" * 20, "Mainline", False, False, False), shake(b"?"): ("ab" * 20, None, False, False, False), b"\x13BitTorrent protocol": (None, None, False, False, False), b"GET /": None}
+    rows = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(peers)], "k int, d binary").select("k", decode.bittorrent(F.col("d")).alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in sorted(rows)] == list(peers.values())
+    utp = lambda first, number, window: bytes([first, 0]) + number.to_bytes(2) + bytes(8) + window.to_bytes(4) + bytes(4)
+    udp = {b"d1:ad2:id2:xxe1:q9:get_peers1:t2:aa1:y1:qe": ("DHT", "get_peers"), b"d1:rd2:id2:xxe1:t2:aa1:y1:re": ("DHT", "response"), b"d1:eli201e1:xe1:t2:aa1:y1:ee": ("DHT", "error"), b"d1:q99:ping1:y1:qe": ("DHT", None), b"d1:t2:aae": None, utp(0x41, 7, 1): ("uTP", None), utp(0x31, 7, 0): ("uTP", None), utp(0x01, 7, 0): None, utp(0x01, 0, 1): None, utp(0x51, 7, 1): None}
+    rows = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(udp)], "k int, d binary").select("k", decode.bittorrent_udp(F.col("d")).alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in sorted(rows)] == list(udp.values())
