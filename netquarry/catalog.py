@@ -98,7 +98,57 @@ def fl16(spark: SparkSession, d: str) -> DataFrame:
     return flows(spark, d).select(*FLOW, lifecycle.timeout_s(F.col("protocol"), F.col("state"), F.col("application")).alias("timeout_s"))
 
 
-@query("fl5_generations")
+# Every flow's packets one after another: what is live, then whether the packet closes it (w), then what the packet makes of it.
+GENERATIONS_SQL = f"""
+with recursive {packets_sql(1_000_000)},
+q as (select {KEYS}, row_number() over (partition by {KEYS} order by us, frame_no) as n, us, is_outgoing as o, packet_len as len, syn, ack_flag as a, fin, rst, payload_len as pay, seq, (frame_no * 1460 + 4293998540) % 4294967296 as ackno,
+  case remote_port when 443 then 'HTTPS' when 80 then 'HTTP' when 53 then 'DNS' when 22 then 'SSH' when 123 then 'NTP' end as app from packets),
+f as (
+  select distinct {KEYS}, cast(0 as bigint) as n, false as live, cast(null as bigint) as tomb, cast(null as varchar) as state, cast(null as bigint) as created_us, cast(null as bigint) as last_us, cast(null as bigint) as terminal_us, cast(null as boolean) as direction,
+    cast(0 as bigint) as bs, cast(0 as bigint) as br, cast(0 as bigint) as ps, cast(0 as bigint) as pr, cast(0 as bigint) as rt, cast(0 as bigint) as oo, cast(0 as bigint) as da, cast(0 as bigint) as fr, cast(null as bigint) as srtt,
+    cast(null as bigint) as ho, cast(null as bigint) as hi, cast(null as bigint) as la, cast(0 as bigint) as run, cast(null as bigint) as pseq, cast(null as bigint) as pus,
+    cast(null as struct(state varchar, created_us bigint, last_us bigint, terminal_us bigint, closed_us bigint, close_reason varchar, direction boolean, bs bigint, br bigint, ps bigint, pr bigint, rt bigint, oo bigint, da bigint, fr bigint, srtt bigint)) as done
+  from q
+  union all
+  select protocol, local_ip, local_port, remote_ip, remote_port, n, not dropped, tomb1, st, case when fresh then us else created_us end, case when fresh then us else greatest(last_us, us) end, case when st in ('TIME_WAIT', 'CLOSED') then coalesce(case when not fresh then terminal_us end, us) end,
+    case when fresh then case when protocol <> 'TCP' then null when st = 'SYN_SENT' then true when st = 'SYN_RECV' then false when syn and a then not o end else direction end,
+    case when fresh then 0 else bs end + case when o then len else 0 end, case when fresh then 0 else br end + case when o then 0 else len end, case when fresh then 0 else ps end + case when o then 1 else 0 end, case when fresh then 0 else pr end + case when o then 0 else 1 end,
+    case when fresh then 0 else rt + case when retr then 1 else 0 end end, case when fresh then 0 else oo + case when late_in then 1 else 0 end end, case when fresh then 0 else da + case when dup then 1 else 0 end end, case when fresh then 0 else fr + case when dup and run = 2 then 1 else 0 end end,
+    case when fresh then null when timed then coalesce((srtt * 7 + us - pus) // 8, us - pus) else srtt end,
+    case when fresh then null when seg and o and used > 0 and not retr then e else ho end, case when fresh then null when seg and not o and used > 0 and not late_in then e else hi end,
+    case when fresh then null when acks and (la is null or newer) then ackno else la end, case when fresh then 0 when dup then run + 1 when acks and newer then 0 else run end,
+    case when fresh or retr or timed then null when probes then e else pseq end, case when fresh then null when probes then us else pus end, done
+  from (
+    select *, seg and o and used > 0 and not retr and (pseq is null or us - pus > 10000000) as probes, coalesce(acks and la is not null and ackno = la, false) as dup, coalesce(acks and ackno <> la and ((la - ackno) % 4294967296 + 4294967296) % 4294967296 >= 2147483648, false) as newer,
+      case when protocol <> 'TCP' then protocol when rst then 'CLOSED'
+        when was = 'TCP_UNKNOWN' and syn and not a and not fin then case when o then 'SYN_SENT' else 'SYN_RECV' end when was = 'TCP_UNKNOWN' and not syn and a then 'ESTABLISHED'
+        when was = 'SYN_SENT' and syn and a and not fin and not o then 'ESTABLISHED' when was = 'SYN_RECV' and not syn and a and not fin and o then 'ESTABLISHED'
+        when was = 'ESTABLISHED' and not syn and fin then case when o then 'FIN_WAIT1' else 'CLOSE_WAIT' end
+        when was = 'FIN_WAIT1' and not syn and not o and fin then 'CLOSING' when was = 'FIN_WAIT1' and not syn and a and not o then 'FIN_WAIT2'
+        when was = 'FIN_WAIT2' and not syn and fin and not o then 'TIME_WAIT' when was = 'CLOSE_WAIT' and not syn and fin and o then 'LAST_ACK'
+        when was = 'LAST_ACK' and not syn and a and not fin and not o then 'CLOSED' when was = 'CLOSING' and not syn and a and not fin and not o then 'TIME_WAIT' else was end as st
+    from (
+      select *, not live1 as fresh, case when live1 then state else 'TCP_UNKNOWN' end as was, seg and o and used > 0 and coalesce(((ho - e) % 4294967296 + 4294967296) % 4294967296 < 2147483648, false) as retr,
+        seg and not o and used > 0 and coalesce(((hi - e) % 4294967296 + 4294967296) % 4294967296 < 2147483648, false) as late_in, seg and not o and a and coalesce(((ackno - pseq) % 4294967296 + 4294967296) % 4294967296 < 2147483648, false) as timed, seg and not o and a and used = 0 as acks
+      from (
+        select *, live1 and protocol = 'TCP' as seg, pay + cast(syn as int) + cast(fin as int) as used, (seq + pay + cast(syn as int) + cast(fin as int)) % 4294967296 as e,
+          coalesce(not live1 and protocol = 'TCP' and not syn and (fin or rst or (a and pay = 0)) and us - tomb1 between 0 and 30000000, false) as dropped
+        from (
+          select *, live and why is null as live1, case when why is null then tomb when state in ('TIME_WAIT', 'CLOSED') then closed_at end as tomb1,
+            case when why is not null then row(state, created_us, last_us, terminal_us, closed_at, why, direction, bs, br, ps, pr, rt, oo, da, fr, srtt) end as done
+          from (
+            select * exclude (stop), case when live and us > stop then 'timeout' when live and protocol = 'TCP' and syn and state in ('TIME_WAIT', 'CLOSED', 'FIN_WAIT1', 'FIN_WAIT2', 'CLOSE_WAIT', 'LAST_ACK', 'CLOSING') then 'new_generation' end as why, case when us > stop then stop else us end as closed_at
+            from (
+              select f.* exclude (n, done), q.* exclude ({KEYS}), coalesce(f.terminal_us, f.last_us) + 1000000 * case when f.protocol = 'ICMP' then 10 when f.protocol = 'UDP' then case q.app when 'DNS' then 30 when 'NTP' then 30 when 'HTTP' then 600 when 'HTTPS' then 600 when 'SSH' then 1800 else 60 end
+                else case f.state when 'ESTABLISHED' then case q.app when 'SSH' then 1800 when 'HTTP' then 600 when 'HTTPS' then 600 else 300 end when 'TIME_WAIT' then 30 when 'CLOSING' then 30 when 'CLOSED' then 15 when 'TCP_UNKNOWN' then 120 else 60 end end as stop
+              from f join q on q.protocol = f.protocol and q.local_ip = f.local_ip and q.local_port = f.local_port and q.remote_ip = f.remote_ip and q.remote_port = f.remote_port and q.n = f.n + 1)))))))
+select {KEYS}, done.state as state, done.created_us as created_us, done.last_us as last_us, done.terminal_us as terminal_us, done.closed_us as closed_us, done.close_reason as close_reason, done.direction as direction, done.bs as bytes_sent, done.br as bytes_received, done.ps as packets_sent, done.pr as packets_received, done.rt as retransmits, done.oo as out_of_order, done.da as duplicate_acks, done.fr as fast_retransmits, done.srtt as srtt_us from f where done is not null
+union all
+select {KEYS}, state, created_us, last_us, terminal_us, null, null, direction, bs, br, ps, pr, rt, oo, da, fr, srtt from (select * from f qualify n = max(n) over (partition by {KEYS})) where live
+"""
+
+
+@query("fl5_generations", GENERATIONS_SQL)
 def fl5(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.generations(packets(spark, d, 1_000_000), aggregates.application_of(F.col("remote_port")))
 
@@ -404,7 +454,10 @@ def _ticks(spark: SparkSession, d: str) -> DataFrame:
     return windows.ticks(packets(spark, d), ["process_name"])
 
 
-@query("wn3_smoothed_rate")
+@query("wn3_smoothed_rate", TICKS.replace("with ", "with recursive ", 1) + """, n as (select process_name, row_number() over (partition by process_name order by tick) as k, cast(tx as double) as raw from t),
+v as (select distinct process_name, cast(0 as bigint) as k, cast(0 as double) as y from n
+  union all select process_name, k, case when x < 1 then 0 else x end from (select n.process_name, n.k, case when raw >= y then raw when raw = 0 then y * 0.15 else 0.6 * raw + 0.4 * y end as x from v join n on n.process_name is not distinct from v.process_name and n.k = v.k + 1))
+select process_name, round(y, 6) as smoothed from v qualify k = max(k) over (partition by process_name)""")
 def wn3(spark: SparkSession, d: str) -> DataFrame:
     return windows.smoothed_rates(_ticks(spark, d), ["process_name"], "tx")
 
