@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netquarry.catalog import FLOWS_SQL, KEYS, SOCKETS_SQL, P, _frames, _processes, _sockets, flows, query
 from netquarry.functions import net
-from netquarry.operators import aggregates, dpi, filters, joins, quic, sorts
+from netquarry.operators import aggregates, dpi, filters, joins, latency, quic, sorts
 from netquarry.plans.packets import FLOW, packets, table
 
 KINDS = ["HTTP", "HTTPS", "DNS query", "DNS answer", "SSH", "FTP", "NTP", "SSDP", "DHCP", "STUN", "MQTT", "none", "SNMP", "NetBIOS", "DHT", "uTP", "QUIC", "SMTP", "POP3", "mDNS", "MQTT connect"]
@@ -279,3 +279,41 @@ def pr16(spark: SparkSession, d: str) -> DataFrame:
     known = spark.createDataFrame([("203.0.113.7",)], "ip string")
     rows = joins.flagged(packets(spark, d).select("remote_ip").distinct(), "remote_ip", known, "ip", "subnet_broadcast")
     return rows.select("remote_ip", net.address_kind(F.col("remote_ip"), F.col("subnet_broadcast")).alias("kind"))
+
+
+@query("jn6_geoip6", """with a as (select s_suppkey as k, s_suppkey % 25 as n, s_suppkey % 7 as m, s_suppkey % 11 = 0 as private, s_suppkey % 5 = 0 as four from supplier),
+g as (select a.*, case when private or (four and n = 0) then null when four and n % 2 = 1 then 'World' when not four and n % 4 = 0 and m = 3 then n_name || '-3' when n % 2 = 0 then n_name when not four then 'Town' end as country from a join nation on n_nationkey = n)
+select k, country, case when country is null then null when country = 'World' then 'W' when country = 'Town' then 'T' else 'C' end as country_code, case when private then null when four and n = 0 then null else n * 10 + m // 2 end as asn, case when not private and not four and n % 2 = 1 then 'c' || n end as city, not private and not (four and n = 0) as has_data from g""")
+def jn6_geoip6(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    h = lambda c: F.lower(F.hex(c.cast("long")))
+    text = lambda c: c.cast("string")
+    six, four = F.concat(F.lit("2a00:"), h(k % 25 + 16), F.lit(":"), h(k % 7), F.lit("::"), h(k)), F.concat_ws(".", F.lit("5"), text(k % 25), text(k % 7), text(k % 250))
+    rows = table(spark, d, "supplier").select(k.alias("k"), F.when(k % 11 == 0, F.when(k % 5 == 0, "192.168.7.9").otherwise(F.concat(F.lit("fd00::"), h(k)))).when(k % 5 == 0, four).otherwise(six).alias("ip"))
+    nations = table(spark, d, "nation").select(n, "n_name")
+    block = lambda rows_, cidr, **values: rows_.select(cidr.alias("cidr"), *(v.alias(c) for c, v in values.items()))
+    wide, narrow = F.concat(F.lit("2a00:"), h(n + 16), F.lit("::/32")), F.concat(F.lit("2a00:"), h(n + 16), F.lit(":3::/48"))
+    named = lambda name: {"country_code": F.lit("C"), "country_name": name}
+    even = nations.where(n % 2 == 0)
+    countries = block(even, wide, **named(F.col("n_name"))).unionByName(block(even.where(n > 0), F.concat(F.lit("5."), text(n), F.lit(".0.0/16")), **named(F.col("n_name")))).unionByName(block(even.where(n % 4 == 0), narrow, **named(F.concat("n_name", F.lit("-3")))))
+    countries = countries.unionByName(block(nations.where(n % 2 == 1), F.concat(F.lit("5."), text(n), F.lit(".0.0/17")), country_code=F.lit("W"), country_name=F.lit("World")))
+    pairs = nations.select(n, F.explode(F.array(*map(F.lit, (0, 2, 4, 6)))).alias("m"))
+    m = F.col("m")
+    systems = block(pairs, F.concat(F.lit("2a00:"), h(n + 16), F.lit(":"), h(m), F.lit("::/47")), asn=n * 10 + F.expr("m div 2"), as_org=F.lit("o")).unionByName(block(pairs.where(n > 0), F.concat(F.lit("5."), text(n), F.lit("."), text(m), F.lit(".0/23")), asn=n * 10 + F.expr("m div 2"), as_org=F.lit("o")))
+    cities = block(nations.where(n % 2 == 1), wide, postal_code=F.lit("1"), city=F.concat(F.lit("c"), text(n)), country_code=F.lit("T"), country_name=F.lit("Town"))
+    found = joins.geolocated(rows, "ip", countries, systems, cities)
+    return found.select("k", F.col("country_name").alias("country"), "country_code", "asn", "city", "has_data")
+
+
+@query("jn15_netbios_wack", "select page_id as txid, 2 as packets_waited, 7000 as latency_us from pages where page_id is not null and page_id < 65536 and page_id % 3 < 2")
+def jn15_wack(spark: SparkSession, d: str) -> DataFrame:
+    """A name query, a WACK after 3 ms, and for two thirds of the pages the answer after 7 ms."""
+    n = F.col("page_id")
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(us).alias("after"), F.lit(flags).alias("flags")) for k, us, flags in ((0, 0, "0110"), (1, 3000, "BC00"), (2, 7000, "8500"))))
+    rows = table(spark, d, "pages").where("page_id is not null and page_id < 65536").select("page_id", F.explode(steps).alias("s")).where((F.col("s.k") < 2) | (n % 3 < 2))
+    name = F.lit("20" + "4845" * 16 + "00" + "00200001")
+    sent = rows.select("page_id", F.lit("UDP").alias("protocol"), F.lit("10.0.0.1").alias("local_ip"), F.lit(137).alias("local_port"), F.lit("10.0.0.255").alias("remote_ip"), F.lit(137).alias("remote_port"), (F.col("s.k") == 0).alias("is_outgoing"), (n * 10_000 + F.col("s.after")).alias("us"), (n * 4 + F.col("s.k")).alias("frame_no"), F.unhex(F.concat(_hex(n, 2), F.col("s.flags"), F.lit("0001000000000000"), name)).alias("payload"))
+    dissected = dpi.dissect(sent).withColumn("txid", F.col("dpi.txid").cast("long"))
+    found = latency.netbios(dissected, ["local_ip", "txid"])
+    waited = dissected.where("not is_outgoing").groupBy("txid").agg(F.count(F.lit(1)).cast("int").alias("packets_waited"))
+    return found.join(waited, "txid").select("txid", "packets_waited", F.col("latency_us").cast("int"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions.net import ip4_number, mac_prefix
+from netquarry.functions.net import ip4_number, ip6_hex, mac_prefix
 
 SECOND = 1_000_000
 
@@ -89,6 +89,62 @@ def by_range(rows: DataFrame, ip: str, ranges: DataFrame, values: list[str]) ->
     return rows.join(best, rows[ip] == best["__ip"], "left").drop("__ip")
 
 
+def _masked(digits: Column, prefix: Column) -> Column:
+    """The first `prefix` bits of an address in hex digits, the last digit with its unused bits cleared."""
+    whole, rest = F.floor(prefix / 4).cast("int"), prefix % 4
+    last = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    keep = F.when(rest == 1, 8).when(rest == 2, 12).otherwise(14)
+    return F.concat(F.substring(digits, F.lit(1), whole), F.when(rest == 0, "").otherwise(F.hex(last.bitwiseAND(keep))))
+
+
+def address_digits(ip: Column) -> Column:
+    """An address as hex digits: 8 for IPv4, 32 for IPv6; NULL if it is none."""
+    return F.when(ip.contains(":"), F.upper(ip6_hex(ip))).otherwise(F.lpad(F.hex(ip4_number(ip)), 8, "0"))
+
+
+def by_prefix(rows: DataFrame, ip: str, blocks: DataFrame, cidr: str, values: list[str]) -> DataFrame:
+    """Values of the longest block (a.b.c.d/n or x::y/n) that holds an address, IPv4 or IPv6; of equal blocks the greatest values.
+
+    An address asks once for each prefix length that the table has (161 at most), by an equi-join on
+    family, length and the masked bits; addresses are asked for once each, however often they occur.
+    """
+    length = F.split_part(cidr, F.lit("/"), F.lit(2)).cast("int")
+    held = blocks.select(*values, address_digits(F.split_part(cidr, F.lit("/"), F.lit(1))).alias("__d"), length.alias("__p")).where("__d is not null and __p is not null")
+    held = held.select(*values, "__p", F.length("__d").alias("__f"), _masked(F.col("__d"), F.col("__p")).alias("__m"))
+    lengths = held.groupBy("__f").agg(F.collect_set("__p").alias("__all"))
+    asked = rows.select(F.col(ip).alias("__ip")).distinct().withColumn("__d", address_digits(F.col("__ip"))).withColumn("__f", F.length("__d"))
+    asked = asked.join(F.broadcast(lengths), "__f").select("__ip", "__d", "__f", F.explode("__all").alias("__p"))
+    hit = asked.withColumn("__m", _masked(F.col("__d"), F.col("__p"))).join(held, ["__f", "__p", "__m"])
+    best = hit.groupBy("__ip").agg(F.max_by(F.struct(*values), F.struct("__p", *values)).alias("v")).select("__ip", "v.*")
+    return rows.join(best, rows[ip] == best["__ip"], "left").drop("__ip")
+
+
+def geolocated(rows: DataFrame, ip: str, countries: DataFrame, systems: DataFrame, cities: DataFrame) -> DataFrame:
+    """Country, autonomous system and city of public addresses; a city's country stands in where the country table has none.
+
+    countries (cidr, country_code, country_name), systems (cidr, asn, as_org), cities (cidr, postal_code, city, country_code,
+    country_name). Private, local, documentation and shared addresses are not looked up; has_data says whether anything was found.
+    """
+    asked = rows.select(F.col(ip).alias("__a")).distinct().where(~unrouted(F.col("__a")))
+    renamed = cities.withColumnsRenamed({"country_code": "__city_code", "country_name": "__city_name"})
+    found = by_prefix(by_prefix(by_prefix(asked, "__a", countries, "cidr", ["country_code", "country_name"]), "__a", systems, "cidr", ["asn", "as_org"]), "__a", renamed, "cidr", ["postal_code", "city", "__city_code", "__city_name"])
+    own = F.col("country_code").isNotNull()
+    told = found.withColumns({"country_name": F.when(own, F.col("country_name")).otherwise(F.col("__city_name")), "country_code": F.coalesce("country_code", "__city_code")}).drop("__city_code", "__city_name")
+    values = ["country_code", "country_name", "asn", "as_org", "postal_code", "city"]
+    return rows.join(told, rows[ip] == told["__a"], "left").drop("__a").withColumn("has_data", F.coalesce(*(F.col(v).cast("string") for v in values)).isNotNull())
+
+
+# Private, loopback, link-local, broadcast, documentation, unspecified and shared IPv4 blocks; loopback, unspecified, link-local and unique local IPv6, in hex digits.
+UNROUTED_4 = "^(?:0A|7F|C0A8|A9FE|FFFFFFFF|C00002|C63364|CB0071|00000000|AC1|64[4-7])"
+UNROUTED_6 = "^(?:0{31}[01]|FE[89AB]|F[CD])"
+
+
+def unrouted(ip: Column) -> Column:
+    """Addresses that no location is looked up for; also what is no address."""
+    digits = address_digits(ip)
+    return F.when(ip.contains(":"), digits.rlike(UNROUTED_6)).otherwise(F.coalesce(digits.rlike(UNROUTED_4), F.lit(True)))
+
+
 def flagged(rows: DataFrame, column: str, members: DataFrame, member: str, name: str) -> DataFrame:
     """A flag for membership in a list of addresses."""
     marks = members.select(F.col(member).alias("__m")).distinct().withColumn("__hit", F.lit(True))

@@ -45,6 +45,12 @@ def transactions(packets: DataFrame, where: Column, kind: str, keys: list[str])
     return summary(matched(packets.where(where), keys, F.col("is_outgoing"), ~F.col("is_outgoing"), kind), keys)
 
 
+def netbios(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Name queries out and answers in, of dissected packets; a WACK asks to go on waiting, so the query stays pending over it."""
+    said, asks = F.col("dpi"), ~F.col("dpi.is_response") & (F.col("dpi.command") != "WACK")
+    return summary(matched(packets.where(said["app"] == "NetBIOS"), keys, F.col("is_outgoing") & asks, ~F.col("is_outgoing") & said["is_response"], "netbios"), keys)
+
+
 def stamped_both(packets: DataFrame, where: Column, kind: str, keys: list[str]) -> DataFrame:
     """Latencies that stamp the responding flow and the asking one, each named once."""
     found = matched(packets.where(where), keys, F.col("is_outgoing"), ~F.col("is_outgoing"), kind)
