@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, hot_values, join_hot
 
 
+#: Links that one task takes as they are; more are contracted first.
+FEW = 1 << 18
+
+
+def _finished(links: DataFrame) -> DataFrame:
+    """(v, root) of the vertices of at most FEW links (x, y), root the smallest reached, by one forest in one task."""
+    kind = links.schema["x"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for batch in batches:
+            x += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        if x:
+            every = sorted({*x, *y})
+            place = {v: k for k, v in enumerate(every)}
+            root = forest(len(every), np.array([place[v] for v in x]), np.array([place[v] for v in y]))
+            yield pa.RecordBatch.from_pydict({"v": every, "root": [every[k] for k in root]})
+
+    return links.repartition(1).mapInArrow(run, f"v {kind}, root {kind}")
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(vertex, component) of every vertex that has a link; component is the smallest vertex reachable.
 
@@ -17,16 +42,18 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     whatever the ids; labels are followed once more (pointer jumping) and links are
     rewritten between the new labels, links within a label go. Rounds grow with the
     logarithm of the number of vertices. At the end each label is named by its
-    smallest vertex. Labels that hold a large share of the links or vertices are joined by
+    smallest vertex. Once FEW links are left, one task finishes them. Labels that hold a large share of the links or vertices are joined by
     broadcast, so that no task gets all of a big component. Rows with a null end and
     links of a vertex to itself are left out; repeated and reversed links are one.
     """
     pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     live = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    labels = cut(live.select(F.explode(F.array("x", "y")).alias("vertex")).distinct().withColumn("component", F.col("vertex")))
     n, turn = live.count(), 0
-    vertices = labels.count() if n else 0
-    while n:
+    if n <= FEW:
+        return cut(_finished(live)).select(F.col("v").alias("vertex"), F.col("root").alias("component"))
+    labels = cut(live.select(F.explode(F.array("x", "y")).alias("vertex")).distinct().withColumn("component", F.col("vertex")))
+    vertices = labels.count()
+    while n > FEW:
         order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("draw"), c.alias("p"))  # noqa: B023, E731
         ends = live.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.col("y").alias("u")), F.struct(F.col("y").alias("v"), F.col("x").alias("u")))).alias("e")).select("e.v", "e.u")
         hot = hot_values(ends.select("v"), 2 * n)
@@ -38,6 +65,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         two = join_hot(one, hooks.select(F.col("v").alias("y"), F.col("p").alias("q")), "y", hot).select("x", F.col("q").alias("y")).where("x <> y")
         live = cut(two.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         n, turn = live.count(), turn + 1
+    if n:
+        left = cut(_finished(live)).select(F.col("v").alias("component"), "root")
+        labels = cut(join_hot(labels, left, "component", hot_values(labels.select("component"), vertices), "left").select("vertex", F.coalesce("root", "component").alias("component")))
     names = labels.groupBy("component").agg(F.min("vertex").alias("name"))
     return join_hot(labels, names, "component", hot_values(labels.select("component"), vertices)).select("vertex", F.col("name").alias("component"))
 

@@ -69,16 +69,17 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, label: str, thres
     part: Column = usable(F.col("x")) & F.coalesce(some, F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull()
     kind = rows.schema["label"].dataType.simpleString()
     copies = rows.where(part).groupBy("label", "x").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    distinct = cut(copies.withColumn("dim", F.size("x")))
+    # an id can stand at several vectors, so vectors have numbers of their own; ids are the vertices of components
+    distinct = cut(copies.withColumns({"dim": F.size("x"), "number": F.monotonically_increasing_id()}))
     sizes = distinct.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     narrow = rows.schema["x"].dataType.elementType.simpleString() == "float"
 
     def gather(table: pa.Table) -> pa.Table:
         dim = table["dim"][0].as_py()
-        block = pickle.dumps((np.asarray(table["rep"]), np.asarray(table["copies"]), matrix(table["x"], dim, "f4" if narrow else "f8")))
+        block = pickle.dumps((np.asarray(table["number"]), np.asarray(table["copies"]), matrix(table["x"], dim, "f4" if narrow else "f8")))
         return pa.table([table["label"].slice(0, 1), table["dim"].slice(0, 1), table["block"].slice(0, 1), table["blocks"].slice(0, 1), pa.array([block], pa.binary())], ["label", "dim", "block", "blocks", "data"])
 
-    dealt = distinct.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select("label", "dim", "block", "blocks", "rep", "copies", "x")
+    dealt = distinct.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("number"), "blocks").cast("int")).select("label", "dim", "block", "blocks", "number", "copies", "x")
     blocks = dealt.groupBy("label", "dim", "block").applyInArrow(gather, f"label {kind}, dim int, block int, blocks int, data binary")
     meets = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("label", "dim", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "data")
@@ -87,7 +88,7 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, label: str, thres
         parts = [pickle.loads(table["data"][k].as_py()) for k in np.argsort(np.asarray(table["block"]))]
         same = table["lo"][0].as_py() == table["hi"][0].as_py()
         if len(parts) < 2 and not same:  # a block of the other number can be empty
-            return pa.table([pa.array([], pa.int64())] * 3, ["rep", "links", "root"])
+            return pa.table([pa.array([], pa.int64())] * 3, ["number", "links", "root"])
         (ids, n, x), (more, m, y) = parts[0], parts[-1]
         i, j = tile_links(x.astype("f8"), y.astype("f8"), threshold, same)
         every, weight = (ids, n) if same else (np.concatenate([ids, more]), np.concatenate([n, m]))
@@ -95,12 +96,14 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, label: str, thres
         links = np.bincount(i, weight[j], len(every)) + np.bincount(j, weight[i], len(every))
         root = every[forest(len(every), i, j)]
         hit = links > 0
-        return pa.table([pa.array(every[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], ["rep", "links", "root"])
-
-    found = cut(meets.groupBy("label", "dim", "lo", "hi").applyInArrow(compare, "rep long, links long, root long"))
-    components = connected_components(found, "rep", "root").withColumnRenamed("vertex", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    marked = distinct.join(links, "rep", "left").join(components, "rep", "left").select("label", "x", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        return pa.table([pa.array(every[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], ["number", "links", "root"])
+
+    found = cut(meets.groupBy("label", "dim", "lo", "hi").applyInArrow(compare, "number long, links long, root long"))
+    links = found.groupBy("number").agg(F.sum("links").alias("links"))
+    ids = distinct.select("number", "rep")
+    ends = found.select("number", "root").distinct().join(ids, "number").join(ids.select(F.col("number").alias("root"), F.col("rep").alias("other")), "root")
+    components = connected_components(ends, "rep", "other").withColumnRenamed("vertex", "rep")
+    marked = distinct.join(links, "number", "left").join(components, "rep", "left").select("label", "x", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     marked = cut(marked)
     # vectors with a large share of all rows, HOT at most, are joined by broadcast, so that their copies need not meet in one task
     n = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]

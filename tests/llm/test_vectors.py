@@ -67,3 +67,24 @@ def test_quantisation_bounds_hold():
     q, s, length, lost = quantise(u)
     error = np.abs(u @ u.T - (q @ q.T) * s[:, None] * s[None, :])
     assert (error <= length[:, None] * lost[None, :] + lost[:, None] * (length + lost)[None, :] + 1e-12).all()
+
+
+def test_one_id_at_two_vectors_counts_each_by_itself(spark):
+    data = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.01], 1), (9, [1.0, -0.01], 1), (8, [1.0, 0.01], 1), (None, [1.0, 0.0], 1)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in neardup.near_duplicates(frame, "vec_id", "embedding", "label").collect()), key=repr)
+    assert got == sorted([(7, 3, 7), (7, 0, 7), (8, 3, 7), (8, 3, 7), (9, 3, 7), (None, 0, None)], key=repr)
+    assert neardup.near_duplicates(frame.limit(0), "vec_id", "embedding", "label").collect() == []
+
+
+def test_components_are_the_same_however_many_links_one_task_takes(spark, monkeypatch):
+    from netquarry.llm import components
+
+    rng = np.random.default_rng(6)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (160, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, None), (3, 3)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    want = plain_components({v for p in links if None not in p and p[0] != p[1] for v in p}, [p for p in links if None not in p])
+    for few in (0, 20, 1 << 18):
+        monkeypatch.setattr(components, "FEW", few)
+        assert {r["vertex"]: r["component"] for r in components.connected_components(frame, "a", "b").collect()} == want
+    assert components.connected_components(frame.limit(0), "a", "b").collect() == []
