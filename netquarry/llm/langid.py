@@ -148,20 +148,20 @@ def train(samples: list[tuple[str, bytes]], hidden: int = 8, steps: int = 500, b
     return net
 
 
-def sample_windows(texts: DataFrame, lang: str, text: str, per_lang: int, windows: int, seed: int = 7, most: int = 25_000) -> list[tuple[str, bytes]]:
+def sample_windows(texts: DataFrame, lang: str, text: str, per_lang: int, windows: int, seed: int = 7, most: int = 25_000, most_langs: int = 1000) -> list[tuple[str, bytes]]:
     """At most `windows` windows of bytes, at random places of the whole text, from about per_lang texts of each language.
 
-    Counts by language are over all rows; rows are then drawn by a hash, and of equal
-    texts one is taken. With many languages each gives fewer texts, so that all
-    have about `most` together; no language is left out. `most` x windows bounds
-    what reaches the driver. More than 1,000 labels are an error: such a column holds no
-    languages.
+    Counts by language are over all distinct texts, copies once; texts are then drawn by their
+    hash. With many languages each gives fewer texts, so that all have about `most`
+    together (8 each at least). Of more than `most_langs` labels those with the most texts are
+    learnt, ties by name. `most` x windows and 8 x windows a label bound what reaches the driver.
     """
     rows = texts.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").count()
-    languages = counts.count()
-    if languages > 1000:
-        raise ValueError(f"{languages} labels are too many for languages")
+    counts = rows.select("lang", F.xxhash64("text").alias("draw")).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    languages = len(counts)
+    if not counts:
+        return []
+    counts = texts.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in counts], f"lang {rows.schema['lang'].dataType.simpleString()}, count long")
     each = max(1, min(per_lang, most // max(1, languages)))
     drawn = (
         rows.join(F.broadcast(counts), "lang")

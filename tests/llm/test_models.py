@@ -96,8 +96,23 @@ def test_long_labelled_texts_leave_no_row_out(spark):
     model = toxicity.train(texts, ys)
     found = {r["key"]: r["predicted"] for r in toxicity.score(docs, model, "doc_id", "text").collect()}
     assert np.mean([found[k] == y for k, _, y in rows]) > 0.93
-    with pytest.raises(ValueError, match="class"):
-        toxicity.sample_labelled(docs.where("doc_id % 2 = 1"), labels, "doc_id", "text", "toxic", 100, 100)
+    # of one class only there is nothing to tell apart: no model, score 0, nothing rejected
+    odd = docs.where("doc_id % 2 = 1")
+    texts, ys = toxicity.sample_labelled(odd, labels, "doc_id", "text", "toxic", 100, 100)
+    assert (len(texts), set(ys)) == (30, {1}) and toxicity.train(texts, ys) is None
+    assert {r["score"] for r in toxicity.score(odd, None, "doc_id", "text").collect()} == {0.0}
+    assert toxicity.keep_clean(odd, None, "text").count() == 30
+
+
+def test_copies_of_a_page_and_many_labels_leave_languages_their_texts(spark):
+    rng = np.random.default_rng(3)
+    rows = [("xx", "one page " * 40)] * 5000 + [("xx", prose("en", 40, rng)) for _ in range(60)] + [("yy", prose("de", 40, rng)) for _ in range(300)] + [(f"l{k:04}", f"word{k} here") for k in range(1200)]
+    found = langid.sample_windows(spark.createDataFrame(rows, "lang string, text string"), "lang", "text", per_lang=500, windows=4, most_langs=50)
+    by = {lang: [w for name, w in found if name == lang] for lang, _ in found}
+    assert len(by) == 50 and len(by["xx"]) == 4 * 61 and len(by["yy"]) == 4 * 300
+    assert sorted(set(by) - {"xx", "yy"}) == [f"l{k:04}" for k in range(48)]
+    none = spark.createDataFrame([(None, "a"), ("xx", None), ("yy", "")], "lang string, text string")
+    assert langid.sample_windows(none, "lang", "text", 5, 2) == []
 
 
 def test_quality_keeps_good_and_shrinks_sparse_sites(spark):
