@@ -206,7 +206,7 @@ def values(text: str, s: int, e: int) -> list[tuple[int, int]]:
     value = text[s:e]
     digits = DIGIT.search(value)
     for word in SENSITIVE.finditer(value):
-        if not DIGIT.search(value, 0, word.end()) and (not digits or value[word.end() : word.end() + 1] in tuple("+/_=~-")):
+        if not (digits and digits.start() < word.end()) and (not digits or value[word.end() : word.end() + 1] in tuple("+/_=~-")):
             s = e - len(value) + word.end()
     if digits:
         return [(s, e)] if e - s >= SHORTEST else []

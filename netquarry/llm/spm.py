@@ -54,16 +54,48 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """The table of a model file with byte fallback; control, unknown and byte pieces are no lattice edges."""
+        """The table of a `bpe` or `unigram` model file with byte fallback and without normalisation; control, unknown and byte pieces are no lattice edges. Other files are an error."""
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as file:
+            fields = _fields(file.read())
+        kind = {1: "unigram", 2: "bpe"}.get(_fields(fields.get(2, b"")).get(3, 1))
+        if kind is None or _fields(fields.get(3, b"")).get(2):
+            raise ValueError(f"{path} is no bpe or unigram model, or normalises texts")
+        if model.piece_to_id("<0x00>") == model.unk_id():
+            raise ValueError(f"{path} has no byte pieces")
         n = model.get_piece_size()
-        return cls([model.id_to_piece(k) for k in range(n)], [model.get_score(k) for k in range(n)], model.piece_to_id("<0x00>"), "bpe")
+        return cls([model.id_to_piece(k) for k in range(n)], [model.get_score(k) for k in range(n)], model.piece_to_id("<0x00>"), kind)
 
     def plain(self) -> list[tuple[str, int, float]]:
         special = set(range(self.byte_base, self.byte_base + 256)) | set(range(self.byte_base))
         return [(p, k, s) for k, (p, s) in enumerate(zip(self.pieces, self.scores)) if k not in special]
 
 
+def _fields(data: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a protocol buffer message."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            value, shift, at = value | (data[at] & 127) << shift, shift + 7, at + 1
+            if data[at - 1] < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        size = {1: 8, 5: 4}.get(tag & 7)
+        if tag & 7 == 0:
+            out[tag >> 3] = varint()
+            continue
+        size = varint() if size is None else size
+        out[tag >> 3] = data[at : at + size]
+        at += size
+    return out
+
+
 def _words(text: Column) -> Column:
     return F.split(F.concat(F.lit(BLANK), F.translate(text, " ", BLANK)), f"(?<=[^{BLANK}])(?={BLANK})")
 
@@ -165,7 +197,7 @@ def _long_words(table: dict[str, tuple[int, float]], kind: str, byte_base: int,
 
 
 def encode(texts: DataFrame, keys: list[str], text: str, model: Pieces) -> DataFrame:
-    """The key columns of each row and its ids, array<int>."""
+    """The key columns of each row and its ids, array<int>. Key columns may have any names; one named `ids` comes back as `key_ids`."""
     spark = texts.sparkSession
     plain = model.plain()
     longest = max(len(p) for p, _, _ in plain)
@@ -187,7 +219,8 @@ def encode(texts: DataFrame, keys: list[str], text: str, model: Pieces) -> DataF
     words = cut(folded.unionByName(long))
     found = places.join(words, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("w"))
     whole = found.select("row", F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
-    return rows.select("row", "keys").join(whole, "row", "left").select("keys.*", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    named = [F.col("keys")[k].alias(f"key_{k}" if k == "ids" else k) for k in keys]
+    return rows.select("row", "keys").join(whole, "row", "left").select(*named, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(encoded: DataFrame, ids: str, model: Pieces) -> Column:

@@ -99,3 +99,15 @@ def test_context_spans_lines_and_both_sides_and_needs_no_digit(spark):
         "the private validate_token_request_handler calls getUserSessionClientName and authoritatively",
     ]
     assert novel(spark, texts) == [[a], [a, b, c], [d], [f"-Header={e}"], body, [letters], [], [mixed], []]
+
+
+def test_runs_of_sensitive_words_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        text = "auth " + "token" * (n // 5)
+        began = time.perf_counter()
+        secretscan.values(text, 5, len(text))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.005)

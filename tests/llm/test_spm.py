@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from netquarry.llm import spm
@@ -40,3 +41,25 @@ def test_unigram_paths_have_the_best_score(spark):
             totals = [sum(table.get(word[a:b], floor if b - a == 1 else -1e9) for a, b in zip(p, p[1:])) for p in paths]
             assert abs(got - max(totals)) < 1e-9
         assert "".join(chr(k - 1) if 1 <= k < 257 else pieces[k] for k in r["ids"]) == word
+
+
+def test_a_key_named_ids_and_models_of_other_kinds(spark, tmp_path):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = spm.Pieces.load(path)
+    frame = spark.createDataFrame([(1, "one two"), (2, None)], "ids long, text string")
+    found = spm.encode(frame, ["ids"], "text", model)
+    assert found.columns == ["key_ids", "ids"]
+    assert {r["key_ids"]: r["t"] for r in found.select("key_ids", spm.decode(found, "ids", model).alias("t")).collect()} == {1: "one two", 2: ""}
+    with open(path, "rb") as file:
+        raw = file.read()
+    assert model.kind == "bpe"
+    trained = spm._fields(raw)[2]
+    trainer = raw.index(trained) + trained.index(b"\x18\x02")  # the model type, bpe
+    for kind, byte in ((None, b"\x03"), ("unigram", b"\x01")):
+        other = tmp_path / f"{kind}.model"
+        other.write_bytes(raw[: trainer + 1] + byte + raw[trainer + 2 :])
+        if kind:
+            assert spm.Pieces.load(str(other)).kind == kind
+        else:
+            with pytest.raises(ValueError, match="no bpe or unigram"):
+                spm.Pieces.load(str(other))
