@@ -14,6 +14,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import mix
+from .textbytes import mix, slices, utf8
 
 #: Characters of text that are split at a time; a longer text is cut before white space.
 PIECE = 1 << 18
+#: Bytes of texts whose ids are held at a time; a longer text stands alone.
+SLICE = 1 << 22
 #: Pre-tokens up to this length stay known to a worker, this many at a time.
-SHORT, KNOWN = 64, 1 << 17
+SHORT, KNOWN = 64, 1 << 18
 
 _ROOM = 1.5
 
@@ -88,35 +91,43 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}, pattern)
 
 
-def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(token: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ranks of a byte string's parts after merging neighbours of the lowest rank, leftmost first, while any pair has a rank."""
-    n = len(token)
-    after, ahead = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-    rank_of = ranks.get
-    # one number an entry: rank, then place; it is alive while the two parts there still make up that rank
-    shift = max(1, n.bit_length())
-    heap = [(r << shift) | i for i in range(n - 1) if (r := rank_of(token[i : i + 2])) is not None]
+    n, rank_of = len(token), ranks.get
+    row = list if n < 1 << 12 else lambda x: array("q", x)
+    after, ahead = row(range(1, n + 2)), row(range(-1, n))
+    # of each part with the one after it; -1: none, or no part begins here any more
+    pair = row([rank_of(token[i : i + 2], -1) for i in range(n - 1)] + [-1])
+    # one number an entry, rank and then place; it is alive while the pair at the place still has that rank
+    shift = n.bit_length()
+    here = (1 << shift) - 1
+    heap = [r << shift | i for i, r in enumerate(pair) if r >= 0]
     heapq.heapify(heap)
-    gone = bytearray(n + 1)
     while heap:
         entry = heapq.heappop(heap)
-        i, rank = entry & ((1 << shift) - 1), entry >> shift
-        if gone[i] or (j := after[i]) >= n or rank_of(token[i : after[j]]) != rank:
+        i = entry & here
+        if pair[i] != entry >> shift:
             continue
-        end = after[j]
-        gone[j] = 1
-        after[i] = end
+        j = after[i]
+        end = after[i] = after[j]
+        pair[j] = -1
         if end < n:
             ahead[end] = i
-            if (r := rank_of(token[i : after[end]])) is not None:
-                heapq.heappush(heap, (r << shift) | i)
-        if (p := ahead[i]) >= 0 and (r := rank_of(token[p:end])) is not None:
-            heapq.heappush(heap, (r << shift) | p)
+            r = pair[i] = rank_of(token[i : after[end]], -1)
+            if r >= 0:
+                heapq.heappush(heap, r << shift | i)
+        else:
+            pair[i] = -1
+        p = ahead[i]
+        if p >= 0:
+            r = pair[p] = rank_of(token[p:end], -1)
+            if r >= 0:
+                heapq.heappush(heap, r << shift | p)
     out, i = [], 0
     while i < n:
         out.append(ranks[token[i : after[i]]])
         i = after[i]
-    return out
+    return tuple(out)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -134,49 +145,69 @@ def pieces(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """A worker's two tiers over one vocabulary."""
+    """A worker's two tiers over one vocabulary; the pre-tokens met last stay known, at most twice KNOWN of them."""
 
     def __init__(self, vocabulary: Vocabulary, hashed: PerfectHash) -> None:
         self.ranks, self.hashed = vocabulary.ranks, hashed
         self.split = regex.compile(vocabulary.pattern).findall
         keys = list(vocabulary.ranks)
-        self.entries, self.ids = [b""] * len(keys), [0] * len(keys)
+        self.entries, self.ids = [b""] * len(keys), [()] * len(keys)
         for at, key in zip(hashed.find(keys).tolist(), keys):
-            self.entries[at], self.ids[at] = key, vocabulary.ranks[key]
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        out = array("i")
-        for part in pieces(text):
-            tokens = self.split(part)
-            fresh = [t for t in dict.fromkeys(tokens) if t not in self.known]
-            raw = [t.encode() for t in fresh]
-            if len(self.known) + len(fresh) > KNOWN:
-                self.known = {t: self.known[t] for t in set(tokens) if t in self.known}
-            for t, b, at in zip(fresh, raw, self.hashed.find(raw).tolist()):
-                self.known[t] = [self.ids[at]] if at >= 0 and self.entries[at] == b else merge(b, self.ranks)
-            known = self.known
-            for t in tokens:
-                out.extend(known[t])
-            for t in fresh:
-                if len(t) > SHORT:
-                    del known[t]
-        return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
+            self.entries[at], self.ids[at] = key, (vocabulary.ranks[key],)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, tokens: set[str]) -> None:
+        """Resolves pre-tokens, all at once in the first tier."""
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for t in tokens.difference(self.known):
+            if (found := self.older.get(t)) is None:
+                fresh.append(t)
+            else:
+                self.known[t] = found
+        raw = [t.encode() for t in fresh]
+        for t, b, at in zip(fresh, raw, self.hashed.find(raw).tolist()):
+            self.known[t] = self.ids[at] if at >= 0 and self.entries[at] == b else merge(b, self.ranks)
+
+    def encode(self, texts: list[str]) -> list[array]:
+        out = [array("i") for _ in texts]
+        group: list[tuple[array, list[str]]] = []
+        size = 0
+        for ids, text in zip(out, texts):
+            for part in pieces(text):
+                group.append((ids, self.split(part)))
+                size += len(part)
+                if size >= PIECE:
+                    self._written(group)
+                    group, size = [], 0
+        self._written(group)
+        return out
+
+    def _written(self, group: list[tuple[array, list[str]]]) -> None:
+        tokens = set().union(*(t for _, t in group))
+        self._learn(tokens)
+        for ids, part in group:
+            ids.extend(chain.from_iterable([self.known[t] for t in part]))
+        for t in tokens:
+            if len(t) > SHORT:
+                del self.known[t]
 
 
 def _encoding(vocabulary: Vocabulary, hashed: PerfectHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, hashed)
         for batch in batches:
-            begin, held, size = 0, [], 0
-            for i, text in enumerate(batch["text"]):
-                held.append(encoder.encode(text.as_py() or ""))
-                size += len(held[-1])
-                if size >= 1 << 20 or i + 1 == batch.num_rows:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))
-                    yield pa.RecordBatch.from_arrays([*(batch[c].slice(begin, len(held)) for c in batch.schema.names if c != "text"), ids], [*(c for c in batch.schema.names if c != "text"), "ids"])
-                    begin, held, size = i + 1, [], 0
+            texts = batch["text"]
+            if isinstance(texts, pa.ChunkedArray):
+                texts = texts.combine_chunks()
+            _, offsets = utf8(texts)
+            for begin, end in slices(offsets, SLICE):
+                held = encoder.encode([t or "" for t in texts.slice(begin, end - begin).to_pylist()])
+                ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in held])))
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(begin, end - begin), ids], ["key", "ids"])
 
     return run
 
