@@ -317,3 +317,16 @@ def jn15_wack(spark: SparkSession, d: str) -> DataFrame:
     found = latency.netbios(dissected, ["local_ip", "txid"])
     waited = dissected.where("not is_outgoing").groupBy("txid").agg(F.count(F.lit(1)).cast("int").alias("packets_waited"))
     return found.join(waited, "txid").select("txid", "packets_waited", F.col("latency_us").cast("int"))
+
+
+@query("fl10_split_hello", f"select local_ip, host as sni, ['h2'] as alpn, 'HTTPS (' || host || ')' as application from ({_PAGES})")
+def fl10(spark: SparkSession, d: str) -> DataFrame:
+    """A hello in three segments over the wrap of the sequence numbers: the name is cut in the first, the last two come in the wrong order, the second twice."""
+    n = F.col("page_id")
+    hello = _hello(F.concat(_label(n), F.lit(".example.com")))
+    pages = table(spark, d, "pages").where(n.isNotNull()).select("page_id", F.unhex(F.concat(F.lit("160301"), _hex(F.length(hello) / 2, 2), hello)).alias("h"))
+    steps = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b")) for t, a, b in ((0, 0, 65), (1, 75, 400), (2, 65, 10), (3, 65, 10))))
+    sent = pages.select("page_id", "h", F.explode(steps).alias("s"))
+    rows = sent.select("page_id", F.lit("TCP").alias("protocol"), F.concat_ws(".", F.lit("10"), *((F.floor(n / 250**e) % 250).cast("string") for e in (2, 1, 0))).alias("local_ip"), F.lit(40000).alias("local_port"), F.lit("203.0.113.9").alias("remote_ip"), F.lit(443).alias("remote_port"), F.lit(True).alias("is_outgoing"), (n * 10 + F.col("s.t")).alias("us"), (n * 10 + F.col("s.t")).alias("frame_no"), ((F.lit((1 << 32) - 70) + F.col("s.a")) % (1 << 32)).alias("seq"), F.expr("substring(h, s.a + 1, s.b)").alias("payload")).withColumn("packet_len", F.length("payload").cast("long"))
+    found = dpi.with_hellos(dpi.connections(dpi.dissect(rows)), rows)
+    return found.select("local_ip", F.col("dpi.sni").alias("sni"), F.col("dpi.alpn").alias("alpn"), dpi.display(F.col("dpi")).alias("application"))

@@ -184,7 +184,35 @@ def with_quic(flows: DataFrame, packets: DataFrame) -> DataFrame:
     return flows.join(found, FLOW, "left").withColumn("dpi", F.when((dpi["app"] == "QUIC") & F.col("__state").isNotNull(), told).otherwise(dpi)).drop("__state", "__sni", "__alpn", "__version")
 
 
+def hellos(packets: DataFrame) -> DataFrame:
+    """FLOW, sni, alpn and version of TCP flows whose ClientHello came in several segments, put together by sequence number.
+
+    The flow's first outgoing segment that begins a hello sets the start; segments of the same direction within 2^16 bytes of it
+    count, in any order, the first of each place. A name that is still cut off is marked as in tls().
+    """
+    data, order = F.col("payload"), F.struct("us", "frame_no")
+    out = packets.where((F.col("protocol") == "TCP") & F.col("is_outgoing") & (F.length(data) > 0))
+    begins = (F.substring(data, 1, 2) == F.lit(b"\x16\x03")) & (F.substring(data, 6, 1) == F.lit(b"\x01"))
+    starts = out.where(begins).groupBy(*FLOW).agg(F.min_by(F.struct("seq", F.length(data).alias("had"), (decode.number(data, 3, 2) + 5).alias("wanted")), order).alias("s"))
+    cut = starts.where("s.had < s.wanted").select(*FLOW, F.col("s.seq").alias("__base"), F.col("s.wanted").alias("__wanted"))
+    place = F.pmod(F.col("seq") - F.col("__base"), F.lit(1 << 32))
+    pieces = out.join(cut, FLOW).withColumn("offset", place).where(F.col("offset") < F.col("__wanted"))
+    once = pieces.groupBy(*FLOW, "__wanted", "offset").agg(F.min(F.struct("us", "frame_no", F.struct("offset", F.col("payload").alias("data")).alias("c"))).alias("p"))
+    lists = once.groupBy(*FLOW).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["c"]).alias("parts"))
+    whole = quic.step(lists, hello=quic.assembled(F.col("parts"))).withColumn("__tls", decode.tls(F.col("hello")))
+    return whole.select(*FLOW, F.col("__tls.sni").alias("sni"), F.col("__tls.alpn").alias("alpn"), F.col("__tls.version").alias("version"))
+
+
+def with_hellos(flows: DataFrame, packets: DataFrame) -> DataFrame:
+    """flows (FLOW, dpi) whose cut-off or missing server name is replaced by that of the hello put together from its segments."""
+    found = hellos(packets).select(*FLOW, F.col("sni").alias("__sni"), F.col("alpn").alias("__alpn"))
+    dpi = F.col("dpi")
+    better = (dpi["app"] == "HTTPS") & F.col("__sni").isNotNull() & (dpi["sni"].isNull() | dpi["sni"].endswith("[PARTIAL]"))
+    told = dpi.withField("sni", F.col("__sni")).withField("alpn", F.coalesce(F.when(F.size("__alpn") > 0, F.col("__alpn")), dpi["alpn"]))
+    return flows.join(found, FLOW, "left").withColumn("dpi", F.when(better, told).otherwise(dpi)).drop("__sni", "__alpn")
+
+
 def ingest(frames: DataFrame, local: DataFrame) -> DataFrame:
-    """From captured frames to inspected connections: decode, dissect, fold, and put QUIC handshakes together."""
+    """From captured frames to inspected connections: decode, dissect, fold, and put hellos over several packets together."""
     packets = decode.packets(frames, local)
-    return with_quic(connections(dissect(packets)), packets)
+    return with_hellos(with_quic(connections(dissect(packets)), packets), packets)

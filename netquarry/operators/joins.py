@@ -151,17 +151,20 @@ def flagged(rows: DataFrame, column: str, members: DataFrame, member: str, name:
     return rows.join(marks, rows[column] == marks["__m"], "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__m", "__hit")
 
 
-def interval_match(packets: DataFrame, spans: DataFrame, keys: list[str], slack_us: int, bucket_us: int = 4 * SECOND) -> DataFrame:
+def interval_match(packets: DataFrame, spans: DataFrame, keys: list[str], slack_us: int) -> DataFrame:
     """For each packet the span (first_us, last_us, line) of its key that holds its time within slack; nearest first, ties by line.
 
-    Spans are exploded to the time buckets they touch, so that long-lived keys do
-    not meet all their packets.
+    A span stands in buckets as wide as the power of two above its length, so in two at
+    most however long it is, and a packet asks once for each width that occurs (64 at most).
     """
-    lo, hi = F.expr(f"(first_us - {slack_us}) div {bucket_us}"), F.expr(f"(last_us + {slack_us}) div {bucket_us}")
-    held = spans.withColumn("__b", F.explode(F.sequence(lo - 1, hi)))
-    asked = packets.withColumn("__b", F.expr(f"us div {bucket_us}"))
+    lo, hi = F.col("first_us") - slack_us, F.col("last_us") + slack_us
+    level = spans.where(hi >= lo).withColumns({"__lo": lo, "__hi": hi, "__l": F.length(F.bin(hi - lo))})
+    bucket = lambda at: F.expr(f"({at} - pmod({at}, shiftleft(1L, __l))) div shiftleft(1L, __l)")
+    held = level.withColumn("__b", F.explode(F.array_distinct(F.array(bucket("__lo"), bucket("__hi"))))).drop("__lo", "__hi")
+    widths = [r[0] for r in level.select("__l").distinct().collect()]
+    asked = packets.withColumn("__l", F.explode(F.array(*map(F.lit, sorted(widths))).cast("array<int>"))).withColumn("__b", bucket("us"))
     outside = F.greatest(F.col("first_us") - F.col("us"), F.col("us") - F.col("last_us"), F.lit(0))
-    near = asked.join(held, [*keys, "__b"]).where(F.col("us").between(F.col("first_us") - slack_us, F.col("last_us") + slack_us))
+    near = asked.join(held, [*keys, "__l", "__b"]).where(F.col("us").between(F.col("first_us") - slack_us, F.col("last_us") + slack_us))
     return near.groupBy("frame_no").agg(F.min_by("line", F.struct(outside, "line")).alias("line"), F.min(outside).alias("distance_us"))
 
 
