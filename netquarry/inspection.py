@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netquarry.catalog import FLOWS_SQL, KEYS, SOCKETS_SQL, P, _frames, _processes, _sockets, flows, query
 from netquarry.functions import net
-from netquarry.operators import aggregates, dpi, filters, joins, latency, quic, sorts
+from netquarry.operators import aggregates, capture, dpi, filters, joins, latency, quic, sorts
 from netquarry.plans.packets import FLOW, packets, table
 
 KINDS = ["HTTP", "HTTPS", "DNS query", "DNS answer", "SSH", "FTP", "NTP", "SSDP", "DHCP", "STUN", "MQTT", "none", "SNMP", "NetBIOS", "DHT", "uTP", "QUIC", "SMTP", "POP3", "mDNS", "MQTT connect"]
@@ -330,3 +330,12 @@ def fl10(spark: SparkSession, d: str) -> DataFrame:
     rows = sent.select("page_id", F.lit("TCP").alias("protocol"), F.concat_ws(".", F.lit("10"), *((F.floor(n / 250**e) % 250).cast("string") for e in (2, 1, 0))).alias("local_ip"), F.lit(40000).alias("local_port"), F.lit("203.0.113.9").alias("remote_ip"), F.lit(443).alias("remote_port"), F.lit(True).alias("is_outgoing"), (n * 10 + F.col("s.t")).alias("us"), (n * 10 + F.col("s.t")).alias("frame_no"), ((F.lit((1 << 32) - 70) + F.col("s.a")) % (1 << 32)).alias("seq"), F.expr("substring(h, s.a + 1, s.b)").alias("payload")).withColumn("packet_len", F.length("payload").cast("long"))
     found = dpi.with_hellos(dpi.connections(dpi.dissect(rows)), rows)
     return found.select("local_ip", F.col("dpi.sni").alias("sni"), F.col("dpi.alpn").alias("alpn"), dpi.display(F.col("dpi")).alias("application"))
+
+
+def _captured(name: str, text: str, sql: str) -> None:
+    query(f"sc4_{name}", P + f" select frame_no from packets where {sql}")(lambda s, d: packets(s, d).where(capture.compiled(text)).select("frame_no"))
+
+
+_captured("ports", "tcp and (dst port 443 or 80)", "protocol = 'TCP' and is_outgoing and remote_port in (443, 80)")
+_captured("nets", "src net 203.0.113.0/28 or (udp and not portrange 53-123)", "(not is_outgoing and cast(split_part(remote_ip, '.', 4) as integer) < 16) or (protocol = 'UDP' and remote_port not between 53 and 123)")
+_captured("hosts", "!host 203.0.113.7 && greater 500 and less 5000", "remote_ip <> '203.0.113.7' and packet_len between 500 and 5000")

@@ -89,7 +89,7 @@ def by_range(rows: DataFrame, ip: str, ranges: DataFrame, values: list[str]) ->
     return rows.join(best, rows[ip] == best["__ip"], "left").drop("__ip")
 
 
-def _masked(digits: Column, prefix: Column) -> Column:
+def block_digits(digits: Column, prefix: Column) -> Column:
     """The first `prefix` bits of an address in hex digits, the last digit with its unused bits cleared."""
     whole, rest = F.floor(prefix / 4).cast("int"), prefix % 4
     last = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
@@ -110,11 +110,11 @@ def by_prefix(rows: DataFrame, ip: str, blocks: DataFrame, cidr: str, values: li
     """
     length = F.split_part(cidr, F.lit("/"), F.lit(2)).cast("int")
     held = blocks.select(*values, address_digits(F.split_part(cidr, F.lit("/"), F.lit(1))).alias("__d"), length.alias("__p")).where("__d is not null and __p is not null")
-    held = held.select(*values, "__p", F.length("__d").alias("__f"), _masked(F.col("__d"), F.col("__p")).alias("__m"))
+    held = held.select(*values, "__p", F.length("__d").alias("__f"), block_digits(F.col("__d"), F.col("__p")).alias("__m"))
     lengths = held.groupBy("__f").agg(F.collect_set("__p").alias("__all"))
     asked = rows.select(F.col(ip).alias("__ip")).distinct().withColumn("__d", address_digits(F.col("__ip"))).withColumn("__f", F.length("__d"))
     asked = asked.join(F.broadcast(lengths), "__f").select("__ip", "__d", "__f", F.explode("__all").alias("__p"))
-    hit = asked.withColumn("__m", _masked(F.col("__d"), F.col("__p"))).join(held, ["__f", "__p", "__m"])
+    hit = asked.withColumn("__m", block_digits(F.col("__d"), F.col("__p"))).join(held, ["__f", "__p", "__m"])
     best = hit.groupBy("__ip").agg(F.max_by(F.struct(*values), F.struct("__p", *values)).alias("v")).select("__ip", "v.*")
     return rows.join(best, rows[ip] == best["__ip"], "left").drop("__ip")
 
