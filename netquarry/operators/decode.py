@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netquarry.functions.net import looked_up, valid_hostname
+from netquarry.functions.net import coded, looked_up, valid_hostname
 from netquarry.operators.frames import packets as packets  # the frame decoder, beside the payload decoders
 
 
@@ -37,8 +37,33 @@ def http(text: Column) -> Column:
     return F.when(text.rlike(request) | text.rlike(status), info)
 
 
-def ssh_banner(text: Column) -> Column:
-    return F.when(text.startswith("SSH-"), F.struct(F.regexp_extract(text, r"^SSH-([\d.]+)-", 1).alias("version"), F.regexp_extract(text, r"^SSH-[\d.]+-([^\r\n]*)", 1).alias("software")))
+# SSH message numbers by what they say of a connection, all that a packet may carry, and algorithms looked for by name.
+SSH_STATES = ["Banner", "KeyExchange", "Authentication", "Established"]
+SSH_SAYS = {20: 1, 21: 1, 50: 2, 51: 2, 52: 3} | dict.fromkeys(range(90, 101), 3)
+SSH_MESSAGES = [*range(1, 5), *sorted(SSH_SAYS), 80]
+SSH_ALGORITHMS = ["diffie-hellman-group14-sha256", "ecdh-sha2-nistp256", "aes128-ctr", "aes256-ctr", "aes128-gcm", "aes256-gcm", "ssh-rsa", "ssh-ed25519", "ecdsa-sha2-nistp256", "hmac-sha2-256", "hmac-sha2-512"]
+
+
+def _ssh_packet(head: Column) -> Column:
+    """Whether six bytes may begin a packet: its length, its padding inside that, a known message."""
+    size, padding = number(head, 0, 4), number(head, 4, 1)
+    return F.coalesce(size.between(8, 35_000) & (padding >= 4) & (padding + 1 < size) & number(head, 5, 1).isin(SSH_MESSAGES), F.lit(False))
+
+
+def ssh(data: Column, text: Column) -> Column:
+    """Banner, state by the first telling message anywhere in the payload, and named algorithms; NULL without a banner or a packet at its start.
+
+    `text` is the payload as ISO-8859-1. Places that may begin a telling message are found by one look-ahead expression,
+    overlapping ones too, and only those are tested as packets.
+    """
+    telling = "".join(rf"\x{n:02x}" for n in sorted(SSH_SAYS))
+    places = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(\x00\x00[\x00-\x88].[\x04-\xff][{telling}]))"), F.lit(1))
+    heads = F.filter(F.transform(places, lambda t: F.encode(t, "iso-8859-1")), _ssh_packet)
+    said = F.when(F.size(heads) > 0, coded(number(F.get(heads, F.lit(0)), 5, 1), SSH_SAYS)).otherwise(0)
+    names = F.filter(F.array(*map(F.lit, SSH_ALGORITHMS)), lambda a: F.contains(text, a))
+    banner = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    info = F.struct(banner(r"(?m)^SSH-([^-\r\n]+)").alias("version"), F.trim(banner(r"(?m)^SSH-[^-\r\n]+-([^\r\n]*)")).alias("software"), F.element_at(F.array(*map(F.lit, SSH_STATES)), said + 1).alias("state"), names.alias("algorithms"))
+    return F.when(text.startswith("SSH-1.") | text.startswith("SSH-2.") | _ssh_packet(data), info)
 
 
 def ftp(text: Column) -> Column:
@@ -67,13 +92,30 @@ def ntp(data: Column) -> Column:
     return F.when((F.length(data) >= 48) & version.between(1, 4), info)
 
 
+def stun_software(data: Column) -> Column:
+    """The SOFTWARE text of a STUN message, 128 bytes at most; NULL if an attribute before it runs over the message's end."""
+    stop = number(data, 2, 2) + 20
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        kind, size = number(data, at, 2), number(data, at + 2, 2)
+        fits = (at + 4 <= stop) & (at + 4 + size <= F.least(stop, F.length(data)))
+        found = F.substring(data, (at + 5).cast("int"), F.least(size, F.lit(128)).cast("int"))
+        text = F.when(fits & (kind == 0x8022), F.when(F.is_valid_utf8(found.cast("string")), F.rtrim(found.cast("string"), F.lit("\0"))))
+        # a place past the end stops the walk: after the text, and after an attribute that does not fit
+        return F.struct(F.when(fits & (kind != 0x8022), at + 4 + F.ceil(size / 4) * 4).otherwise(1 << 20).cast("long").alias("at"), F.coalesce(s["text"], text).alias("text"))
+
+    begin = F.struct(F.lit(20).cast("long").alias("at"), F.lit(None).cast("string").alias("text"))
+    return F.when(stop > 20, F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(stop / 4) - 5, F.lit(1))), begin, step, lambda s: s["text"]))
+
+
 def stun(data: Column) -> Column:
-    """Class, method and transaction id of a STUN message with the magic cookie."""
+    """Class, method, transaction id and software of a STUN message with the magic cookie."""
     kind = number(data, 0, 2)
     low, high = F.shiftright(kind, 4).bitwiseAND(1), F.shiftright(kind, 8).bitwiseAND(1)
     names = F.array(*map(F.lit, ["Request", "Indication", "Success", "Error"]))
     method = kind.bitwiseAND(0xF) + F.shiftright(kind, 5).bitwiseAND(7) * 16 + F.shiftright(kind, 9).bitwiseAND(0x1F) * 128
-    return F.when((F.length(data) >= 20) & (number(data, 4, 4) == 0x2112A442) & (kind < 0x4000), F.struct(F.element_at(names, (high * 2 + low + 1).cast("int")).alias("class"), method.alias("method"), F.lower(F.hex(F.substring(data, 9, 12))).alias("txid")))
+    return F.when((F.length(data) >= 20) & (number(data, 4, 4) == 0x2112A442) & (kind < 0x4000), F.struct(F.element_at(names, (high * 2 + low + 1).cast("int")).alias("class"), method.alias("method"), F.lower(F.hex(F.substring(data, 9, 12))).alias("txid"), stun_software(data).alias("software")))
 
 
 def is_mqtt(data: Column) -> Column:

@@ -8,7 +8,7 @@ fields of all protocols stand in one struct, absent ones NULL, so later steps
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.net import authoritative_hostname, coded
@@ -27,7 +27,7 @@ FTP_ONLY = "ACCT|CWD|CDUP|SMNT|REIN|PORT|PASV|TYPE|STRU|STOR|STOU|APPE|ALLO|REST
 
 #: Every field of the struct; the texts among them are what a general filter searches.
 TEXT_FIELDS = ["host", "path", "method", "user_agent", "sni", "query", "software", "command", "args", "username", "system", "hostname", "target", "client_id", "topic", "client", "community"]
-FIELDS = ["app", *TEXT_FIELDS, "kind", "version", "code", "is_response", "ips", "alpn", "cipher", "txid"]
+FIELDS = ["app", *TEXT_FIELDS, "kind", "version", "code", "is_response", "ips", "alpn", "cipher", "txid", "algorithms", "transmit"]
 
 
 def dissect(packets: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def dissect(packets: DataFrame) -> DataFrame:
         "http": F.when(tcp & some, decode.http(text)),
         "bt": F.when(tcp & some, decode.bittorrent(data)),
         "mqtt": F.when(tcp & some & (port(1883) | decode.is_mqtt(data)), decode.mqtt(data)),
-        "ssh": F.when(tcp & some, decode.ssh_banner(text)),
+        "ssh": F.when(tcp & some, decode.ssh(data, text)),
         "ftp": F.when(tcp & some & (port(21) | text.rlike(rf"(?i)^(?:{FTP_ONLY})(?:[ \r\n]|$)")), decode.ftp(text)),
         "quic": F.when(udp & some & port(443) & quic.is_quic(data), quic.brief(data)),
         "nbns": F.when(udp & some & port(137), decode.netbios_names(data)),
@@ -63,22 +63,22 @@ def dissect(packets: DataFrame) -> DataFrame:
         (tcp & (c("__tls.record").isNotNull() | (some & port(443) & F.substring(data, 1, 2).isin(F.lit(b"\x16\x03"), F.lit(b"\x17\x03")))), "HTTPS", {"sni": c("__tls.sni"), "alpn": c("__tls.alpn"), "cipher": c("__tls.cipher"), "kind": c("__tls.record")}),
         (c("__bt").isNotNull(), "BitTorrent", {"client": c("__bt.client"), "kind": F.lit("Peer"), "txid": c("__bt.info_hash")}),
         (c("__mqtt").isNotNull(), "MQTT", {"kind": c("__mqtt.type"), "client_id": c("__mqtt.client_id"), "topic": c("__mqtt.topic"), "version": c("__mqtt.version").cast("string")}),
-        (c("__ssh").isNotNull(), "SSH", {"software": c("__ssh.software"), "version": c("__ssh.version")}),
+        (c("__ssh").isNotNull(), "SSH", {"software": c("__ssh.software"), "version": c("__ssh.version"), "kind": c("__ssh.state"), "algorithms": c("__ssh.algorithms")}),
         (c("__ftp").isNotNull(), "FTP", {"command": c("__ftp.command"), "args": c("__ftp.args"), "code": c("__ftp.code"), "username": c("__ftp.username"), "software": c("__ftp.software"), "system": c("__ftp.system")}),
         (udp & port(53) & c("__dns.txid").isNotNull(), "DNS", "__dns"),
         (udp & port(443) & quic.is_quic(data), "QUIC", {"kind": c("__quic.kind"), "version": quic.version_name(c("__quic.version")), "txid": F.nullif(F.lower(F.hex(c("__quic.dcid"))), F.lit(""))}),
         (udp & port(5353) & c("__mdns.txid").isNotNull(), "mDNS", "__mdns"),
         (c("__dhcp.message").isNotNull(), "DHCP", {"kind": coded(c("__dhcp.message"), DHCP_MESSAGES), "hostname": c("__dhcp.hostname")}),
-        (c("__ntp").isNotNull(), "NTP", {"version": c("__ntp.version").cast("string"), "kind": coded(c("__ntp.mode"), NTP_MODES), "txid": c("__ntp.origin")}),
+        (c("__ntp").isNotNull(), "NTP", {"version": c("__ntp.version").cast("string"), "kind": coded(c("__ntp.mode"), NTP_MODES), "txid": c("__ntp.origin"), "transmit": c("__ntp.transmit")}),
         (udp & port(5355) & c("__dns.txid").isNotNull(), "LLMNR", "__dns"),
         (c("__ssdp").isNotNull(), "SSDP", {"kind": c("__ssdp.method"), "target": c("__ssdp.target")}),
         *((c(n).isNotNull(), "NetBIOS", {"kind": c(f"{n}.service"), "command": c(f"{n}.opcode"), "hostname": c(f"{n}.name"), "txid": c(f"{n}.txid").cast("string"), "is_response": c(f"{n}.is_response"), "code": c(f"{n}.code")}) for n in ("__nbns", "__nbdgm")),
         (c("__snmp").isNotNull(), "SNMP", {"kind": c("__snmp.pdu"), "version": c("__snmp.version"), "community": c("__snmp.community")}),
-        (c("__stun").isNotNull(), "STUN", {"kind": c("__stun.class"), "code": c("__stun.method"), "txid": c("__stun.txid")}),
+        (c("__stun").isNotNull(), "STUN", {"kind": c("__stun.class"), "code": c("__stun.method"), "txid": c("__stun.txid"), "software": c("__stun.software")}),
         (c("__btudp").isNotNull(), "BitTorrent", {"kind": c("__btudp.kind"), "method": c("__btudp.method")}),
     ]
     dns = lambda n: {"query": c(f"{n}.name"), "is_response": c(f"{n}.is_response"), "ips": c(f"{n}.ips"), "code": c(f"{n}.rcode"), "kind": c(f"{n}.qtype").cast("string"), "txid": c(f"{n}.txid").cast("string")}
-    types = {"code": "int", "is_response": "boolean", "ips": "array<string>", "alpn": "array<string>", "cipher": "int"}
+    types = {"code": "int", "is_response": "boolean", "ips": "array<string>", "alpn": "array<string>", "cipher": "int", "algorithms": "array<string>"}
 
     absent = {n: F.lit(None).cast(types.get(n, "string")).alias(n) for n in FIELDS}
     whole = None
@@ -124,6 +124,11 @@ def hostname(dpi: Column) -> Column:
     return F.when(dpi["app"] == "HTTP", dpi["host"]).when(dpi["app"].isin("HTTPS", "QUIC"), dpi["sni"])
 
 
+def authoritative(dpi: Column) -> Column:
+    """The host that a flow names itself, if it is whole and a name."""
+    return authoritative_hostname(hostname(dpi))
+
+
 def domain(dpi: Column) -> Column:
     """The name for event lines: a DNS query's, else the hostname."""
     return F.when(dpi["app"] == "DNS", dpi["query"]).otherwise(hostname(dpi))
@@ -149,24 +154,64 @@ def state(protocol: Column, tcp_state: Column, dpi: Column, idle_s: Column, icmp
     return F.when(protocol == "TCP", tcp_state).when(protocol == "UDP", udp).when(protocol == "ICMP", icmp).when(protocol == "IGMP", igmp).when(protocol == "ARP", arp)
 
 
-def connections(dissected: DataFrame) -> DataFrame:
-    """Flows with the merged inspection of their packets, in one shuffle with partial aggregates.
+# Applications of which a flow keeps its first packet's fields, and by application what is kept of the last packet that has it.
+UNMERGED = ("NTP", "mDNS", "LLMNR", "DHCP", "SNMP", "SSDP", "STUN")
+LATEST = {"kind": ("HTTPS", "QUIC", "MQTT"), "command": ("NetBIOS", "FTP"), "args": ("FTP",), "code": ("DNS", "NetBIOS", "FTP"), "txid": ("DNS", "NetBIOS")}
+MOST_LISTED = 64
+PARTIAL = "[PARTIAL]"
 
-    The application is the first that was recognised; names (hosts, queries, software,
-    users) keep the first value seen, what changes in the course of a flow (method, path,
-    command, code, kind, topic, addresses, response flag) keeps the last.
-    """
-    order, out = F.struct("us", "frame_no"), F.col("is_outgoing")
-    last = {"path", "method", "command", "args", "code", "kind", "topic", "is_response", "ips", "txid"}
 
-    def merged(name: str) -> Column:
-        value = F.col(f"dpi.{name}")
-        pick = F.max_by if name in last else F.min_by
-        return pick(value, F.when(value.isNotNull(), order)).alias(name)
+def connections(dissected: DataFrame, by: list[str] = FLOW) -> DataFrame:
+    """Flows (or other groups of packets) with the merged inspection of their packets.
 
-    sums = [F.sum(F.when(out, F.col("packet_len")).otherwise(0)).alias("bytes_sent"), F.sum(F.when(out, 0).otherwise(F.col("packet_len"))).alias("bytes_received"), F.count(F.lit(1)).alias("packets"), F.min("us").alias("created_us"), F.max("us").alias("last_us")]
-    found = dissected.groupBy(*FLOW).agg(*sums, *(merged(n) for n in FIELDS))
-    return found.select(*FLOW, "bytes_sent", "bytes_received", "packets", "created_us", "last_us", F.when(F.col("app").isNotNull(), F.struct(*FIELDS)).alias("dpi"))
+    The application is the first that was recognised, and packets of others add nothing to it. Fields keep the first value
+    seen, but for LATEST; of UNMERGED applications the first packet stays. A whole server name replaces a cut-off one; a
+    response marks the flow for good; SSH states only go forward; addresses of DNS answers and SSH algorithms are united
+    in the order seen, MOST_LISTED at most, and what a packet of an established SSH connection names replaces what was
+    named before.
+
+    Each value is aggregated with its time, as least or greatest, so that sums can be summed up again: first by flow,
+    application and listed entry, with partial sums before the shuffle (a flow of many answers is spread over its
+    addresses), then the few rows of an application, then those of a flow.
+    """
+    out, d = F.col("is_outgoing"), F.col("dpi")
+    lists = F.when(d["app"] == "DNS", d["ips"]).when(d["app"] == "SSH", d["algorithms"])
+    packets = dissected.select(*by, F.struct("us", "frame_no").alias("__o"), F.col("packet_len").alias("__len"), out.alias("__out"), d.alias("__d"), F.posexplode_outer(lists).alias("__n", "__value"))
+    o, f = F.col("__o"), lambda n: F.col("__d")[n]
+    once = F.coalesce(F.col("__n") == 0, F.lit(True))  # a packet counts once, however many entries it lists
+    at = lambda n, test=None: F.when(f(n).isNotNull() if test is None else test, F.struct(o.alias("o"), f(n).alias("v")))
+    rank = F.array_position(F.array(*map(F.lit, decode.SSH_STATES)), F.when(f("app") == "SSH", f("kind")))
+    least = {f"__a_{n}": at(n) for n in FIELDS if n not in ("app", "ips", "algorithms", "is_response", "alpn")}
+    least |= {"__open": F.struct(o.alias("o"), F.col("__d").alias("v")), "__whole_sni": at("sni", ~f("sni").endswith(PARTIAL)), "__a_alpn": at("alpn", F.size(f("alpn")) > 0)}
+    most = {f"__z_{n}": at(n) for n in LATEST} | {"__a_is_response": f("is_response"), "__rank": rank, "__last": o}
+    most["__settled"] = F.when((f("app") == "SSH") & (f("kind") == "Established") & (F.size(f("algorithms")) > 0), o)
+    sums = {"bytes_sent": F.when(once & F.col("__out"), F.col("__len")).otherwise(0), "bytes_received": F.when(once & ~F.col("__out"), F.col("__len")).otherwise(0), "packets": once.cast("long")}
+    gathered = lambda value: [*(F.sum(value(n, v)).alias(n) for n, v in sums.items()), *(F.min(value(n, v)).alias(n) for n, v in least.items()), *(F.max(value(n, v)).alias(n) for n, v in most.items())]
+    entries = packets.groupBy(*by, f("app").alias("app"), "__value").agg(*gathered(lambda n, v: v), F.min(F.struct("__o", "__n")).alias("__seen"))
+    place = F.row_number().over(Window.partitionBy(*by, "app").orderBy(F.col("__value").isNull(), "__seen"))
+    entry = F.when(F.col("__value").isNotNull() & (F.col("__p") <= MOST_LISTED), F.struct("__seen", F.col("__last").alias("last"), F.col("__value").alias("value")))
+    held = entries.withColumn("__p", place).groupBy(*by, "app").agg(*gathered(lambda n, v: F.col(n)), F.array_sort(F.collect_list(entry)).alias("__listed"))
+    kept = F.filter("__listed", lambda x: F.col("__settled").isNull() | (x["last"] >= F.col("__settled")))
+    united = F.transform(kept, lambda x: x["value"])
+
+    def told(n: str) -> Column:
+        if n == "app":
+            return F.col(n)
+        first, app = F.col(f"__open.v.{n}"), F.col("app")
+        if n in ("ips", "algorithms"):
+            return F.when(app == ("DNS" if n == "ips" else "SSH"), united).otherwise(first)
+        value = F.col(f"__a_{n}") if n == "is_response" else F.coalesce("__whole_sni.v", "__a_sni.v") if n == "sni" else F.col(f"__a_{n}.v")
+        if n in LATEST:
+            value = F.when(app.isin(*LATEST[n]), F.col(f"__z_{n}.v")).otherwise(value)
+        if n == "kind":
+            value = F.when(app == "SSH", F.element_at(F.array(*map(F.lit, decode.SSH_STATES)), F.col("__rank").cast("int"))).otherwise(value)
+        if n == "version":  # of the first packet, where an application has one in every packet
+            value = F.when(app.isin("HTTP", "QUIC"), first).otherwise(value)
+        return F.when(app.isin(*UNMERGED), first).otherwise(value)
+
+    one = held.select(*by, "app", *sums, F.col("__open.o").alias("__first"), "__last", F.struct(*(told(n).alias(n) for n in FIELDS)).alias("dpi"))
+    found = one.groupBy(*by).agg(*(F.sum(n).alias(n) for n in sums), F.min("__first.us").alias("__c"), F.max("__last.us").alias("last_us"), F.min_by("dpi", F.when(F.col("app").isNotNull(), F.col("__first"))).alias("dpi"))
+    return found.select(*by, *sums, *([] if "created_us" in by else [F.col("__c").alias("created_us")]), "last_us", "dpi")
 
 
 def searchable(rows: DataFrame) -> DataFrame:

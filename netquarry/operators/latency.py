@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netquarry.functions.net import coded
 from netquarry.plans.packets import FLOW
 
 SECOND = 1_000_000
 
 #: Seconds a request waits.
-MAX_AGE = {"handshake": 30} | dict.fromkeys(["quic", "dns", "llmnr", "netbios", "icmp", "stun", "ntp"], 10)
+MAX_AGE = {"handshake": 30, "quic": 30} | dict.fromkeys(["dns", "llmnr", "netbios", "icmp", "stun", "ntp"], 10)
 
 
 def matched(events: DataFrame, keys: list[str], request: Column, response: Column, kind: str) -> DataFrame:
@@ -51,9 +52,45 @@ def netbios(packets: DataFrame, keys: list[str]) -> DataFrame:
     return summary(matched(packets.where(said["app"] == "NetBIOS"), keys, F.col("is_outgoing") & asks, ~F.col("is_outgoing") & said["is_response"], "netbios"), keys)
 
 
-def stamped_both(packets: DataFrame, where: Column, kind: str, keys: list[str]) -> DataFrame:
-    """Latencies that stamp the responding flow and the asking one, each named once."""
-    found = matched(packets.where(where), keys, F.col("is_outgoing"), ~F.col("is_outgoing"), kind)
-    response = found.select(*FLOW, "us", "frame_no", "latency_us")
-    request = found.select(*FLOW, (F.col("us") - F.col("latency_us")).alias("us"), "frame_no", "latency_us")
-    return summary(response.unionByName(request).distinct(), FLOW)
+#: QUIC packets that belong to a handshake.
+QUIC_HANDSHAKE = ("Initial", "Handshake", "Retry", "Version Negotiation")
+
+
+def measured(seen: DataFrame) -> DataFrame:
+    """Every latency that dissected packets show: FLOW, us, frame_no, kind, latency_us; one row for each flow that it stamps.
+
+    Requests and responses of all protocols are paired in one window by kind, local end, remote end and the token that a
+    response gives back: a transaction id, an echo's identifier and number, the time an NTP client sent. LLMNR and NetBIOS
+    answers come from another address than was asked, so the remote end is no part of their key and the asking flow is
+    stamped too. A reply on the loopback address counts as incoming. Packets without dpi give handshakes and echoes only.
+    """
+    said, out = F.col("dpi"), F.col("is_outgoing")
+    app, tcp, icmp = said["app"], F.col("protocol") == "TCP", F.col("protocol") == "ICMP"
+    echo, reply = icmp & F.col("icmp_type").isin(8, 128), icmp & F.col("icmp_type").isin(0, 129)
+    sent = out & ~(reply & (F.col("local_ip") == F.col("remote_ip")))
+    answer, text = said["is_response"], lambda *c: F.concat_ws(" ", *(x.cast("string") for x in c))
+    rules = [
+        ("handshake", tcp & F.col("syn"), ~F.col("ack_flag"), F.col("ack_flag"), F.lit("")),
+        ("icmp", echo | reply, sent & echo, ~sent & reply, text(F.col("icmp_id"), F.col("icmp_seq"))),
+        ("quic", (app == "QUIC") & said["kind"].isin(*QUIC_HANDSHAKE), sent, ~sent, F.lit("")),
+        ("dns", app == "DNS", sent & ~answer, ~sent & answer, said["txid"]),
+        ("llmnr", app == "LLMNR", sent & ~answer, ~sent & answer, said["txid"]),
+        ("netbios", app == "NetBIOS", sent & ~answer & (said["command"] != "WACK"), ~sent & answer, text(said["kind"], said["txid"])),
+        ("stun", app == "STUN", sent & (said["kind"] == "Request"), ~sent & said["kind"].isin("Success", "Error"), said["txid"]),
+        ("ntp", app == "NTP", sent & (said["kind"] == "Client"), ~sent & (said["kind"] == "Server"), F.when(sent, said["transmit"]).otherwise(said["txid"])),
+    ]
+    facts = None
+    for kind, test, asks, answers, token in rules:
+        one = F.struct(F.lit(kind).alias("kind"), F.when(asks, True).when(answers, False).alias("asks"), token.alias("token"))
+        facts = F.when(test, one) if facts is None else facts.when(test, one)
+    end = F.struct("remote_ip", "remote_port")
+    events = seen.select(*FLOW, "us", "frame_no", facts.alias("__e")).where("__e.asks is not null")
+    by = Window.partitionBy("__e.kind", "protocol", "local_ip", "local_port", F.when(~F.col("__e.kind").isin("llmnr", "netbios"), end), "__e.token").orderBy("us", "frame_no")
+    before = events.withColumn("__b", F.lag(F.struct(F.col("__e.asks").alias("asks"), "us", "frame_no", end.alias("end"))).over(by))
+    age = F.col("us") - F.col("__b.us")
+    limit = coded(F.col("__e.kind"), {k: v * SECOND for k, v in MAX_AGE.items()})
+    paired = before.where("not __e.asks and __b.asks").where((age >= 0) & (age < limit))
+    own = F.struct(end.alias("end"), "us", "frame_no")
+    asking = F.struct(F.col("__b.end").alias("end"), F.col("__b.us").alias("us"), F.col("__b.frame_no").alias("frame_no"))
+    stamped = paired.withColumn("__s", F.explode(F.when(F.col("__b.end") == end, F.array(own)).otherwise(F.array(own, asking))))
+    return stamped.select("protocol", "local_ip", "local_port", "__s.end.remote_ip", "__s.end.remote_port", "__s.us", "__s.frame_no", F.col("__e.kind").alias("kind"), age.alias("latency_us"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.net import coded
@@ -41,6 +41,8 @@ TRANSITIONS = [
 TCP_TIMEOUTS = {"ESTABLISHED": 300, "TIME_WAIT": 30, "CLOSING": 30, "CLOSED": 15, "FIN_WAIT1": 60, "FIN_WAIT2": 60, "CLOSE_WAIT": 60, "LAST_ACK": 60, "SYN_SENT": 60, "SYN_RECV": 60, "TCP_UNKNOWN": 120}
 ESTABLISHED_TIMEOUTS = {"SSH": 1800, "HTTP": 600, "HTTPS": 600}
 UDP_TIMEOUTS = {"DNS": 30, "NTP": 30, "MDNS": 30, "LLMNR": 30, "SSDP": 30, "STUN": 30, "DHCP": 60, "SNMP": 60, "NETBIOS": 60, "BITTORRENT": 60, "FTP": 60, "MQTT": 120, "HTTP": 600, "HTTPS": 600, "SSH": 1800}
+QUIC_TIMEOUTS = {"QUIC_INITIAL": 60, "QUIC_HANDSHAKE": 60, "QUIC_CONNECTED": 180, "QUIC_DRAINING": 15, "QUIC_CLOSED": 15}
+QUIC_ORDER = {s: k for k, s in enumerate(QUIC_TIMEOUTS)}
 OTHER_TIMEOUTS = {"ICMP": 10, "IGMP": 10, "ARP": 30}
 TERMINAL = ("TIME_WAIT", "CLOSED")
 CLOSING = (*TERMINAL, "FIN_WAIT1", "FIN_WAIT2", "CLOSE_WAIT", "LAST_ACK", "CLOSING")
@@ -90,6 +92,7 @@ class Generation:
     ack_run: int = 0
     probe_seq: int | None = None
     probe_us: int | None = None
+    application: str | None = None
 
 
 class Flow:
@@ -98,12 +101,12 @@ class Flow:
     def __init__(self, live: Generation | None = None, tombstone_us: int | None = None):
         self.live, self.tombstone_us = live, tombstone_us
 
-    def deadline(self, protocol: str, application: str | None) -> int:
+    def deadline(self, protocol: str) -> int:
         g = self.live
         if protocol == "TCP":
-            limit = ESTABLISHED_TIMEOUTS.get(application, 300) if g.state == "ESTABLISHED" else TCP_TIMEOUTS[g.state]
+            limit = ESTABLISHED_TIMEOUTS.get(g.application, 300) if g.state == "ESTABLISHED" else TCP_TIMEOUTS[g.state]
         else:
-            limit = UDP_TIMEOUTS.get(application, 60) if protocol == "UDP" else OTHER_TIMEOUTS.get(protocol, 60)
+            limit = (UDP_TIMEOUTS | QUIC_TIMEOUTS).get((g.application or "").upper(), 60) if protocol == "UDP" else OTHER_TIMEOUTS.get(protocol, 60)
         return (g.terminal_us if g.terminal_us is not None else g.last_us) + limit * SECOND
 
     def close(self, at: int, reason: str) -> Generation:
@@ -113,10 +116,14 @@ class Flow:
         return done
 
     def packet(self, p: tuple, protocol: str, application: str | None) -> list[Generation]:
-        """Fold in (us, out, len, syn, ack, fin, rst, seq, ackno, payload); the generations that it closed."""
+        """Fold in (us, out, len, syn, ack, fin, rst, seq, ackno, payload); the generations that it closed.
+
+        application is what this packet shows, or None; a generation keeps the first, which sets its timeouts from then on. QUIC
+        is given by its states, which only go forward.
+        """
         us, out, length, syn, ack, fin, rst, seq, ackno, payload = p
         closed: list[Generation] = []
-        if self.live and us > (limit := self.deadline(protocol, application)):
+        if self.live and us > (limit := self.deadline(protocol)):
             closed.append(self.close(limit, "timeout"))
         elif self.live and protocol == "TCP" and syn and self.live.state in CLOSING:
             closed.append(self.close(us, "new_generation"))
@@ -134,6 +141,8 @@ class Flow:
                 g.state = next_state(g.state, syn, ack, fin, rst, out)
                 self._segment(g, us, out, ack, seq, ackno, payload + syn + fin)
         g = self.live
+        if g.application is None or (g.application in QUIC_TIMEOUTS and QUIC_ORDER.get(application, -1) > QUIC_ORDER[g.application]):
+            g.application = application
         g.terminal_us = (us if g.terminal_us is None else g.terminal_us) if g.state in TERMINAL else None
         if out:
             g.bytes_sent, g.packets_sent = g.bytes_sent + length, g.packets_sent + 1
@@ -182,9 +191,10 @@ PACKET = ["us", "is_outgoing", "packet_len", "syn", "ack_flag", "fin", "rst", "s
 def generations(packets: DataFrame, application: Column | None = None) -> DataFrame:
     """One row a generation of a flow, named by its created_us; the one still live at the end has no closed_us.
 
-    Packets of equal time go by frame number. `application` sets the timeouts.
+    Packets of equal time go by frame number. `application` is what a packet shows, or NULL; the first of a generation sets its timeouts.
     """
-    rows = packets.select(*FLOW, F.lit(None).cast("string").alias("application") if application is None else application.alias("application"), "frame_no", *PACKET)
+    whole = [F.coalesce(c, F.lit(0).cast("long")).alias(c) if c in ("seq", "ack", "payload_len") else F.coalesce(c, F.lit(False)).alias(c) if c in ("syn", "ack_flag", "fin", "rst") else F.col(c) for c in PACKET]
+    rows = packets.select(*FLOW, F.lit(None).cast("string").alias("application") if application is None else application.alias("application"), "frame_no", *whole)
     dealt = rows.repartition(*FLOW).sortWithinPartitions(*FLOW, "us", "frame_no")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,6 +227,21 @@ def generations(packets: DataFrame, application: Column | None = None) -> DataFr
     return dealt.mapInPandas(fold, DDL)
 
 
+def assigned(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (FLOW, us, frame_no, ...) with the created_us of the generation that they fall into; those of none are left out.
+
+    One window by flow, in order of time: a generation begins before the packets of its time, and each row takes the
+    last one begun, if the row is not after its last packet. So the work grows with the rows, not with rows x generations.
+    """
+    given = [c for c in rows.columns if c not in FLOW]
+    begins = found.select(*FLOW, F.col("created_us").alias("__at"), F.struct("created_us", "last_us").alias("__g"))
+    asked = rows.select(*FLOW, F.col("us").alias("__at"), F.struct(*given).alias("__row"))
+    both = asked.unionByName(begins, allowMissingColumns=True)
+    passed = Window.partitionBy(*FLOW).orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("__g", F.last("__g", ignorenulls=True).over(passed)).where("__row is not null and __at <= __g.last_us")
+    return held.select(*FLOW, F.col("__g.created_us").alias("created_us"), "__row.*")
+
+
 def retained(closed: DataFrame, live: DataFrame, most: int = 5000) -> DataFrame:
     """Live rows and the newest `most` closed ones."""
     kept = closed.orderBy(F.desc("closed_us"), *FLOW, "created_us").limit(most)

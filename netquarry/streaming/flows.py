@@ -33,7 +33,7 @@ def closed_generations(packets: DataFrame, delay: str = "10 seconds", applicatio
         made: list[Generation] = []
         if state.hasTimedOut:
             if flow.live:
-                made.append(flow.close(flow.deadline(key[0], app), "timeout"))
+                made.append(flow.close(flow.deadline(key[0]), "timeout"))
             else:
                 flow.tombstone_us = None
         else:
@@ -41,7 +41,7 @@ def closed_generations(packets: DataFrame, delay: str = "10 seconds", applicatio
             offset = int(rows["offset"].iloc[0])  # `us` may count from any epoch, timers count from 1970
             for app, *packet in zip(rows["application"].tolist(), *(rows[c].tolist() for c in PACKET)):
                 made += flow.packet(tuple(packet), key[0], app)
-        due = flow.deadline(key[0], app) if flow.live else flow.tombstone_us + TOMBSTONE_S * SECOND if flow.tombstone_us is not None else None
+        due = flow.deadline(key[0]) if flow.live else flow.tombstone_us + TOMBSTONE_S * SECOND if flow.tombstone_us is not None else None
         if due is None:
             state.remove()
         else:

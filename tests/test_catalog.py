@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from netquarry import catalog, inspection  # noqa: F401  (inspection adds its queries to the catalog)
+from netquarry import catalog, inspection, sessions  # noqa: F401  (the last two add their queries to the catalog)
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
