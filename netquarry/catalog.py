@@ -290,7 +290,7 @@ for _n, _name, _where, _kind, _extra in (
     (18, "ntp_rtt", "protocol = 'UDP' and remote_port = 123", "ntp", ["txid"]),
 ):
     _keys = [*FLOW, *_extra]
-    query(f"jn{_n}_{_name}", _pair_sql(_where, ", ".join(_keys), "is_outgoing", "not is_outgoing", 10))(lambda s, d, w=_where, k=_kind, keys=_keys: latency.transactions(packets(s, d), F.expr(w), k, keys))
+    query(f"jn{_n}_{_name}", _pair_sql(_where, ", ".join(_keys), "is_outgoing", "not is_outgoing", 30 if _kind == "quic" else 10))(lambda s, d, w=_where, k=_kind, keys=_keys: latency.transactions(packets(s, d), F.expr(w), k, keys))
 
 for _n, _name, _keys in ((14, "llmnr_response", ["local_ip", "local_port", "txid"]), (15, "netbios_response", ["local_ip", "protocol", "txid"])):
     query(f"jn{_n}_{_name}", _pair_sql("protocol = 'UDP'", ", ".join(_keys), "is_outgoing", "not is_outgoing", 10))(lambda s, d, keys=_keys: latency.transactions(packets(s, d), F.expr("protocol = 'UDP'"), "llmnr", keys))
