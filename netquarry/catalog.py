@@ -811,6 +811,67 @@ def sk6(spark: SparkSession, d: str) -> DataFrame:
     return flows(spark, d).select(*FLOW, note.alias("comment")).where("comment is not null")
 
 
+_COMMENT_SQL = f""", told as (select *, last_txid as n from flows),
+notes as (select {KEYS}, concat_ws(' ', 'process=' || process_name, case when n % 2 = 0 then 'pid=' || (n + 100) end, case when n % 4 = 1 then 'uid=' || n % 3 end,
+  case when n % 3 = 0 then 'pod=web_' || n end, case when n % 3 = 0 then 'ns=shop' end, case when n % 3 <> 0 then 'direction=' || case when n % 3 = 1 then 'outgoing' else 'incoming' end end, 'app=' || application,
+  case when n % 5 = 0 and application is not null then 'sni=h' || n || '.example' end, case when n % 7 = 0 then 'country=DE' end, case when n % 7 = 1 then 'asn=' || n end) as told from told)
+select {KEYS}, 'flow ' || told as comment from notes where told <> ''"""
+
+
+@query("sk6_whole_comments", FLOWS_SQL + _COMMENT_SQL)
+def sk6_whole(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("last_txid")
+    pod = F.when(n % 3 == 0, F.struct(F.concat(F.lit(" web\t"), n.cast("string")).alias("pod_name"), F.lit("shop").alias("pod_namespace")))
+    rows = _told(spark, d).withColumns({"process_uid": F.when(n % 4 == 1, n % 3), "kubernetes": pod})
+    return rows.select(*FLOW, sinks.connection_comment(rows).alias("comment")).where("comment is not null")
+
+
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    """Packets with the columns of a report."""
+    n, end = F.col("txid"), lambda s: F.concat_ws(":", f"{s}_ip", F.col(f"{s}_port").cast("string"))
+    city = F.when(n % 3 == 0, F.concat(F.lit("Town on the Hill "), n.cast("string"))).when(n % 3 == 1, "Ulm")
+    return packets(spark, d).select(
+        F.col("frame_no").alias("frame"), (F.col("us") / 1e6).alias("time"), F.col("protocol").alias("proto"), end("local").alias("src"), end("remote").alias("dst"), F.when(n % 2 == 0, "DE").alias("country"), city.alias("city"),
+        F.lit(None).cast("string").alias("postal_code"), (n % 5).alias("asn"), F.when(n % 5 > 0, F.concat(F.lit("Net "), (n % 5).cast("string"))).alias("as_org"), (n % 4).alias("pid"), F.col("process_name").alias("process"),
+    )
+
+
+_REPORTED_SQL = P + """, told as (select frame_no as frame, us / 1e6 as time, protocol as proto, local_ip || ':' || local_port as src, remote_ip || ':' || remote_port as dst, case when txid % 2 = 0 then 'DE' end as country,
+  case txid % 3 when 0 then 'Town on the Hill ' || txid when 1 then 'Ulm' end as city, txid % 5 as asn, txid % 4 as pid, process_name as process from packets)"""
+
+
+@query("sk9_tab_lines", _REPORTED_SQL + r""" select frame, concat_ws(chr(9), frame::varchar, printf('%.6f', time), proto, src, dst, coalesce(country, ''), coalesce(city, ''), '', case when asn > 0 then asn::varchar else '' end, case when asn > 0 then 'Net ' || asn else '' end,
+  case when pid > 0 then pid::varchar else '' end, coalesce(process, '')) as value from told""")
+def sk9_tab(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.tab_lines(_reported(spark, d))
+
+
+@query("sk9_table_lines", _REPORTED_SQL + """ select frame, printf('%6s %-5s %-22s %-22s %-4s %-15s %8s %7s %-15s', frame::varchar, proto, src[1:22], dst[1:22], coalesce(country, '-'), coalesce(case when length(city) > 15 then city[1:12] || '...' else city end, '-'),
+  case when asn > 0 then 'AS' || asn else '-' end, case when pid > 0 then pid::varchar else '-' end, coalesce(process, '-')) as value from told""")
+def sk9_table(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.table_lines(_reported(spark, d))
+
+
+@query("sk10_unique_connections", P + f", turned as (select protocol, least(local_ip || ':' || local_port, remote_ip || ':' || remote_port) as a, greatest(local_ip || ':' || local_port, remote_ip || ':' || remote_port) as b, us // 10000000 as first_us, txid % 2 as pid from packets) select count(*) as connections from (select distinct * from turned)")
+def sk10_unique(spark: SparkSession, d: str) -> DataFrame:
+    ends = [F.concat_ws(":", f"{s}_ip", F.col(f"{s}_port").cast("string")) for s in ("local", "remote")]
+    out = F.col("is_outgoing")
+    lines = packets(spark, d).select(F.when(out, ends[0]).otherwise(ends[1]).alias("src"), F.when(out, ends[1]).otherwise(ends[0]).alias("dst"), "protocol", F.expr("us div 10000000").alias("first_us"), (F.col("txid") % 2).alias("pid"))
+    return sinks.unique_connections(lines, ["src", "dst", "protocol"])
+
+
+_READ = P + """, r as (select user_id % 5 as i, frame_no // 100 as ts_us, cast(sum(packet_len) as bigint) as b, count(*) as n, count_if(rst) as e from packets group by all)"""
+
+
+@query("sc9_counters", _READ + """ select 'eth' || i as interface_name, ts_us, b as rx_bytes, b + 1 as tx_bytes, n as rx_packets, n + 1 as tx_packets, e as rx_errors, e + 1 as tx_errors, 0::bigint as rx_dropped, 1::bigint as tx_dropped, i::bigint as collisions from r where i <> 3 or ts_us % 2 = 0""")
+def sc9(spark: SparkSession, d: str) -> DataFrame:
+    seen = packets(spark, d).groupBy((F.col("user_id") % 5).alias("i"), F.expr("frame_no div 100").alias("ts_us")).agg(F.sum("packet_len").alias("b"), F.count(F.lit(1)).alias("n"), F.count_if("rst").alias("e"))
+    values = [F.col("b"), F.col("b") + 1, F.col("n"), F.col("n") + 1, F.col("e"), F.col("e") + 1, F.lit(0), F.lit(1), F.col("i")]
+    text = [F.when((F.col("i") == 3) & (F.col("ts_us") % 2 == 1), "n/a").otherwise(v.cast("string")) if c == "collisions" else v.cast("string") for c, v in zip(dimensions.COUNTERS, values)]
+    files = F.explode(F.array(*(F.struct(F.concat(F.lit("/sys/class/net/eth"), F.col("i").cast("string"), F.lit(f"/statistics/{c}")).alias("path"), F.concat(t, F.lit("\n")).alias("value")) for c, t in zip(dimensions.COUNTERS, text))))
+    return dimensions.counters(seen.select("ts_us", files.alias("f")).select("ts_us", "f.*"))
+
+
 @query("sk10_report", P + " select coalesce(process_name, '<none>') as process, count(*) as packets, cast(sum(packet_len) as bigint) as bytes from packets group by 1")
 def sk10(spark: SparkSession, d: str) -> DataFrame:
     return sinks.report(packets(spark, d))

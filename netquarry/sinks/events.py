@@ -70,6 +70,62 @@ def comment(tool: str, fields: dict[str, Column]) -> Column:
     return F.when(joined != "", F.concat(F.lit(f"{tool} "), joined))
 
 
+#: Keys of a connection's comment, in order, with the columns that they show.
+COMMENT_KEYS = {"process": "process_name", "pid": "pid", "ppid": "process_ppid", "uid": "process_uid", "attr": "attribution_match"}
+POD_KEYS = {"pod": "pod_name", "ns": "pod_namespace", "pod_uid": "pod_uid", "container": "container_name", "container_id": "container_id"}
+LAST_KEYS = {"app": "application", "sni": "dpi_domain", "country": "geoip_country_code", "asn": "geoip_asn"}
+
+
+def connection_comment(rows: DataFrame, tool: str = "flow") -> Column:
+    """The comment of a connection: its owner, pod, direction, application, name and place, of the columns that rows has; NULL if none has a value.
+
+    `kubernetes` is a struct; fields that it lacks are left out. The name is shown only beside an application.
+    """
+    pod = rows.schema["kubernetes"].dataType.fieldNames() if "kubernetes" in rows.columns else []
+    text = lambda c: F.col(c).cast("string")
+    fields = {k: text(c) for k, c in COMMENT_KEYS.items() if c in rows.columns}
+    fields |= {k: text(f"kubernetes.{c}") for k, c in POD_KEYS.items() if c in pod}
+    if "connection_direction" in rows.columns:
+        fields["direction"] = F.when(F.col("connection_direction"), "outgoing").when(~F.col("connection_direction"), "incoming")
+    fields |= {k: text(c) for k, c in LAST_KEYS.items() if c in rows.columns}
+    if "sni" in fields:
+        fields["sni"] = F.when(F.col("application").isNotNull(), fields["sni"]) if "app" in fields else F.lit(None).cast("string")
+    return comment(tool, fields)
+
+
+#: Columns of the tab-separated report, in order.
+REPORT = ["frame", "time", "proto", "src", "dst", "country", "city", "postal_code", "asn", "as_org", "pid", "process"]
+
+
+def tab_lines(packets: DataFrame) -> DataFrame:
+    """frame and the line of each packet (REPORT's columns, time in seconds) for a tab-separated report: six decimals of time, nothing for an absent value or a pid or asn of 0."""
+    absent = F.lit("")
+    number = lambda c: F.when(F.col(c) != 0, F.col(c).cast("string"))
+    told = {"frame": F.col("frame").cast("string"), "time": F.format_string("%.6f", F.col("time")), "asn": number("asn"), "pid": number("pid")}
+    return packets.select("frame", F.concat_ws("\t", *(F.coalesce(told.get(c, F.col(c)), absent) for c in REPORT)).alias("value"))
+
+
+def table_lines(packets: DataFrame) -> DataFrame:
+    """frame and the line of each packet for a table to read: columns of fixed width, long names cut with ..., - for an absent value."""
+    short = lambda c: F.when(F.length(c) > 15, F.concat(F.substring(c, 1, 12), F.lit("..."))).otherwise(F.when(F.col(c) != "", F.col(c)))
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    nonzero = lambda c: F.when(F.col(c) != 0, F.col(c).cast("string"))
+    left = lambda c, n: F.when(F.length(c) < n, F.rpad(c, n, " ")).otherwise(c)
+    right = lambda c, n: F.when(F.length(c) < n, F.lpad(c, n, " ")).otherwise(c)
+    cells = [
+        right(F.col("frame").cast("string"), 6), left(dash(F.col("proto")), 5), left(dash(F.substring("src", 1, 22)), 22), left(dash(F.substring("dst", 1, 22)), 22), left(dash(F.nullif(F.col("country"), F.lit(""))), 4),
+        left(dash(short("city")), 15), right(dash(F.concat(F.lit("AS"), nonzero("asn"))), 8), right(dash(nonzero("pid")), 7), left(dash(short("process")), 15),
+    ]
+    return packets.select("frame", F.concat_ws(" ", *cells).alias("value"))
+
+
+def unique_connections(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """connections: distinct (keys, first_us, pid) of sidecar lines, whichever end a line names first (keys: the two ends, then the rest)."""
+    a, b, *rest = keys
+    ends = F.array_sort(F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    return lines.select(ends, *rest, "first_us", "pid").distinct().agg(F.count(F.lit(1)).alias("connections"))
+
+
 def report(packets: DataFrame) -> DataFrame:
     """Packets, and how many of them have a process, by process."""
     return packets.groupBy(F.coalesce("process_name", F.lit("<none>")).alias("process")).agg(F.count(F.lit(1)).alias("packets"), F.sum("packet_len").alias("bytes"))

@@ -45,6 +45,25 @@ def sockets(lines: DataFrame, protocol: str) -> DataFrame:
     return rows.select(F.lit(protocol).alias("protocol"), lip.alias("local_ip"), lport.alias("local_port"), rip.alias("remote_ip"), rport.alias("remote_port"), f[9].cast("long").alias("inode"))
 
 
+#: The counters that a system keeps for each interface.
+COUNTERS = ["rx_bytes", "tx_bytes", "rx_packets", "tx_packets", "rx_errors", "tx_errors", "rx_dropped", "tx_dropped", "collisions"]
+
+
+def counters(files: DataFrame) -> DataFrame:
+    """interface_name, ts_us and the nine COUNTERS from files (path, value, ts_us) like .../net/eth0/statistics/rx_bytes, one row a reading of an interface.
+
+    A reading that misses a counter, or has one that is no whole number up to 2**63 - 1, is left out, as are other files;
+    of a file read twice at one time the smaller value stands. Null paths, values and times are left out.
+    """
+    pattern = r"(?:^|/)net/([^/]+)/statistics/([a-z_]+)$"
+    name, counter = (F.regexp_extract("path", pattern, k) for k in (1, 2))
+    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    rows = files.select(name.alias("interface_name"), "ts_us", counter.alias("__counter"), F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("long")).alias("__n"))
+    found = rows.where(F.col("__counter").isin(COUNTERS) & F.col("ts_us").isNotNull()).groupBy("interface_name", "ts_us")
+    wide = found.agg(*(F.min(F.when(F.col("__counter") == c, F.col("__n"))).alias(c) for c in COUNTERS))
+    return wide.dropna(subset=COUNTERS)
+
+
 def local_addresses(addresses: DataFrame) -> DataFrame:
     """Own addresses (ip, prefix) with their subnets' broadcasts, and the loopbacks."""
     own = addresses.select("ip", ip4_text(broadcast_of(F.col("ip"), F.col("prefix"))).alias("broadcast"))
