@@ -22,7 +22,7 @@ FRAMES = "frame_no long, ts_us long, orig_len long, linktype int, data binary"
 
 
 def read_frames(raw: bytes, snaplen: int | None = None) -> Iterator[tuple]:
-    """Frames of one capture file; what follows a cut or broken record is left out."""
+    """Frames of one capture file; what follows a cut or broken record is left out. Simple packets of pcapng have no time: ts_us is null."""
     if raw[:4] == b"\x0a\x0d\x0d\x0a":
         yield from _pcapng(raw, snaplen)
     elif len(raw) >= 24:
@@ -49,7 +49,8 @@ def _pcapng(raw: bytes, snaplen: int | None) -> Iterator[tuple]:
         if size < 12 or at + size > len(raw):
             return
         if kind == 1:
-            per, o = 1_000_000, at + 16
+            per, shift, o = 1_000_000, 0, at + 16
+            kind_of_link, most = struct.unpack_from(order + "HxxI", raw, at + 8)
             while o + 4 <= at + size - 4:
                 code, length = struct.unpack_from(order + "HH", raw, o)
                 if code == 0:
@@ -57,12 +58,19 @@ def _pcapng(raw: bytes, snaplen: int | None) -> Iterator[tuple]:
                 if code == 9:
                     v = raw[o + 4]
                     per = 2 ** (v & 127) if v & 128 else 10**v
+                if code == 14:
+                    shift = struct.unpack_from(order + "q", raw, o + 4)[0]
                 o += 4 + (length + 3) // 4 * 4
-            links.append((struct.unpack_from(order + "H", raw, at + 8)[0], per))
-        elif kind == 6:
-            port, high, low, kept, whole = struct.unpack_from(order + "IIIII", raw, at + 8)
-            link, per = links[port] if port < len(links) else (1, 1_000_000)
-            yield n, (high << 32 | low) * 1_000_000 // per, whole, link, raw[at + 28 : at + 28 + kept][:snaplen]
+            links.append((kind_of_link, per, shift, most))
+        elif kind in (2, 6) and size >= 32:  # packets; in the older form the interface has 16 bits, before a count of drops
+            port, high, low, kept, whole = struct.unpack_from(order + ("HxxIIII" if kind == 2 else "IIIII"), raw, at + 8)
+            link, per, shift, _ = links[port] if port < len(links) else (1, 1_000_000, 0, 0)
+            yield n, (high << 32 | low) * 1_000_000 // per + shift * 1_000_000, whole, link, raw[at + 28 : at + 28 + min(kept, size - 32)][:snaplen]
+            n += 1
+        elif kind == 3 and size >= 16:  # a simple packet: of the first interface, without time
+            whole = struct.unpack_from(order + "I", raw, at + 8)[0]
+            link, _, _, most = links[0] if links else (1, 1_000_000, 0, 0)
+            yield n, None, whole, link, raw[at + 12 : at + 12 + min(whole, most or whole, size - 16)][:snaplen]
             n += 1
         at += size
 
@@ -104,7 +112,7 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for raw in part["content"]:
-                yield pd.DataFrame(list(read_frames(bytes(raw))), columns=["frame_no", "ts_us", "orig_len", "linktype", "data"])
+                yield pd.DataFrame(list(read_frames(bytes(raw))), columns=["frame_no", "ts_us", "orig_len", "linktype", "data"]).astype({"ts_us": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(split, FRAMES)
 
