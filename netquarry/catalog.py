@@ -731,10 +731,28 @@ def sc11(spark: SparkSession, d: str) -> DataFrame:
     return dimensions.local_addresses(rows).where("broadcast is not null").select("broadcast").distinct()
 
 
+def _hosts(rows: DataFrame) -> DataFrame:
+    """Flows whose local port is beyond the 16 bits of a frame's on further local addresses: port p of 10.0.0.x is port p % 65536 of 10.h.l.x, where h and l are the bytes of p div 65536."""
+    more = F.expr("local_port div 65536")
+    address = F.concat_ws(".", F.lit("10"), F.expr("local_port div 16777216").cast("string"), (more % 256).cast("string"), F.split_part("local_ip", F.lit("."), F.lit(4)))
+    return rows.withColumns({"local_ip": address, "local_port": F.col("local_port") % 65536})
+
+
+def _unhosted(rows: DataFrame) -> DataFrame:
+    """The addresses and ports before _hosts."""
+    octet = lambda n: F.split_part("local_ip", F.lit("."), F.lit(n))
+    port = F.col("local_port") + (octet(2).cast("int") * 256 + octet(3).cast("int")) * 65536
+    return rows.withColumns({"local_ip": F.concat(F.lit("10.0.0."), octet(4)), "local_port": port})
+
+
+def _local_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return _hosts(packets(spark, d)).select(F.col("local_ip").alias("ip")).distinct()
+
+
 def _frames(spark: SparkSession, d: str) -> DataFrame:
-    """Ethernet frames of the packet table's TCP and UDP packets."""
+    """Ethernet frames of the packet table's TCP and UDP packets, between _hosts."""
     h = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
-    p = packets(spark, d).where("protocol <> 'ICMP'")
+    p = _hosts(packets(spark, d).where("protocol <> 'ICMP'"))
     out, tcp = F.col("is_outgoing"), F.col("protocol") == "TCP"
     addr = lambda a, b: F.when(out, h(net.ip4_number(F.col(a)), 4)).otherwise(h(net.ip4_number(F.col(b)), 4))
     port = lambda a, b: F.when(out, h(F.col(a), 2)).otherwise(h(F.col(b), 2))
@@ -747,8 +765,7 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pr6_decoded", P + """ select frame_no, protocol, is_outgoing, local_ip, local_port, remote_ip, remote_port, case when protocol = 'TCP' then syn end as syn, case when protocol = 'TCP' then fin end as fin, case when protocol = 'TCP' then seq end as seq from packets where protocol <> 'ICMP'""")
 def pr6(spark: SparkSession, d: str) -> DataFrame:
-    local = packets(spark, d).select(F.col("local_ip").alias("ip")).distinct()
-    return decode.packets(_frames(spark, d), local).select("frame_no", "protocol", "is_outgoing", "local_ip", "local_port", "remote_ip", "remote_port", "syn", "fin", "seq")
+    return _unhosted(decode.packets(_frames(spark, d), _local_hosts(spark, d))).select("frame_no", "protocol", "is_outgoing", "local_ip", "local_port", "remote_ip", "remote_port", "syn", "fin", "seq")
 
 
 @query("dp1_http", "select page_id, 'GET' as method, regexp_extract(url, '^https?://[^/]+(.*)$', 1) as path, regexp_extract(url, '^https?://([^/]+)', 1) as host from pages where url is not null and regexp_extract(url, '^https?://[^/]+(.+)$', 1) <> ''")

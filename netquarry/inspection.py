@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.catalog import FLOWS_SQL, KEYS, SOCKETS_SQL, P, _frames, _processes, _sockets, flows, query
+from netquarry.catalog import FLOWS_SQL, KEYS, SOCKETS_SQL, P, _frames, _local_hosts, _processes, _sockets, _unhosted, flows, query
 from netquarry.functions import net
 from netquarry.operators import aggregates, capture, dpi, filters, joins, latency, quic, sorts
 from netquarry.plans.packets import FLOW, packets, table
@@ -200,8 +200,7 @@ def fl11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fl1_ingest", P + f" select {KEYS}, cast(sum(case when is_outgoing then case when protocol = 'TCP' then 54 else 46 end else 0 end) as bigint) as bytes_sent, cast(sum(case when is_outgoing then 0 when protocol = 'TCP' then 54 else 46 end) as bigint) as bytes_received, count(*) as packets, min(us) as created_us, max(us) as last_us from packets where protocol <> 'ICMP' group by all")
 def fl1_ingest(spark: SparkSession, d: str) -> DataFrame:
-    local = packets(spark, d).select(F.col("local_ip").alias("ip")).distinct()
-    rows = dpi.ingest(_frames(spark, d), local)
+    rows = _unhosted(dpi.ingest(_frames(spark, d), _local_hosts(spark, d)))
     return rows.select(*FLOW, F.col("bytes_sent"), "bytes_received", "packets", "created_us", "last_us")
 
 
