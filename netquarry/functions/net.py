@@ -213,10 +213,24 @@ def smooth(raw: Column, before: Column) -> Column:
     return F.when(s < 1.0, 0.0).otherwise(s)
 
 
-def _scaled(x: Column, steps: list[tuple[float, str]], small: Column) -> Column:
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many digits after the point, 2 at most; of its exact binary value, ties to even. format_string rounds the shortest decimal instead, ties up."""
+    if not digits:
+        return F.rint(x).cast("long").cast("string")
+    unit = 10**digits
+    bits = 63 - unit.bit_length()  # those of the fraction that still fit a long once multiplied; two digits are exact from 1/16 on
+    whole = F.floor(x)
+    part = ((x - whole) * float(1 << bits)).cast("long") * unit
+    below, rest, half = F.shiftright(part, bits), part.bitwiseAND((1 << bits) - 1), 1 << (bits - 1)
+    digits_ = below + F.when((rest > half) | ((rest == half) & (below % 2 == 1)), 1).otherwise(0)  # unit itself is a carry
+    text = F.concat((whole + F.when(digits_ == unit, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((digits_ % unit).cast("string"), digits, "0"))
+    return F.when(x.between(0.0, 2.0**53), text).otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def _scaled(x: Column, steps: list[tuple[float, int, str]], small: Column) -> Column:
     out = None
-    for least, form in steps:
-        text = F.format_string(form, x / least)
+    for least, digits, unit in steps:
+        text = F.concat(fixed(x / least, digits), F.lit(unit))
         out = F.when(x >= least, text) if out is None else out.when(x >= least, text)
     return out.otherwise(small)
 
@@ -226,21 +240,21 @@ _GB, _MB, _KB = 1024.0**3, 1024.0**2, 1024.0
 
 def format_rate(x: Column) -> Column:
     x = x.cast("double")
-    return _scaled(x, [(_GB, "%.2f GB/s"), (_MB, "%.2f MB/s"), (_KB, "%.2f KB/s")], F.when(x > 0, F.format_string("%.0f B/s", x)).otherwise("-"))
+    return _scaled(x, [(_GB, 2, " GB/s"), (_MB, 2, " MB/s"), (_KB, 2, " KB/s")], F.when(x > 0, F.concat(fixed(x, 0), F.lit(" B/s"))).otherwise("-"))
 
 
 def format_rate_compact(x: Column, zero: str = "-") -> Column:
     x = x.cast("double")
-    return _scaled(x, [(_GB, "%.1fG"), (_MB, "%.1fM"), (_KB, "%.0fK")], F.when(x > 0, F.format_string("%.0fB", x)).otherwise(zero))
+    return _scaled(x, [(_GB, 1, "G"), (_MB, 1, "M"), (_KB, 0, "K")], F.when(x > 0, F.concat(fixed(x, 0), F.lit("B"))).otherwise(zero))
 
 
 def format_bytes(x: Column) -> Column:
-    return _scaled(x.cast("double"), [(_GB, "%.2f GB"), (_MB, "%.2f MB"), (_KB, "%.2f KB")], F.concat(x.cast("long").cast("string"), F.lit(" B")))
+    return _scaled(x.cast("double"), [(_GB, 2, " GB"), (_MB, 2, " MB"), (_KB, 2, " KB")], F.concat(x.cast("long").cast("string"), F.lit(" B")))
 
 
 def format_rtt(us: Column) -> Column:
     ms = us / 1000.0
-    return F.when(ms < 10, F.format_string("%.1fms", ms)).when(ms < 1000, F.format_string("%.0fms", ms)).otherwise(F.format_string("%.1fs", ms / 1000))
+    return F.when(ms < 10, F.concat(fixed(ms, 1), F.lit("ms"))).when(ms < 1000, F.concat(fixed(ms, 0), F.lit("ms"))).otherwise(F.concat(fixed(ms / 1000, 1), F.lit("s")))
 
 
 def truncate(s: Column, width: int) -> Column:
