@@ -155,14 +155,19 @@ def interval_match(packets: DataFrame, spans: DataFrame, keys: list[str], slack_
     """For each packet the span (first_us, last_us, line) of its key that holds its time within slack; nearest first, ties by line.
 
     A span stands in buckets as wide as the power of two above its length, so in two at
-    most however long it is, and a packet asks once for each width that occurs (64 at most).
+    most however long it is, and a packet asks once for each width that occurs (64 at most)
+    with a span about its time. Of equal spans of a key only the one with the least line can
+    win, so they are one before they are shuffled.
     """
     lo, hi = F.col("first_us") - slack_us, F.col("last_us") + slack_us
-    level = spans.where(hi >= lo).withColumns({"__lo": lo, "__hi": hi, "__l": F.length(F.bin(hi - lo))})
+    wide = lambda rows: rows.withColumns({"__lo": lo, "__hi": hi, "__l": F.length(F.bin(hi - lo))})
     bucket = lambda at: F.expr(f"({at} - pmod({at}, shiftleft(1L, __l))) div shiftleft(1L, __l)")
-    held = level.withColumn("__b", F.explode(F.array_distinct(F.array(bucket("__lo"), bucket("__hi"))))).drop("__lo", "__hi")
-    widths = [r[0] for r in level.select("__l").distinct().collect()]
-    asked = packets.withColumn("__l", F.explode(F.array(*map(F.lit, sorted(widths))).cast("array<int>"))).withColumn("__b", bucket("us"))
+    some = spans.where(hi >= lo)
+    one = wide(some.groupBy(*keys, "first_us", "last_us").agg(F.min("line").alias("line")))
+    held = one.withColumn("__b", F.explode(F.array_distinct(F.array(bucket("__lo"), bucket("__hi"))))).drop("__lo", "__hi")
+    reach = sorted(tuple(r) for r in wide(some).groupBy("__l").agg(F.min("__lo"), F.max("__hi")).collect())
+    widths = F.array(*(F.when(F.col("us").between(first, last), F.lit(width)) for width, first, last in reach)) if reach else F.array()
+    asked = packets.withColumn("__l", F.explode(F.array_compact(widths.cast("array<int>")))).withColumn("__b", bucket("us"))
     outside = F.greatest(F.col("first_us") - F.col("us"), F.col("us") - F.col("last_us"), F.lit(0))
     near = asked.join(held, [*keys, "__l", "__b"]).where(F.col("us").between(F.col("first_us") - slack_us, F.col("last_us") + slack_us))
     return near.groupBy("frame_no").agg(F.min_by("line", F.struct(outside, "line")).alias("line"), F.min(outside).alias("distance_us"))
