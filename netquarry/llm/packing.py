@@ -29,7 +29,6 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +44,19 @@ OPEN_WINDOWS = 32
 TOP_UP = 16
 MERGE_PARTITIONS = 64
 SLICE_BYTES = 1 << 20
-MEMORY, SHORT = 1 << 19, 64
+MEMORY, SHORT = 1 << 20, 64
 PIECES = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, done boolean"
 _SCHEMA = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("done", pa.bool_())])
 
 
 _CUT = re.compile(r"(?<=\S)(?= )")
+_PLAIN, _BLANKS = re.compile(r" ?[^ ]+"), re.compile(r"\s |\s\Z")
+JOINED = 256
 
 
 def parts(text: str) -> list[str]:
     """text cut wherever a blank follows a character that is not white space: no token reaches over such a place."""
-    return _CUT.split(text)
+    return _CUT.split(text) if not text or _BLANKS.search(text) else _PLAIN.findall(text)  # alike, but several times as fast
 
 
 class Encoder:
@@ -65,18 +66,41 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread, as Spark runs a task a core
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary, added = self.tokenizer.get_vocab(), self.tokenizer.get_added_tokens_decoder()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # of each id: byte-level tokens have a character a byte
+        for token, k in vocabulary.items():
+            self.bytes[k] = len(added[k].content.encode()) if k in added else len(token)
+
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of parts. Parts that begin with a blank and end without are encoded as one text, JOINED at a time, and their ids told apart by the bytes that they stand for."""
+        fit = [p for p in new if p[:1] == " " and not p[-1].isspace()]
+        single = [p for p in new if p[:1] != " " or p[-1].isspace()]
+        groups = [fit[at : at + JOINED] for at in range(0, len(fit), JOINED)]
+        found = {}
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            reached = np.cumsum(self.bytes[ids])
+            ends = np.cumsum([len(p.encode()) for p in group])
+            at = np.minimum(np.searchsorted(reached, ends), max(0, len(ids) - 1))
+            if not len(ids) or reached[-1] != ends[-1] or (reached[at] != ends).any():
+                single += group  # as where a normaliser changes the text
+                continue
+            raw, edges = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+            found.update(zip(group, (raw[lo:hi] for lo, hi in zip(edges, edges[1:]))))
+        found.update(zip(single, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False))))
+        return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [parts(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [np.array(e.ids, "<u4").tobytes() for e in found]
+        new = self._encoded(list(set().union(*cut).difference(self.known)))
         room = max(0, MEMORY - len(self.known))
-        self.known.update(islice(((p, b) for p, b in zip(new, ids) if len(p) <= SHORT), room))
-        here = dict(zip(new, ids))
-        get = lambda p: self.known.get(p) or here.get(p, b"")
-        whole = self.known.__getitem__ if here.keys() <= self.known.keys() else get
-        return [np.frombuffer(b"".join(map(whole, one)), "<u4") for one in cut]
+        short = [p for p in new if len(p) <= SHORT]
+        self.known.update(new)
+        whole = [np.frombuffer(b"".join(map(self.known.__getitem__, one)), "<u4") for one in cut]
+        if room < len(short) or len(short) < len(new):
+            for p in set(new).difference(short[:room]):
+                del self.known[p]
+        return whole
 
 
 @cache

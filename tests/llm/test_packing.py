@@ -67,3 +67,20 @@ def test_a_run_of_blanks_is_encoded(spark):
     for key in (1, 2):
         pieces = [p for p in found if p["key"] == key]
         assert sum(p["length"] for p in pieces) == pieces[0]["doc_tokens"]
+
+
+def test_parts_are_encoded_together():
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library, asked = encode.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encode.tokenizer = Counted()
+    texts = [" ".join(f"w{n * k % 997}é," for n in range(500)) for k in range(1, 5)] + ["", " ", "a  b", " a", "a ", "a\n b\tc", "x\u00a0 y", "<|endoftext|> a<|endoftext|>", "z" * 200 + " " + "z" * 200]
+    assert [packing.parts(t) for t in texts] == [packing._CUT.split(t) for t in texts]
+    assert [list(ids) for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 40 and max(map(len, encode.known)) <= packing.SHORT
+    assert [list(ids) for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
