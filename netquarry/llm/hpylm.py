@@ -275,14 +275,23 @@ class Part:
         word, doc, before = (np.concatenate([f[k] for f in fields]) for k in (2, 3, 4))
         self.contexts, self.lengths = contexts, [len(f[3]) for f in fields]
         del fields
-        # two sorts of single 64-bit keys, which numpy does several times as fast as one of two keys
-        pair = np.repeat(back, run).astype(np.uint64) << np.uint64(32) | word
+        # two sorts of single 64-bit keys, which numpy does several times as fast as one of two keys; in place, as a part's arrays are most of a worker's memory
+        pair = np.repeat(back.astype(np.uint64) << np.uint64(32), run)
+        del back, run
+        pair |= word
+        del word
         order = np.argsort(pair)
         pair = pair[order]
         new_pair = np.concatenate([[True], pair[1:] != pair[:-1]])
-        triple = (np.cumsum(new_pair) - 1).astype(np.uint64) << np.uint64(32) | before[order]
+        triple = np.cumsum(new_pair, dtype=np.uint64)
+        triple -= np.uint64(1)
+        triple <<= np.uint64(32)
+        triple |= before[order]
+        del before
         then = np.argsort(triple)  # moves rows within their pair only
-        order, triple = order[then], triple[then]
+        order = order[then].astype(np.uint32)
+        triple = triple[then]
+        del then
         before = (triple & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         self.order, self.docs = order, doc
         train = (doc[order] >> 15).astype(np.int64)
