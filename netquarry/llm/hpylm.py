@@ -7,7 +7,7 @@ base with a place for every known word and one for all unknown ones. Seatings ar
 sampled by Gibbs: in turn each dish of a restaurant gets a new number of tables from
 its conditional given the other dishes (generalised Stirling numbers, the rising
 concentration and the parent's probability). The last two levels lie in one task and
-are sampled together; the parent is summed up over all tasks after a first seating
+are sampled together, but for frequent context words (below); the parent is summed up over all tasks after a first seating
 and again after a sampled one. Predictive probabilities are averaged over SAMPLES
 seatings. Discounts are estimated from the counts of counts; concentrations are 1.
 
@@ -15,9 +15,14 @@ All triples of all texts are dealt once, by the last context word, into parts of
 PART_TOKENS tokens; a part holds whole restaurants of both levels, and three passes
 (first seating, sampling, scoring) read the same shuffled blocks. Context words with
 HOT or more of all tokens would make a part hot: they are dealt by both context
-words, so each part has a restaurant of its own for such a word, with the customers
-it got, below whole restaurants of word pairs. A token's own count, which the base
-score needs, is its count as a context, so one shuffle serves both scores.
+words, so a part has whole restaurants of word pairs, but the restaurant of such a
+word reaches over all parts. Its dishes are dealt into buckets by (word, dish): after
+a pass each part sends its tables of them, a bucket adds them up and seats them, all
+buckets by the same totals of each such word, and sends every part the seats of the
+dishes it asked for, which stand through its next pass. A text's first word has one
+context only, START: its customers sit in the restaurant of START itself. A token's own
+count, which the base score needs, is its count as a context, so one shuffle serves
+both scores.
 
 The parent serves words with HEAVY or more of all tokens singly and all other known
 words in CLASSES hash classes, equally within a class; its size does not grow with the
@@ -42,6 +47,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -55,7 +61,8 @@ CLASS_BITS = 20
 CLASSES = 1 << CLASS_BITS
 SINGLES = 1 << 18
 TABLE_BITS = CLASS_BITS + 1
-PART_TOKENS = 1 << 21
+TOTAL_BITS = 15
+PART_TOKENS = 3 << 19
 ROW = 128
 BURN_IN, SAMPLES = 2, 3
 THETA = 1.0
@@ -126,6 +133,8 @@ class Parent:
     unknown: float
     discounts: tuple[float, float]
     """of the restaurants of one and of two context words."""
+    totals: np.ndarray
+    """customers of the hot words' restaurants by their places among these, and from the middle on their tables."""
 
 
 def classes(codes: np.ndarray) -> np.ndarray:
@@ -134,7 +143,12 @@ def classes(codes: np.ndarray) -> np.ndarray:
 
 def codes(hashes: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """32-bit names of words: single ones by place, others by hash."""
-    at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
+    # from the first of its leading bits a word's place is a step or two away, which takes less time than a search
+    first = np.searchsorted(heavy, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+    slot = (hashes >> np.uint64(46)).astype(np.int32)
+    at = np.minimum(first[slot], len(heavy) - 1)
+    for _ in range(int(np.diff(np.append(first, len(heavy))).max()) - 1):
+        at += (heavy[at] < hashes) & (at < len(heavy) - 1)
     return np.where(heavy[at] == hashes, at, SINGLES + (hashes >> np.uint64(33))).astype(np.uint32)
 
 
@@ -242,10 +256,13 @@ def deal(rows: DataFrame, heavy: np.ndarray, hot_words: np.ndarray, parts: int)
                 spread = mix(context)
                 spread[hot] = mix(context[hot] * np.uint64(0x9E3779B1) + before[hot])
                 spread[at] = mix(np.arange(lo, hi, dtype=np.uint64) + (np.uint64(row[lo]) << np.uint64(20)))
-                # places ride in the low bits through a plain sort, several times as fast as argsort; contexts alike in the high bits may take turns
+                # by part and then context, so that a part names each context once; places ride in the low bits through
+                # a plain sort, several times as fast as argsort; contexts alike in the high bits may take turns
                 low = np.uint64(max(1, len(spread).bit_length()))
-                order = (np.sort(spread >> low << low | np.arange(len(spread), dtype=np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-                spread, context, word, doc, before = spread[order], context[order], word[order], doc[order], before[order]
+                spread = spread >> bits << bits | context >> (np.uint64(64) - bits)
+                spread = np.sort(spread >> low << low | np.arange(len(spread), dtype=np.uint64))
+                order = (spread & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+                context, word, doc, before = context[order], word[order], doc[order], before[order]
                 edges = np.searchsorted((spread >> bits).astype(np.int64), np.arange(parts + 1))
                 slice_ = int(row[lo])
                 out = [(-1 - slice_ % parts, slice_, _blob(key.slice(lo, hi - lo).to_pylist(), count.astype(np.int32) + 1))]
@@ -305,9 +322,13 @@ class Part:
         first = np.flatnonzero(new_pair)
         self.dish_u = (pair[first] >> np.uint64(32)).astype(np.int64)
         self.w = (pair[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.dish_starts = np.flatnonzero(np.concatenate([[True], self.dish[1:] != self.dish[:-1]]))
+        self.u_starts = np.flatnonzero(np.concatenate([[True], self.dish_u[1:] != self.dish_u[:-1]]))
+        self.u_sizes = np.diff(np.append(self.u_starts, len(self.dish_u)))
         self.customers = np.bincount(u, self.c, len(contexts)).astype(np.int64)
         at = np.minimum(np.searchsorted(heavy, contexts), len(heavy) - 1)
         self.hot = np.where((heavy[at] == contexts) & hot[at], at, -1)
+        self.at_start = self.hot[u] == 0
 
     @cached_property
     def room(self) -> np.ndarray:
@@ -322,74 +343,173 @@ class Part:
 
     def opened(self) -> np.ndarray:
         """Customers of the dishes when every triple has one table."""
-        return np.bincount(self.dish, np.minimum(self.c, 1), len(self.w)).astype(np.int64)
+        return np.bincount(self.dish, np.where(self.at_start, self.c, np.minimum(self.c, 1)), len(self.w)).astype(np.int64)
 
-    def seatings(self, parent: Parent, rounds: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Gibbs rounds over both levels: (tables of each dish, probability of each triple's word)."""
+    @cached_property
+    def shared(self) -> np.ndarray:
+        """Which dishes are of hot words, so of restaurants over all parts."""
+        return self.hot[self.dish_u] >= 0
+
+    def asked(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shared dishes by bucket, their names, and where each bucket begins."""
+        dishes = np.flatnonzero(self.shared)
+        names = self.hot[self.dish_u[dishes]].astype(np.uint64) << np.uint64(32) | self.w[dishes]
+        bucket = (mix(names) >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return dishes[order], names[order], np.searchsorted(bucket[order], np.arange(parts + 1))
+
+    def seated(self, parent: Parent, answers: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shared dishes and their probabilities by the seats that the buckets sent."""
+        dishes, names, edges = self.asked(parts)
+        c, t = np.zeros(len(dishes)), np.zeros(len(dishes))
+        for k in np.flatnonzero(np.diff(edges)):
+            c[edges[k] : edges[k + 1]], t[edges[k] : edges[k + 1]] = _arrays(answers[k])
+        d, of = parent.discounts[0], np.searchsorted(np.flatnonzero(parent.hot), (names >> np.uint64(32)).astype(np.int64))
+        guests, tables = np.split(parent.totals, 2)
+        return dishes, (c - d * t + (THETA + d * tables[of]) * parent.p[classes(self.w[dishes])]) / (THETA + guests[of])
+
+    def seatings(self, parent: Parent, answers: dict[int, bytes], parts: int, rounds: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]]:
+        """Gibbs rounds over both levels: (tables and customers of each dish, probability of each triple's word, found when called). Shared dishes have no tables here."""
         (d2, d3), rng = parent.discounts, np.random.default_rng(seed)
+        shared, p_shared = self.seated(parent, answers, parts)
         s2, s3 = stirling(d2), stirling(d3)
-        p1, n = parent.p[classes(self.w)], len(self.contexts)
+        p1 = parent.p[classes(self.w)]
+        by_u = lambda x: np.repeat(np.add.reduceat(x, self.u_starts), self.u_sizes)
         sums = lambda of, x, k: np.bincount(of, x, k).astype(np.int64)
         rooms = int(self.room.max()) + 1 if len(self.room) else 0
         guests = sums(self.room, self.c, rooms)
-        t3, c2 = np.minimum(self.c, 1), self.opened()
-        t2 = np.minimum(c2, 1)
-        more = np.flatnonzero(self.c > 1)
+        t3, c2 = np.where(self.at_start, self.c, np.minimum(self.c, 1)), self.opened()
+        t2 = np.where(self.shared, 0, np.minimum(c2, 1))
+        more = np.flatnonzero((self.c > 1) & ~self.at_start)
         side = rng.random(len(more)) < 0.5
+
+        def p_dish() -> np.ndarray:
+            p2 = (c2 - d2 * t2 + (THETA + d2 * by_u(t2)) * p1) / (THETA + by_u(c2))
+            p2[shared] = p_shared
+            return p2
+
+        def p_triple() -> np.ndarray:
+            p2 = p_dish()[self.dish]
+            p3 = (self.c - d3 * t3 + (THETA + d3 * sums(self.room, t3, rooms)[self.room]) * p2) / (THETA + guests[self.room])
+            return np.where(self.at_start, p2, p3)
+
+        halves = more[side], more[~side]
         for _ in range(rounds):
-            at2, n2 = sums(self.dish_u, t2, n), sums(self.dish_u, c2, n)
-            p2 = (c2 - d2 * t2 + (THETA + d2 * at2[self.dish_u]) * p1) / (THETA + n2[self.dish_u])
-            for rows in (more[side], more[~side]):
+            p2 = p_dish()
+            for rows in halves:
                 a = THETA + d3 * (sums(self.room, t3, rooms)[self.room[rows]] - t3[rows])
                 t3[rows] = sample_tables(rng, s3, d3, self.c[rows], a, p2[self.dish[rows]])
-            c2 = sums(self.dish, t3, len(self.w))
-            t2 = np.clip(t2, np.minimum(c2, 1), c2)
-            some = np.flatnonzero(c2 > 1)
+            c2 = np.add.reduceat(t3, self.dish_starts)
+            t2 = np.where(self.shared, 0, np.clip(t2, np.minimum(c2, 1), c2))
+            some = np.flatnonzero((c2 > 1) & ~self.shared)
             half = rng.random(len(some)) < 0.5
             for rows in (some[half], some[~half]):
-                a = THETA + d2 * (sums(self.dish_u, t2, n)[self.dish_u[rows]] - t2[rows])
+                a = THETA + d2 * (by_u(t2)[rows] - t2[rows])
                 t2[rows] = sample_tables(rng, s2, d2, c2[rows], a, p1[rows])
-            at2, n2 = sums(self.dish_u, t2, n), sums(self.dish_u, c2, n)
-            p2 = (c2 - d2 * t2 + (THETA + d2 * at2[self.dish_u]) * p1) / (THETA + n2[self.dish_u])
-            p3 = (self.c - d3 * t3 + (THETA + d3 * sums(self.room, t3, rooms)[self.room]) * p2[self.dish]) / (THETA + guests[self.room])
-            yield t2, p3
+            yield t2, c2, p_triple
+
+
+def _paired(rows: RDD, more: RDD | None) -> RDD:
+    """The rows of both in each partition, one pair of lists a partition."""
+    if more is None:
+        return rows.mapPartitions(lambda rows: [([tuple(r) for r in rows], [])])
+    whole = lambda rows: [[tuple(r) for r in rows]]
+    return rows.mapPartitions(whole).zip(more.mapPartitions(whole))
+
+
+def _parts(pairs: Iterator[tuple[list, list]]) -> Iterator[tuple[int, list, dict[int, bytes]]]:
+    """The blocks of a partition by part, in a fixed order, and the answers to it by bucket."""
+    for blocks, answers in pairs:
+        held: dict[int, list] = defaultdict(list)
+        while blocks:
+            part, slice_, data = blocks.pop()
+            held[part].append((slice_, data))
+        told: dict[int, dict[int, bytes]] = defaultdict(dict)
+        while answers:
+            part, bucket, data = answers.pop()
+            told[part][bucket] = data
+        for part in sorted(held):
+            yield part, sorted(held.pop(part)), told.pop(part, {})
 
 
-def _parts(rows: Iterator[Row]) -> Iterator[tuple[int, list]]:
-    """The blocks of a partition by part, in a fixed order."""
-    held: dict[int, list] = defaultdict(list)
-    for r in rows:
-        held[r["part"]].append((r["slice"], r["data"]))
-    for part in sorted(held):
-        yield part, sorted(held.pop(part))
+COUNTS = "kind string, segment int, other int, counts binary"
 
 
-def _totals(heavy: np.ndarray, hot_words: np.ndarray, work: Callable[[int, Part], np.ndarray], first: bool) -> Callable[[Iterator[Row]], Iterator[tuple]]:
-    """Rows (kind, segment, counts) that sum up a pass: tables by class; and of the first pass known words by class, customers of hot contexts, and counts of counts."""
+def _totals(heavy: np.ndarray, hot_words: np.ndarray, parts: int, work: Callable[[int, Part, dict], tuple[np.ndarray, np.ndarray]], first: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Rows (kind, segment, other, counts) that sum up a pass: tables by class; for each bucket the part's customers of shared dishes; and of the first pass the names of these, known words by class, customers of hot contexts, and counts of counts."""
 
-    def read(rows: Iterator[Row]) -> Iterator[tuple]:
+    def read(pairs: Iterator[tuple]) -> Iterator[tuple]:
         tables, known = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int64)
         hot: dict[int, int] = defaultdict(int)
         seen = np.zeros(6, np.int64)
-        for part, blobs in _parts(rows):
+        for part, blobs, answers in _parts(pairs):
             if part < 0:
                 continue
             p = Part(blobs, heavy, hot_words)
-            t = work(part, p)
+            t, guests = work(part, p, answers)
             tables += np.bincount(classes(p.w), t, len(tables)).astype(np.int64)
+            dishes, names, edges = p.asked(parts)
+            for k in np.flatnonzero(np.diff(edges)):
+                of = slice(edges[k], edges[k + 1])
+                yield "asked", int(k), part, _blob(*(names[of],) * first, guests[dishes[of]].astype(np.uint64))
             if not first:
                 continue
             words_ = p.contexts[(p.hot < 0) & (p.customers > 0)]
             known += np.bincount(classes(codes(words_, heavy)), minlength=len(known))
             for k in np.flatnonzero(p.hot >= 0):
                 hot[int(p.hot[k])] += int(p.customers[k])
-            guests = p.opened()
-            seen += (int(p.c.sum()), len(words_), *(int((x == n).sum()) for x in (guests, p.c) for n in (1, 2)))
+            seen += (int(p.c.sum()), len(words_), *(int((x == n).sum()) for x in (guests[~p.shared], p.c[~p.at_start]) for n in (1, 2)))
         for kind, table in (("tables", tables), ("known", known)):
             for k, blob in bucketcounts.blobs(table):
-                yield kind, k, blob
+                yield kind, k, 0, blob
         if first:
-            yield "rest", 0, _blob(dict(hot), seen)
+            yield "rest", 0, 0, _blob(dict(hot), seen)
+
+    return read
+
+
+def _seats(hot_words: np.ndarray, parent: Callable[[], Parent | None], rounds: list[np.ndarray], seed: int, answer: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Seats the shared dishes of a bucket: at first a table a dish, then a round for each of rounds, the totals of all buckets before it.
+
+    Rows as COUNTS: totals (customers and tables by hot word; last of either half, dishes with one and with two customers); to answer, also tables by class and each part's seats.
+    """
+    hots = np.flatnonzero(hot_words)
+    half = 1 << (TOTAL_BITS - 1)
+    assert len(hots) < half
+
+    def read(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        buckets: dict[int, dict[int, list]] = defaultdict(dict)
+        for named, again in pairs:
+            for bucket, part, blob in named:
+                buckets[bucket][part] = _arrays(blob)
+            for bucket, part, blob in again:
+                buckets[bucket][part][1:] = _arrays(blob)
+        totals, tables = np.zeros(2 * half, np.int64), np.zeros(1 << TABLE_BITS, np.int64)  # the latter touched for answers only
+        for bucket in sorted(buckets):
+            asked = buckets.pop(bucket)
+            order = sorted(asked)
+            named, guests = zip(*(asked[part] for part in order))
+            names, back = np.unique(np.concatenate(named), return_inverse=True)
+            c = np.bincount(back, np.concatenate(guests), len(names)).astype(np.int64)
+            of = np.searchsorted(hots, (names >> np.uint64(32)).astype(np.int64))
+            kinds = classes((names & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            t, some, rng = np.minimum(c, 1), np.flatnonzero(c > 1), np.random.default_rng((seed, bucket))
+            for before in rounds:
+                d = parent().discounts[0]
+                t[some] = sample_tables(rng, stirling(d), d, c[some], THETA + d * (before[half + of[some]] - t[some]), parent().p[kinds[some]])
+            totals += np.bincount(of, c, 2 * half).astype(np.int64) + np.bincount(half + of, t, 2 * half).astype(np.int64)
+            totals[[half - 1, -1]] += ((c == 1).sum(), (c == 2).sum())
+            if not answer:
+                continue
+            np.add.at(tables, kinds, t)
+            at = 0
+            for part, own in zip(order, named):
+                pick = back[at : at + len(own)]
+                yield "answer", part, bucket, _blob(c[pick].astype(np.uint64), t[pick].astype(np.uint64))
+                at += len(own)
+        for kind, table in (("totals", totals), ("tables", tables))[: 1 + answer]:
+            for k, blob in bucketcounts.blobs(table):
+                yield kind, k, 0, blob
 
     return read
 
@@ -401,50 +521,68 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
     heavy, hot_words, total = heavy_words(rows)
     parts = 1 << max(1, int(total // PART_TOKENS).bit_length())
     # An RDD, so that the passes below share the blocks of one shuffle without another copy of them on disk.
-    dealt = deal(rows, heavy, hot_words, parts).repartition(parts, "part").rdd
-
-    def totals(work: Callable[[int, Part], np.ndarray], first: bool) -> DataFrame:
-        return spark.createDataFrame(dealt.mapPartitions(_totals(heavy, hot_words, work, first)), "kind string, segment int, counts binary")
-
-    def summed(work: Callable[[int, Part], np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict, np.ndarray]:
-        found = cut(totals(work, True))
-        tables, known = (bucketcounts.summed(found.where(F.col("kind") == kind), TABLE_BITS) for kind in ("tables", "known"))
-        hot, seen = defaultdict(int), np.zeros(6, np.int64)
-        for r in found.where("kind = 'rest'").select("counts").collect():
-            part, counts = _arrays(r["counts"])
-            for k, v in part.items():
-                hot[k] += v
-            seen += counts
-        return tables, known, dict(hot), seen
-
-    tables, known, hot, seen = summed(lambda part, p: np.minimum(p.opened(), 1))
+    dealt = deal(rows, heavy, hot_words, parts).repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).rdd
+
+    def summed(found: DataFrame, kind: str, bits: int = TABLE_BITS) -> np.ndarray:
+        return bucketcounts.summed(found.where(F.col("kind") == kind), bits)
+
+    def by_part(found: DataFrame, kind: str) -> RDD:
+        return found.where(F.col("kind") == kind).select("segment", "other", "counts").repartitionById(parts, F.col("segment")).rdd
+
+    def passed(work: Callable[[int, Part, dict], tuple[np.ndarray, np.ndarray]], answers: RDD | None) -> DataFrame:
+        return cut(spark.createDataFrame(_paired(dealt, answers).mapPartitions(_totals(heavy, hot_words, parts, work, answers is None)), COUNTS))
+
+    def seated(asked: RDD, parent: Callable[[], Parent | None], rounds: list[np.ndarray], more: int) -> tuple[RDD, np.ndarray, DataFrame]:
+        """The shared dishes' answers, totals and all rows of COUNTS after rounds and as many more, each of which goes by all buckets' totals of the round before."""
+        seats = lambda answer: spark.createDataFrame(asked.mapPartitions(_seats(hot_words, parent, rounds, seed, answer)), COUNTS)
+        for _ in range(more):
+            rounds = [*rounds, summed(seats(False), "totals", TOTAL_BITS)]
+        out = cut(seats(True))
+        return by_part(out, "answer"), summed(out, "totals", TOTAL_BITS), out
+
+    def opened(part: int, p: Part, _: dict) -> tuple[np.ndarray, np.ndarray]:
+        guests = p.opened()
+        return np.where(p.shared, 0, np.minimum(guests, 1)), guests
+
+    found = passed(opened, None)
+    asked = by_part(found, "asked")
+    answers, shared, seats = seated(_paired(asked, None), lambda: None, [], 0)
+    tables, known = summed(found.unionByName(seats), "tables"), summed(found, "known")
+    hot, seen = defaultdict(int), np.zeros(6, np.int64)
+    for r in found.where("kind = 'rest'").select("counts").collect():
+        counts, rest = _arrays(r["counts"])
+        for k, v in counts.items():
+            hot[k] += v
+        seen += rest
+    seen[2:4] += shared[[len(shared) // 2 - 1, -1]]
     tokens = int(seen[0])
     discounts = tuple(min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.75 for once, twice in ((float(seen[2]), float(seen[3])), (float(seen[4]), float(seen[5]))))
     vocabulary = int(seen[1]) + sum(1 for k, v in hot.items() if k > 1 and v > 0) + (tokens > 0)
-    first = spark.sparkContext.broadcast(Parent(heavy, hot_words, *parent_of(heavy, tables, known, seed), discounts))
+    first = spark.sparkContext.broadcast(Parent(heavy, hot_words, *parent_of(heavy, tables, known, seed), discounts, shared))
 
-    def sampled(part: int, p: Part) -> np.ndarray:
-        for t, _ in p.seatings(first.value, BURN_IN + 1, seed + part):
+    def sampled(part: int, p: Part, told: dict) -> tuple[np.ndarray, np.ndarray]:
+        for t, guests, _ in p.seatings(first.value, told, parts, BURN_IN + 1, seed + part):
             pass
-        return t
+        return t, guests
 
-    tables = bucketcounts.summed(totals(sampled, False), TABLE_BITS)
-    final = spark.sparkContext.broadcast(Parent(heavy, hot_words, *parent_of(heavy, tables, known, seed + 1), discounts))
+    found = passed(sampled, answers)
+    answers, shared, seats = seated(_paired(asked, by_part(found, "asked")), lambda: first.value, [shared], BURN_IN - 1)
+    final = spark.sparkContext.broadcast(Parent(heavy, hot_words, *parent_of(heavy, summed(found.unionByName(seats), "tables"), known, seed + 1), discounts, shared))
     ends = int(hot.get(0, 0))  # customers of START: training texts, each with one end token
 
-    def partial(rows: Iterator[Row]) -> Iterator[tuple]:
+    def partial(pairs: Iterator[tuple]) -> Iterator[tuple]:
         sums: dict[int, list] = defaultdict(list)  # by slice, added up over the partition's parts before they are shuffled
         parent = final.value
-        for part, blobs in _parts(rows):
+        for part, blobs, told in _parts(pairs):
             if part < 0:
                 for slice_, blob in blobs:
                     yield slice_, True, bytes(blob)
                 continue
             p = Part(blobs, heavy, hot_words)
             mean = np.zeros(len(p.c))
-            for turn, (_, q) in enumerate(p.seatings(parent, BURN_IN + SAMPLES, seed + parts + part)):
+            for turn, (_, _, q) in enumerate(p.seatings(parent, told, parts, BURN_IN + SAMPLES, seed + parts + part)):
                 if turn >= BURN_IN:
-                    mean += q / SAMPLES
+                    mean += q() / SAMPLES
             count = p.customers.copy()
             for k in np.flatnonzero(p.hot >= 0):
                 count[k] = hot[int(p.hot[k])]
@@ -464,7 +602,7 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
             some, back = np.unique(rows_, return_inverse=True)
             yield slice_, False, _blob(some, np.bincount(back, base), np.bincount(back, model), np.bincount(back, hits).astype(np.int32))
 
-    got = spark.createDataFrame(dealt.mapPartitions(partial), "slice long, head boolean, data binary")
+    got = spark.createDataFrame(_paired(dealt, answers).mapPartitions(partial), "slice long, head boolean, data binary")
 
     def gather(table: pa.Table) -> pa.Table:
         keys, tokens_of = next(_arrays(d.as_py()) for h, d in zip(table["head"], table["data"]) if h.as_py())

@@ -157,6 +157,15 @@ def test_language_model_base_is_exact_and_pairs_help(spark):
     assert sum(found[k]["score"] for k in held) > 0.75 * sum(found[k]["base_score"] for k in held)
 
 
+def test_hot_words_have_one_restaurant_over_all_parts(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "PART_TOKENS", 64)
+    texts = [(f"b{k} the {'cat' if k % 3 else 'dog'}", True) for k in range(300)] + [(f"z{k} the cat", False) for k in range(40)]
+    docs = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    scores = [r["score"] for r in hpylm.score(docs, "doc_id", "text", F.col("train")).collect() if r["key"] >= 300]
+    # new words before it leave the restaurant of "the" alone to say how likely "cat" is, whatever part they fall into
+    assert len(scores) == 40 and np.ptp(scores) < 1e-9
+
+
 def test_stirling_numbers_and_tables():
     d = 0.6
     s = np.exp(hpylm.stirling(d))
