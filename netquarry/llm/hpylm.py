@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import bucketcounts
-from .shared import cut
+from .shared import cut, cut_by, of_value
 from .textbytes import mix, slices, utf8, words
 
 HEAVY = 1 / 2**17
@@ -67,7 +67,7 @@ ROW = 128
 BURN_IN, SAMPLES = 2, 3
 THETA = 1.0
 UNKNOWN = 0.5
-SLICE_BYTES, SLICE_ROWS = 12 << 20, 1 << 15
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 1 << 15
 START, END = np.uint64(1), np.uint64(2)
 _pack = zstandard.ZstdCompressor(level=1)
 
@@ -180,11 +180,21 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         size, rows = size + batch.nbytes, rows + batch.num_rows
+        del batch
         if size >= SLICE_BYTES or rows >= SLICE_ROWS:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size, rows = [], 0, 0
+            # nothing is held here while a batch is worked on
+            yield held.pop() if len(held) == 1 else _one(held)
+            size, rows = 0, 0
     if rows:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield _one(held)
+
+
+def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of the rows of all, which are let go."""
+    table = pa.Table.from_batches(held)
+    held.clear()
+    columns = [c.combine_chunks() for c in table.columns]
+    return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=table.column_names)
 
 
 def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -205,7 +215,7 @@ def heavy_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             data, offsets = utf8(batch.column(0))
             found, n, total = [], [], 0
             for lo, hi in _slices(offsets):
-                _, _, h, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                h = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[2]
                 h.sort()
                 starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
                 c = np.diff(np.append(starts, len(h)))
@@ -231,45 +241,60 @@ def deal(rows: DataFrame, heavy: np.ndarray, hot_words: np.ndarray, parts: int)
     END_CODE, START_CODE = np.searchsorted(heavy, END), np.searchsorted(heavy, START)
     assert (END_CODE, START_CODE) == (1, 0)
 
+    def sliced(row: int, lo: int, hi: int, key: pa.Array, train: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+        """The blocks of rows lo to hi. Arrays are let go once used: they are most of a worker's memory."""
+        h, first = words(data, offsets)[2:]
+        count = np.diff(first)
+        at = first[:-1] + np.arange(hi - lo)  # where each text's START goes
+        inner = np.ones(len(h) + hi - lo, bool)
+        inner[at] = False
+        context = np.empty(len(inner), np.uint64)
+        context[at], context[inner] = START, h
+        code = codes(h, heavy)
+        del h
+        word = np.full(len(context), np.uint32(1))
+        word[np.flatnonzero(inner) - 1] = code
+        own = np.zeros(len(context), np.uint32)
+        own[inner] = code
+        del code, inner
+        before = np.concatenate([[np.uint32(0)], own[:-1]])  # START, 0, before a text's first word
+        before[at] = 0
+        hot = own < len(hot_words)
+        hot[hot] = hot_words[own[hot]]
+        del own
+        spread = mix(context)
+        spread[hot] = mix(context[hot] * np.uint64(0x9E3779B1) + before[hot])
+        spread[at] = mix(np.arange(lo, hi, dtype=np.uint64) + (np.uint64(row) << np.uint64(20)))
+        del hot, at
+        # by part and then context, so that a part names each context once; places ride in the low bits through
+        # a plain sort, several times as fast as argsort; contexts alike in the high bits may take turns
+        low = np.uint64(max(1, len(spread).bit_length()))
+        spread >>= bits
+        spread <<= bits
+        spread |= context >> (np.uint64(64) - bits)
+        spread >>= low
+        spread <<= low
+        spread |= np.arange(len(spread), dtype=np.uint64)
+        spread.sort()
+        edges = np.searchsorted(spread, np.arange(parts, dtype=np.uint64) << bits).tolist() + [len(spread)]
+        spread &= (np.uint64(1) << low) - np.uint64(1)
+        order = spread.view(np.int64)
+        context, word, before = context[order], word[order], before[order]
+        doc = np.repeat(np.arange(hi - lo, dtype=np.uint16) | train.astype(np.uint16) << np.uint16(15), count + 1)[order]
+        del spread, order
+        out = [(-1 - row % parts, row, _blob(key.to_pylist(), count.astype(np.int32) + 1))]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < b:
+                u, fresh = context[a:b], np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
+                out.append((k, row, _blob(u[fresh], np.diff(np.append(fresh, b - a)).astype(np.uint32), word[a:b], doc[a:b], before[a:b])))
+        return out
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _joined(batches):
             row, key, train = np.asarray(batch.column(0)), batch.column(1), np.asarray(batch.column(3))
             data, offsets = utf8(batch.column(2))
             for lo, hi in _slices(offsets):
-                _, _, h, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                count = np.diff(first)
-                at = first[:-1] + np.arange(hi - lo)  # where each text's START goes
-                context = np.empty(len(h) + hi - lo, np.uint64)
-                inner = np.ones(len(context), bool)
-                inner[at] = False
-                context[at], context[inner] = START, h
-                word = np.full(len(context), np.uint32(1))
-                code = codes(h, heavy)
-                word[np.flatnonzero(inner) - 1] = code
-                doc = np.repeat(np.arange(hi - lo, dtype=np.uint16) | train[lo:hi].astype(np.uint16) << np.uint16(15), count + 1)
-                own = np.zeros(len(context), np.uint32)
-                own[inner] = code
-                before = np.concatenate([[np.uint32(0)], own[:-1]])  # START, 0, before a text's first word
-                before[at] = 0
-                hot = own < len(hot_words)
-                hot[hot] = hot_words[own[hot]]
-                spread = mix(context)
-                spread[hot] = mix(context[hot] * np.uint64(0x9E3779B1) + before[hot])
-                spread[at] = mix(np.arange(lo, hi, dtype=np.uint64) + (np.uint64(row[lo]) << np.uint64(20)))
-                # by part and then context, so that a part names each context once; places ride in the low bits through
-                # a plain sort, several times as fast as argsort; contexts alike in the high bits may take turns
-                low = np.uint64(max(1, len(spread).bit_length()))
-                spread = spread >> bits << bits | context >> (np.uint64(64) - bits)
-                spread = np.sort(spread >> low << low | np.arange(len(spread), dtype=np.uint64))
-                order = (spread & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-                context, word, doc, before = context[order], word[order], doc[order], before[order]
-                edges = np.searchsorted((spread >> bits).astype(np.int64), np.arange(parts + 1))
-                slice_ = int(row[lo])
-                out = [(-1 - slice_ % parts, slice_, _blob(key.slice(lo, hi - lo).to_pylist(), count.astype(np.int32) + 1))]
-                for k in np.flatnonzero(np.diff(edges)):
-                    a, b = edges[k], edges[k + 1]
-                    u, fresh = context[a:b], np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
-                    out.append((int(k), slice_, _blob(u[fresh], np.diff(np.append(fresh, b - a)).astype(np.uint32), word[a:b], doc[a:b], before[a:b])))
+                out = sliced(int(row[lo]), lo, hi, key.slice(lo, hi - lo), train[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "slice", "data"])
 
     return rows.mapInArrow(pairs, "part long, slice long, data binary")
@@ -409,44 +434,33 @@ class Part:
             yield t2, c2, p_triple
 
 
-def _paired(rows: RDD, more: RDD | None) -> RDD:
-    """The rows of both in each partition, one pair of lists a partition."""
-    if more is None:
-        return rows.mapPartitions(lambda rows: [([tuple(r) for r in rows], [])])
-    whole = lambda rows: [[tuple(r) for r in rows]]
-    return rows.mapPartitions(whole).zip(more.mapPartitions(whole))
-
-
-def _parts(pairs: Iterator[tuple[list, list]]) -> Iterator[tuple[int, list, dict[int, bytes]]]:
-    """The blocks of a partition by part, in a fixed order, and the answers to it by bucket."""
-    for blocks, answers in pairs:
-        held: dict[int, list] = defaultdict(list)
-        while blocks:
-            part, slice_, data = blocks.pop()
-            held[part].append((slice_, data))
-        told: dict[int, dict[int, bytes]] = defaultdict(dict)
-        while answers:
-            part, bucket, data = answers.pop()
-            told[part][bucket] = data
-        for part in sorted(held):
-            yield part, sorted(held.pop(part)), told.pop(part, {})
+def _parts(rows: Iterator[Row], answers: str | None) -> Iterator[tuple[int, list, dict[int, bytes]]]:
+    """The blocks of a partition by part, in a fixed order, and the answers to it by bucket, from the shared folder."""
+    held: dict[int, list] = defaultdict(list)
+    for r in rows:
+        held[r["part"]].append((r["slice"], r["data"]))
+    for part in sorted(held):
+        told = {} if answers is None or part < 0 else {r["other"]: r["counts"] for r in of_value(answers, "segment", part)}
+        yield part, sorted(held.pop(part)), told
 
 
 COUNTS = "kind string, segment int, other int, counts binary"
 
 
-def _totals(heavy: np.ndarray, hot_words: np.ndarray, parts: int, work: Callable[[int, Part, dict], tuple[np.ndarray, np.ndarray]], first: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+def _totals(heavy: np.ndarray, hot_words: np.ndarray, parts: int, work: Callable[[int, Part, dict], tuple[np.ndarray, np.ndarray]], answers: str | None) -> Callable[[Iterator[Row]], Iterator[tuple]]:
     """Rows (kind, segment, other, counts) that sum up a pass: tables by class; for each bucket the part's customers of shared dishes; and of the first pass the names of these, known words by class, customers of hot contexts, and counts of counts."""
 
-    def read(pairs: Iterator[tuple]) -> Iterator[tuple]:
+    first = answers is None
+
+    def read(rows: Iterator[Row]) -> Iterator[tuple]:
         tables, known = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int64)
         hot: dict[int, int] = defaultdict(int)
         seen = np.zeros(6, np.int64)
-        for part, blobs, answers in _parts(pairs):
+        for part, blobs, told in _parts(rows, answers):
             if part < 0:
                 continue
             p = Part(blobs, heavy, hot_words)
-            t, guests = work(part, p, answers)
+            t, guests = work(part, p, told)
             tables += np.bincount(classes(p.w), t, len(tables)).astype(np.int64)
             dishes, names, edges = p.asked(parts)
             for k in np.flatnonzero(np.diff(edges)):
@@ -468,7 +482,7 @@ def _totals(heavy: np.ndarray, hot_words: np.ndarray, parts: int, work: Callable
     return read
 
 
-def _seats(hot_words: np.ndarray, parent: Callable[[], Parent | None], rounds: list[np.ndarray], seed: int, answer: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+def _seats(hot_words: np.ndarray, parent: Callable[[], Parent | None], rounds: list[np.ndarray], seed: int, answer: bool) -> Callable[[Iterator[Row]], Iterator[tuple]]:
     """Seats the shared dishes of a bucket: at first a table a dish, then a round for each of rounds, the totals of all buckets before it.
 
     Rows as COUNTS: totals (customers and tables by hot word; last of either half, dishes with one and with two customers); to answer, also tables by class and each part's seats.
@@ -477,13 +491,15 @@ def _seats(hot_words: np.ndarray, parent: Callable[[], Parent | None], rounds: l
     half = 1 << (TOTAL_BITS - 1)
     assert len(hots) < half
 
-    def read(pairs: Iterator[tuple]) -> Iterator[tuple]:
-        buckets: dict[int, dict[int, list]] = defaultdict(dict)
-        for named, again in pairs:
-            for bucket, part, blob in named:
-                buckets[bucket][part] = _arrays(blob)
-            for bucket, part, blob in again:
-                buckets[bucket][part][1:] = _arrays(blob)
+    def read(rows: Iterator[Row]) -> Iterator[tuple]:
+        buckets: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(lambda: [None, None]))
+        for r in rows:
+            *named, guests = _arrays(r["counts"])
+            own = buckets[r["segment"]][r["other"]]
+            if named:
+                own[0] = named[0]
+            if not named or own[1] is None:  # of the later pass, which sends no names, if there are two
+                own[1] = guests
         totals, tables = np.zeros(2 * half, np.int64), np.zeros(1 << TABLE_BITS, np.int64)  # the latter touched for answers only
         for bucket in sorted(buckets):
             asked = buckets.pop(bucket)
@@ -526,27 +542,27 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
     def summed(found: DataFrame, kind: str, bits: int = TABLE_BITS) -> np.ndarray:
         return bucketcounts.summed(found.where(F.col("kind") == kind), bits)
 
-    def by_part(found: DataFrame, kind: str) -> RDD:
-        return found.where(F.col("kind") == kind).select("segment", "other", "counts").repartitionById(parts, F.col("segment")).rdd
+    def passed(work: Callable[[int, Part, dict], tuple[np.ndarray, np.ndarray]], answers: str | None) -> DataFrame:
+        return cut(spark.createDataFrame(dealt.mapPartitions(_totals(heavy, hot_words, parts, work, answers)), COUNTS))
 
-    def passed(work: Callable[[int, Part, dict], tuple[np.ndarray, np.ndarray]], answers: RDD | None) -> DataFrame:
-        return cut(spark.createDataFrame(_paired(dealt, answers).mapPartitions(_totals(heavy, hot_words, parts, work, answers is None)), COUNTS))
+    def of_buckets(found: DataFrame) -> RDD:
+        return found.where("kind = 'asked'").select("segment", "other", "counts").repartitionById(parts, F.col("segment")).rdd
 
-    def seated(asked: RDD, parent: Callable[[], Parent | None], rounds: list[np.ndarray], more: int) -> tuple[RDD, np.ndarray, DataFrame]:
-        """The shared dishes' answers, totals and all rows of COUNTS after rounds and as many more, each of which goes by all buckets' totals of the round before."""
+    def seated(asked: RDD, parent: Callable[[], Parent | None], rounds: list[np.ndarray], more: int) -> tuple[str, np.ndarray, DataFrame]:
+        """The folder of the shared dishes' answers, totals and all rows of COUNTS after rounds and as many more, each of which goes by all buckets' totals of the round before."""
         seats = lambda answer: spark.createDataFrame(asked.mapPartitions(_seats(hot_words, parent, rounds, seed, answer)), COUNTS)
         for _ in range(more):
             rounds = [*rounds, summed(seats(False), "totals", TOTAL_BITS)]
         out = cut(seats(True))
-        return by_part(out, "answer"), summed(out, "totals", TOTAL_BITS), out
+        answers = out.where("kind = 'answer'").select("segment", "other", "counts").repartitionById(parts, F.col("segment"))
+        return cut_by(answers, "segment"), summed(out, "totals", TOTAL_BITS), out
 
     def opened(part: int, p: Part, _: dict) -> tuple[np.ndarray, np.ndarray]:
         guests = p.opened()
         return np.where(p.shared, 0, np.minimum(guests, 1)), guests
 
     found = passed(opened, None)
-    asked = by_part(found, "asked")
-    answers, shared, seats = seated(_paired(asked, None), lambda: None, [], 0)
+    answers, shared, seats = seated(of_buckets(found), lambda: None, [], 0)
     tables, known = summed(found.unionByName(seats), "tables"), summed(found, "known")
     hot, seen = defaultdict(int), np.zeros(6, np.int64)
     for r in found.where("kind = 'rest'").select("counts").collect():
@@ -565,15 +581,15 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
             pass
         return t, guests
 
-    found = passed(sampled, answers)
-    answers, shared, seats = seated(_paired(asked, by_part(found, "asked")), lambda: first.value, [shared], BURN_IN - 1)
+    named, found = found, passed(sampled, answers)
+    answers, shared, seats = seated(of_buckets(named.unionByName(found)), lambda: first.value, [shared], BURN_IN - 1)
     final = spark.sparkContext.broadcast(Parent(heavy, hot_words, *parent_of(heavy, summed(found.unionByName(seats), "tables"), known, seed + 1), discounts, shared))
     ends = int(hot.get(0, 0))  # customers of START: training texts, each with one end token
 
-    def partial(pairs: Iterator[tuple]) -> Iterator[tuple]:
+    def partial(rows: Iterator[Row]) -> Iterator[tuple]:
         sums: dict[int, list] = defaultdict(list)  # by slice, added up over the partition's parts before they are shuffled
         parent = final.value
-        for part, blobs, told in _parts(pairs):
+        for part, blobs, told in _parts(rows, answers):
             if part < 0:
                 for slice_, blob in blobs:
                     yield slice_, True, bytes(blob)
@@ -602,7 +618,7 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
             some, back = np.unique(rows_, return_inverse=True)
             yield slice_, False, _blob(some, np.bincount(back, base), np.bincount(back, model), np.bincount(back, hits).astype(np.int32))
 
-    got = spark.createDataFrame(_paired(dealt, answers).mapPartitions(partial), "slice long, head boolean, data binary")
+    got = spark.createDataFrame(dealt.mapPartitions(partial), "slice long, head boolean, data binary")
 
     def gather(table: pa.Table) -> pa.Table:
         keys, tokens_of = next(_arrays(d.as_py()) for h, d in zip(table["head"], table["data"]) if h.as_py())

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, column: str) -> str:
+    """df written to the shared checkpoint folder with a folder for each value of an integer column; for of_value."""
+    path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return path
+
+
+def of_value(path: str, column: str, value: int) -> list[dict]:
+    """In a task: the rows, without column, that cut_by wrote for one value, few enough for a task's memory."""
+    at = f"{path}/{column}={value}"
+    files, at = (pyarrow.fs.LocalFileSystem(), "/" + at.removeprefix("file:").lstrip("/")) if at.startswith(("file:", "/")) else pyarrow.fs.FileSystem.from_uri(at)
+    found = files.get_file_info(pyarrow.fs.FileSelector(at, allow_not_found=True))
+    return [r for f in sorted(f.path for f in found if f.base_name.endswith(".parquet")) for r in pyarrow.parquet.ParquetFile(files.open_input_file(f)).read().to_pylist()]
+
+
 def hot_values(values: DataFrame, n: int) -> list:
     """Values of the one column of `values` that have at least HOT_ROWS of its n rows and 1 / HOT of them, so at most HOT."""
     if n < HOT_ROWS:

@@ -101,8 +101,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if len(_powers["up"]) > 4 * SEGMENT_BYTES:
             _powers.clear()
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    starts.clear()  # the pieces of one array are not needed beside the next
     e = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+    ends.clear()
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    hashes.clear()
     return s, e, h, np.searchsorted(s, offsets)
 
 
