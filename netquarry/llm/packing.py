@@ -44,7 +44,7 @@ OPEN_WINDOWS = 32
 TOP_UP = 16
 MERGE_PARTITIONS = 64
 SLICE_BYTES = 1 << 20
-MEMORY, SHORT = 1 << 20, 64
+MEMORY, SHORT = 1 << 18, 64
 PIECES = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, done boolean"
 _SCHEMA = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("done", pa.bool_())])
 

@@ -84,3 +84,10 @@ def test_parts_are_encoded_together():
     assert [list(ids) for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(asked) < 40 and max(map(len, encode.known)) <= packing.SHORT
     assert [list(ids) for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_an_encoder_remembers_no_more_parts_than_a_worker_can_hold():
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for at in range(0, 300_000, 50_000):
+        encode([" ".join(f"w{k}" for k in range(at, at + 50_000))])
+    assert len(encode.known) <= 1 << 18
