@@ -67,9 +67,17 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from s to e; takes 16 bytes of memory for each byte of data."""
+    up, down = _power(max(SEGMENT_BYTES + 1, len(data) + 1))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash, first): byte spans and 64-bit hashes of all words; row i has the words first[i]:first[i + 1]."""
-    starts, ends, hashes = [], [], []
+    starts, ends, found = [], [], []
     at, n = 0, len(data)
     while at < n:
         stop = min(n, at + SEGMENT_BYTES)
@@ -91,10 +99,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         closes = inside.copy()
         closes[:-1] &= ~inside[1:] | fresh[1:-1]
         s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-        up, down = _power(max(SEGMENT_BYTES + 1, len(part) + 1))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        found.append(hashes(part, s, e))
         starts.append(s + at)
         ends.append(e + at)
         at = stop
@@ -104,8 +109,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts.clear()  # the pieces of one array are not needed beside the next
     e = np.concatenate(ends) if ends else np.zeros(0, np.int64)
     ends.clear()
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    hashes.clear()
+    h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    found.clear()
     return s, e, h, np.searchsorted(s, offsets)
 
 

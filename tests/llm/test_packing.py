@@ -91,3 +91,20 @@ def test_an_encoder_remembers_no_more_parts_than_a_worker_can_hold():
     for at in range(0, 300_000, 50_000):
         encode([" ".join(f"w{k}" for k in range(at, at + 50_000))])
     assert len(encode.known) <= 1 << 18
+
+
+def test_an_encoder_remembers_what_comes_twice_and_marks_end_a_part(monkeypatch):
+    library = Tokenizer.from_file(PATH)
+    encode = packing.Encoder(PATH)
+    texts = [" ".join(f"once{k}" for k in range(5000)), "twice, twice. 3.14 a.b,c é. .. 'x.'s x's. .\n a"]
+    assert packing.parts(" twice, 3.14 é.") == [" twice", ",", " 3", ".14", " é."]
+    assert [ids.tolist() for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encode.known) < 50  # every first one was remembered before
+    encode(texts)
+    assert len(encode.known) > 5000
+    # all parts of one hash: the bytes tell them apart
+    monkeypatch.setattr(packing, "hashes", lambda data, s, e: np.zeros(len(s), np.uint64))
+    encode = packing.Encoder(PATH)
+    for _ in range(2):
+        assert [ids.tolist() for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode([]) == [] and [len(x) for x in encode(["", "a", ""])] == [0, 1, 0]
