@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .shared import folder
+from .shared import drop, folder
 from .vectors import matrix, usable
 
 BLOCK = 1 << 13
@@ -191,11 +191,6 @@ def _rows(dim: int, centroids: np.ndarray):
     return run
 
 
-def _drop(blocks: str, spark) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(blocks)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def cluster(df: DataFrame, id: str, vector: str, dim: int = 64, scale: float = 1024.0, k: int = 8, rounds: int = 10, salt: str = "3") -> DataFrame:
     """(id, cluster, distance, cluster_inertia, inertia, centroid_sha256), one row for every row of df with `dim` finite components.
 
@@ -230,7 +225,7 @@ def cluster(df: DataFrame, id: str, vector: str, dim: int = 64, scale: float = 1
             break
         blocks.mapInArrow(_round(dim, before, centroids), _BLOCK).write.parquet(f"{top}/{turn}")
         blocks = spark.read.schema(_BLOCK).parquet(f"{top}/{turn}")
-        _drop(f"{top}/{turn - 1}", spark)
+        drop(spark, f"{top}/{turn - 1}")
     found = blocks.select("ids", "nulls", "vectors", "width", "cluster", "distance").mapInArrow(_rows(dim, centroids), schema)
     sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()
     inertia = {r["cluster"]: int(r["total"]) for r in sums}

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import bucketcounts
-from .shared import cut, cut_by, of_value
+from .shared import cut, cut_by, drop, of_value
 from .textbytes import mix, slices, utf8, words
 
 HEAVY = 1 / 2**17
@@ -68,14 +68,16 @@ BURN_IN, SAMPLES = 2, 3
 THETA = 1.0
 UNKNOWN = 0.5
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 1 << 15
+UNIT = 2.0**32
+"""Logarithms are rounded to whole numbers of 1 / UNIT for each token before they are added up: sums take fewer bytes and are the same in any order."""
 START, END = np.uint64(1), np.uint64(2)
 _pack = zstandard.ZstdCompressor(level=1)
 
 
 def _blob(*values: object) -> bytes:
-    """values compressed; of unsigned arrays byte by byte, as their high bytes are much alike."""
+    """values compressed; of arrays of integers byte by byte, as their high bytes are much alike."""
     planes = lambda x: (x.dtype.str, len(x), x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
-    return _pack.compress(pickle.dumps([planes(np.ascontiguousarray(v)) if isinstance(v, np.ndarray) and v.dtype.kind == "u" else v for v in values], protocol=5))
+    return _pack.compress(pickle.dumps([planes(np.ascontiguousarray(v)) if isinstance(v, np.ndarray) and v.dtype.kind in "iu" else v for v in values], protocol=5))
 
 
 def _arrays(blob: bytes) -> list:
@@ -83,6 +85,16 @@ def _arrays(blob: bytes) -> list:
     return [back(*v) if isinstance(v, tuple) else v for v in pickle.loads(zstandard.decompress(bytes(blob)))]
 
 
+def _sums(rows: np.ndarray, base: np.ndarray, model: np.ndarray, hits: np.ndarray) -> bytes:
+    """The sums of a slice's rows, in order of these; those of logarithms are whole numbers."""
+    return _blob(np.diff(rows, prepend=rows.dtype.type(0)), base.astype(np.int64), model.astype(np.int64), hits.astype(np.int32))
+
+
+def _of_sums(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    steps, *sums = _arrays(blob)
+    return np.cumsum(steps, dtype=np.int64), *sums
+
+
 # -- restaurants --------------------------------------------------------------
 
 
@@ -539,11 +551,13 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
     # An RDD, so that the passes below share the blocks of one shuffle without another copy of them on disk.
     dealt = deal(rows, heavy, hot_words, parts).repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).rdd
 
+    made: list[str] = []  # folders that hold what the passes tell each other
+
     def summed(found: DataFrame, kind: str, bits: int = TABLE_BITS) -> np.ndarray:
         return bucketcounts.summed(found.where(F.col("kind") == kind), bits)
 
     def passed(work: Callable[[int, Part, dict], tuple[np.ndarray, np.ndarray]], answers: str | None) -> DataFrame:
-        return cut(spark.createDataFrame(dealt.mapPartitions(_totals(heavy, hot_words, parts, work, answers)), COUNTS))
+        return cut(spark.createDataFrame(dealt.mapPartitions(_totals(heavy, hot_words, parts, work, answers)), COUNTS), made)
 
     def of_buckets(found: DataFrame) -> RDD:
         return found.where("kind = 'asked'").select("segment", "other", "counts").repartitionById(parts, F.col("segment")).rdd
@@ -553,9 +567,10 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
         seats = lambda answer: spark.createDataFrame(asked.mapPartitions(_seats(hot_words, parent, rounds, seed, answer)), COUNTS)
         for _ in range(more):
             rounds = [*rounds, summed(seats(False), "totals", TOTAL_BITS)]
-        out = cut(seats(True))
+        out = cut(seats(True), made)
         answers = out.where("kind = 'answer'").select("segment", "other", "counts").repartitionById(parts, F.col("segment"))
-        return cut_by(answers, "segment"), summed(out, "totals", TOTAL_BITS), out
+        made.append(cut_by(answers, "segment"))
+        return made[-1], summed(out, "totals", TOTAL_BITS), out
 
     def opened(part: int, p: Part, _: dict) -> tuple[np.ndarray, np.ndarray]:
         guests = p.opened()
@@ -584,6 +599,9 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
     named, found = found, passed(sampled, answers)
     answers, shared, seats = seated(of_buckets(named.unionByName(found)), lambda: first.value, [shared], BURN_IN - 1)
     final = spark.sparkContext.broadcast(Parent(heavy, hot_words, *parent_of(heavy, summed(found.unionByName(seats), "tables"), known, seed + 1), discounts, shared))
+    for path in made:
+        if path != answers:  # the last pass reads these only
+            drop(spark, path)
     ends = int(hot.get(0, 0))  # customers of START: training texts, each with one end token
 
     def partial(rows: Iterator[Row]) -> Iterator[tuple]:
@@ -606,17 +624,17 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
             mend = np.where(count > 0, 0.0, np.log10(parent.unknown) - np.log10(parent.p[classes(codes(p.contexts, heavy))]))
             mend[p.hot == 0] = 0.0
             count[p.hot == 0] = ends
-            log_count = np.log10(count + 1.0)[p.u]
+            log_count = np.rint(np.log10(count + 1.0) * UNIT)[p.u]
             some, back = np.unique(p.doc, return_inverse=True)
             of = lambda x: np.bincount(back, np.repeat(x, p.size), len(some))
-            fields = [(some & 0x7FFF).astype(np.uint16), of(log_count), of(np.log10(mean) + mend[p.u]), of((count[p.u] > 0).astype(float)).astype(np.int32)]
+            fields = [(some & 0x7FFF).astype(np.uint16), of(log_count), of(np.rint((np.log10(mean) + mend[p.u]) * UNIT)), of((count[p.u] > 0).astype(float)).astype(np.int32)]
             edges = np.searchsorted(some, np.arange(len(p.slices) + 1) << 15)
             for k, slice_ in enumerate(p.slices):
                 sums[slice_].append([x[edges[k] : edges[k + 1]] for x in fields])
         for slice_, pieces in sums.items():
             rows_, base, model, hits = (np.concatenate(x) for x in zip(*pieces))
             some, back = np.unique(rows_, return_inverse=True)
-            yield slice_, False, _blob(some, np.bincount(back, base), np.bincount(back, model), np.bincount(back, hits).astype(np.int32))
+            yield slice_, False, _sums(some, *(np.bincount(back, x) for x in (base, model, hits)))
 
     got = spark.createDataFrame(dealt.mapPartitions(partial), "slice long, head boolean, data binary")
 
@@ -625,11 +643,11 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
         base, model, hits = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
         for h, d in zip(table["head"], table["data"]):
             if not h.as_py():
-                at, b, m, k = _arrays(d.as_py())
+                at, b, m, k = _of_sums(d.as_py())
                 base[at] += b
                 model[at] += m
                 hits[at] += k
-        base -= tokens_of * np.log10(tokens + vocabulary + 1.0)
+        base, model = base / UNIT - tokens_of * np.log10(tokens + vocabulary + 1.0), model / UNIT
         return pa.table([pa.array(keys, pa.int64()), pa.array(tokens_of.astype(np.int64)), pa.array(hits), pa.array(base), pa.array(model)], ["key", "n_tokens", "n_known", "base_score", "score"])
 
     out = got.groupBy("slice").applyInArrow(gather, "key long, n_tokens long, n_known long, base_score double, score double")

@@ -26,10 +26,12 @@ def folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the shared checkpoint folder and read back from there: a lost executor recomputes nothing before it."""
+def cut(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """df written once as Parquet to the shared checkpoint folder and read back from there: a lost executor recomputes nothing before it. The path is added to made, for drop."""
     spark = df.sparkSession
     path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,6 +43,12 @@ def cut_by(df: DataFrame, column: str) -> str:
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what a cut wrote, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def of_value(path: str, column: str, value: int) -> list[dict]:
     """In a task: the rows, without column, that cut_by wrote for one value, few enough for a task's memory."""
     at = f"{path}/{column}={value}"

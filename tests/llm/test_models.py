@@ -3,13 +3,14 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.llm import hpylm, langid, quality, toxicity
+from netquarry.llm import hpylm, langid, quality, shared, toxicity
 from netquarry.llm.textbytes import utf8
 
 RNG = np.random.default_rng(4)
@@ -166,6 +167,20 @@ def test_hot_words_have_one_restaurant_over_all_parts(spark, monkeypatch):
     assert len(scores) == 40 and np.ptp(scores) < 1e-9
 
 
+def test_language_model_leaves_only_what_its_last_pass_reads(spark):
+    folders = lambda: set(Path(shared.folder(spark).removeprefix("file:")).glob("cut-*"))
+    before, texts = folders(), [f"the cat number {k % 7} sat {k} times" for k in range(200)]
+    out = hpylm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", F.col("doc_id") % 5 != 0)
+    assert len(folders() - before) == 1  # of six
+    assert out.count() == out.where("score < 0").count() == 200
+    rng = np.random.default_rng(2)
+    rows = np.sort(rng.choice(2500, 2000, replace=False)).astype(np.uint16)
+    sums = [rows, *(np.rint(-rng.random(2000) * 40 * hpylm.UNIT) for _ in range(2)), rng.integers(0, 9, 2000)]
+    blob = hpylm._sums(*sums)
+    assert all((a == b).all() for a, b in zip(hpylm._of_sums(blob), sums))
+    assert len(blob) < 14 * 2000  # 22 bytes a row as doubles
+
+
 def test_stirling_numbers_and_tables():
     d = 0.6
     s = np.exp(hpylm.stirling(d))
