@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from . import bucketcounts
 from .shared import cut, cut_by, drop, of_value
-from .textbytes import mix, slices, utf8, words
+from .textbytes import distinct, mix, slices, utf8, words
 
 HEAVY = 1 / 2**17
 HOT = 1 / 4096
@@ -324,7 +324,7 @@ class Part:
         for k, (_, blob) in enumerate(blobs):
             fields.append(_arrays(blob))
             blobs[k] = None  # the compressed block is not needed beside its arrays
-        contexts, back = np.unique(np.concatenate([f[0] for f in fields]), return_inverse=True)
+        contexts, back = distinct(np.concatenate([f[0] for f in fields]))
         run = np.concatenate([f[1] for f in fields])
         word, doc, before = (np.concatenate([f[k] for f in fields]) for k in (2, 3, 4))
         self.contexts, self.lengths = contexts, [len(f[3]) for f in fields]
@@ -370,7 +370,7 @@ class Part:
     @cached_property
     def room(self) -> np.ndarray:
         """The restaurant of both context words, by triple."""
-        return np.unique(self.u.astype(np.uint64) << np.uint64(32) | self.before, return_inverse=True)[1]
+        return distinct(mix(self.u.astype(np.uint64) << np.uint64(32) | self.before))[1]
 
     @cached_property
     def doc(self) -> np.ndarray:
@@ -625,16 +625,18 @@ def score(docs: DataFrame, key: str, text: str, train: Column, seed: int = 5) ->
             mend[p.hot == 0] = 0.0
             count[p.hot == 0] = ends
             log_count = np.rint(np.log10(count + 1.0) * UNIT)[p.u]
-            some, back = np.unique(p.doc, return_inverse=True)
+            some, back = distinct(p.doc.view(np.uint64))
             of = lambda x: np.bincount(back, np.repeat(x, p.size), len(some))
-            fields = [(some & 0x7FFF).astype(np.uint16), of(log_count), of(np.rint((np.log10(mean) + mend[p.u]) * UNIT)), of((count[p.u] > 0).astype(float)).astype(np.int32)]
-            edges = np.searchsorted(some, np.arange(len(p.slices) + 1) << 15)
+            fields = [(some & np.uint64(0x7FFF)).astype(np.uint16), of(log_count), of(np.rint((np.log10(mean) + mend[p.u]) * UNIT)), of((count[p.u] > 0).astype(float)).astype(np.int32)]
+            edges = np.searchsorted(some, np.arange(len(p.slices) + 1, dtype=np.uint64) << np.uint64(15))
             for k, slice_ in enumerate(p.slices):
                 sums[slice_].append([x[edges[k] : edges[k + 1]] for x in fields])
         for slice_, pieces in sums.items():
-            rows_, base, model, hits = (np.concatenate(x) for x in zip(*pieces))
-            some, back = np.unique(rows_, return_inverse=True)
-            yield slice_, False, _sums(some, *(np.bincount(back, x) for x in (base, model, hits)))
+            rows_, *logs = (np.concatenate(x) for x in zip(*pieces))
+            if len(pieces) > 1:
+                rows_, back = np.unique(rows_, return_inverse=True)
+                logs = [np.bincount(back, x) for x in logs]
+            yield slice_, False, _sums(rows_, *logs)
 
     got = spark.createDataFrame(dealt.mapPartitions(partial), "slice long, head boolean, data binary")
 

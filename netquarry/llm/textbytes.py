@@ -114,6 +114,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, h, np.searchsorted(s, offsets)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(x, return_inverse=True) of unsigned 64-bit numbers, in less time if their high bits tell them apart: a plain sort with places in the low bits."""
+    if not len(x):
+        return x, np.zeros(0, np.int64)
+    low = len(x).bit_length()
+    lost = np.uint64(max(0, int(x.max()).bit_length() + low - 64))
+    key = x >> lost << np.uint64(low) | np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    place = (key & np.uint64((1 << low) - 1)).view(np.int64)
+    key >>= np.uint64(low)
+    full = x[place]
+    fresh = np.concatenate([[True], full[1:] != full[:-1]])
+    if lost and (fresh[1:] & (key[1:] == key[:-1])).any():
+        return np.unique(x, return_inverse=True)
+    back = np.empty(len(x), np.int64)
+    back[place] = np.cumsum(fresh) - 1
+    return full[fresh], back
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of one row's n-word shingles, in order; fewer words make one shingle of all, no word none."""
     if not len(hashes):

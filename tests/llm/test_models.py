@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry.llm import hpylm, langid, quality, shared, toxicity
-from netquarry.llm.textbytes import utf8
+from netquarry.llm.textbytes import distinct, utf8
 
 RNG = np.random.default_rng(4)
 STEMS = {"en": ["the", "ing", "er", "th", "wh", "ou"], "de": ["sch", "ung", "ü", "keit", "der", "tz"], "es": ["ción", "mente", "ñ", "os", "ll", "que"]}
@@ -194,3 +194,11 @@ def test_features_of_whole_texts():
     data, offsets = utf8(pa.array(["", "a a a a", "AB%% cd"]))
     x = quality.features(data, offsets) ** 2
     assert x[0].sum() == 0 and abs(x[1][3] - 0.75) < 1e-9 and abs(x[2][0] - 2 / 7) < 1e-9
+
+
+def test_distinct_numbers_with_and_without_room_for_places():
+    rng = np.random.default_rng(6)
+    few = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    alike = (few[:, None] << np.uint64(1) | np.arange(2, dtype=np.uint64)).ravel()  # apart in the lowest bit only
+    for x in (few[:0], few[:1], few, rng.choice(few, 3000), rng.choice(few >> np.uint64(30), 3000), rng.choice(alike, 3000)):
+        assert all((a == b).all() for a, b in zip(distinct(x), np.unique(x, return_inverse=True)))
